@@ -13,7 +13,7 @@ from tallycard.operators import clean, report, resample
 from tallycard.operators.cards import score_records, screened_share
 from tallycard.operators.encode import levels_present
 from tallycard.operators.evaluate import (
-    best_settings, long_metrics, mean_interval, roc_auc, roc_points, score_counts, screen_performance,
+    best_settings, gain_summary as peak_gains, long_metrics, mean_interval, roc_auc, roc_points, score_counts, screen_performance,
     threshold_totals,
 )
 from tallycard.operators.prefix import numbered, same_keys
@@ -552,11 +552,9 @@ k AS (SELECT card, gender, score, tp::DOUBLE / p::DOUBLE - fp::DOUBLE / q::DOUBL
 peak AS (SELECT card, gender, max(gain) AS peak FROM k GROUP BY ALL)
 SELECT card, round(min(peak), 6) AS least_peak_gain, round(max(peak), 6) AS greatest_peak_gain FROM peak GROUP BY card""")
 def gain_summary(spark, sf):
-    from tallycard.operators.evaluate import gain_summary as summarize
-
     scored = score_records(study(spark, sf), CARDS, ["gender", "is_event"])
     points = roc_points(threshold_totals(scored, ["card", "gender"]), ["card", "gender"])
-    out = summarize(points, "card", ["gender"])
+    out = peak_gains(points, "card", ["gender"])
     return out.select("card", r6("least_peak_gain").alias("least_peak_gain"), r6("greatest_peak_gain").alias("greatest_peak_gain"))
 
 
