@@ -132,11 +132,17 @@ def screened_share(scored: DataFrame, keys: list[str]) -> DataFrame:
     return ran.select(*keys, "score", "n", (F.col("cum_n") / F.col("tot_n")).alias("screen"))
 
 
-def score_risk_table(scored: DataFrame, score_risk: DataFrame, keys: list[str], prevalence: Column) -> DataFrame:
-    """Risk, relative risk, share screened and cases at or above each score seen."""
-    counts = scored.groupBy(*keys, "score").agg(
+def score_counts_by_card(scored: DataFrame, keys: list[str]) -> DataFrame:
+    return scored.groupBy(*keys, "score").agg(
         F.sum((~F.col("is_event")).cast("long")).alias("normal"),
         F.sum(F.col("is_event").cast("long")).alias("abnormal"))
+
+
+def score_risk_table(counts: DataFrame, score_risk: DataFrame, keys: list[str], prevalence: Column) -> DataFrame:
+    """Risk, relative risk, share screened and cases at or above each score seen.
+
+    ``counts`` comes from ``score_counts_by_card``; scores never seen are left out.
+    """
     ran = running_totals(counts, keys, "score", ["normal", "abnormal"], descending=True)
     seen = ran.select(
         *keys, "score",
@@ -163,8 +169,10 @@ def points_matrix(points: DataFrame, keys: list[str], items: list[str]) -> DataF
 
 
 def used_items(points: DataFrame) -> DataFrame:
-    """Items some card uses, the one with the largest |points| first."""
-    return points.groupBy("item").agg(F.max(F.abs("points")).alias("largest")).filter("largest > 0")
+    """Items some card uses, with their largest |points| and place by it."""
+    largest = points.groupBy("item").agg(F.max(F.abs("points")).alias("largest")).filter("largest > 0")
+    by_size = Window.orderBy(F.col("largest").desc())  # one row per item
+    return largest.withColumn("place", F.rank().over(by_size))
 
 
 def screen_columns(df: DataFrame, cards: dict[str, Card], cutoffs: dict[str, float], keep: list[str]) -> DataFrame:
@@ -188,3 +196,20 @@ def pattern_counts(screens: DataFrame, names: list[str]) -> DataFrame:
     """How many records show each combination of screening results."""
     text = F.concat_ws("_", *[F.col(n) for n in names])
     return screens.groupBy(text.alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def pattern_flows(counted: DataFrame, names: list[str]) -> DataFrame:
+    """One row per pattern and tool, in long form."""
+    marks = F.split("pattern", "_")
+    return counted.select("pattern", "n", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("tool"), marks.getItem(i).alias("screen")) for i, t in enumerate(names)
+    ])))
+
+
+def contributions(subjects: DataFrame, points: DataFrame, items: list[str], ids: list[str], keys: list[str]) -> DataFrame:
+    """What each item adds to each subject's total under each card (few subjects)."""
+    entries = subjects.unpivot(ids, items, "item", "entry")
+    joined = entries.join(F.broadcast(points.select(*keys, "item", "points")), "item")
+    valued = joined.withColumn("value", F.col("entry") * F.col("points"))
+    total = F.sum("value").over(Window.partitionBy(*keys, *ids)).cast("int")
+    return valued.withColumn("total", total)

@@ -101,16 +101,19 @@ def pr_curve(df: DataFrame, keys: list[str], score: str = "score", event: str =
     return points.unionByName(start, allowMissingColumns=True)
 
 
-def auc(totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve (ties count half) from ``threshold_totals``.
+def area() -> Column:
+    """Aggregate over ``threshold_totals`` rows: area under the ROC curve, ties count half.
 
     A threshold adds its negatives times the positives above it, plus half of
     the positives tied with them; sums need no neighbour row.
     """
     above = F.col("cum_pos") - F.col("pos")
-    area = F.sum(F.col("neg") * (above.cast("double") + F.col("pos") / 2))
-    size = F.max(F.col("tot_pos").cast("double") * F.col("tot_neg"))
-    return totals.groupBy(*keys).agg(ratio(area, size).alias("roc_auc"))
+    wins = F.sum(F.col("neg") * (above.cast("double") + F.col("pos") / 2))
+    return ratio(wins, F.max(F.col("tot_pos").cast("double") * F.col("tot_neg")))
+
+
+def auc(totals: DataFrame, keys: list[str]) -> DataFrame:
+    return totals.groupBy(*keys).agg(area().alias("roc_auc"))
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str = "score", event: str = "is_event",
@@ -135,39 +138,40 @@ def pr_auc(df: DataFrame, keys: list[str], score: str = "score", event: str = "i
 
 
 def metric_table(df: DataFrame, keys: list[str], prob: str = "p_event", pred: str = "pred_class",
-                 event: str = "is_event", event_label: str = "Abnormal", wide: bool | None = None,
-                 discrete: bool = False) -> DataFrame:
+                 event: str = "is_event", event_label: str = "Abnormal", discrete: bool = False,
+                 counted: bool = False) -> DataFrame:
     """Long metric table: accuracy, Cohen's kappa, mean log loss, area under ROC.
 
-    ``discrete``: p_event takes few values (a score card), so rows are counted
-    per value once and everything else runs on that small table.
+    One pass over the rows, which are counted per distinct probability;
+    ``discrete`` says that there are few of those (a score card). ``counted``
+    input has pos and n per row in place of the event.
     """
-    hit = F.col(event)
-    called = F.col(pred) == event_label
-    counts = df.filter(hit.isNotNull() & F.col(prob).isNotNull()).groupBy(
-        *keys, F.col(prob).alias("score"), called.alias("called")
-    ).agg(F.sum(hit.cast("long")).alias("pos"), F.sum(1 - hit.cast("long")).alias("neg"))
-    n, pos, neg = F.sum(F.col("pos") + F.col("neg")), F.sum("pos"), F.sum("neg")
-    tp = F.sum(F.when(F.col("called"), F.col("pos")).otherwise(0))
-    fp = F.sum(F.when(F.col("called"), F.col("neg")).otherwise(0))
+    called = (F.col(pred) == event_label).cast("long")
+    if counted:
+        hit, miss = F.col("pos"), F.col("n") - F.col("pos")
+        known = df.filter(F.col(prob).isNotNull())
+    else:
+        hit = F.col(event).cast("long")
+        miss = 1 - hit
+        known = df.filter(F.col(event).isNotNull() & F.col(prob).isNotNull())
+    counts = known.groupBy(*keys, F.col(prob).alias("score")).agg(
+        F.sum(hit).alias("pos"), F.sum(miss).alias("neg"),
+        F.sum(hit * called).alias("tp"), F.sum(miss * called).alias("fp"))
+    totals = running_totals(counts, keys, "score", ["pos", "neg"], descending=True, wide=not discrete)
     tiny = 2.220446049250313e-16
     p = F.greatest(F.lit(tiny), F.least(F.lit(1 - tiny), F.col("score")))
-    loss = -F.sum(F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p))
-    flat = counts.groupBy(*keys).agg(
-        n.alias("n"), pos.alias("n_pos"), neg.alias("n_neg"), tp.alias("tp"), fp.alias("fp"), loss.alias("loss"))
-    agree = F.col("tp") + F.col("n_neg") - F.col("fp")
-    observed = ratio(agree, F.col("n"))
-    called_n = F.col("tp") + F.col("fp")
+    flat = totals.groupBy(*keys).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
+        (-F.sum(F.col("pos") * F.ln(p) + F.col("neg") * F.ln(1 - p))).alias("loss"), area().alias("roc_auc"))
+    n, called_n = F.col("n_pos") + F.col("n_neg"), F.col("tp") + F.col("fp")
+    observed = ratio(F.col("tp") + F.col("n_neg") - F.col("fp"), n)
     chance = ratio(
-        called_n.cast("double") * F.col("n_pos") + (F.col("n") - called_n).cast("double") * F.col("n_neg"),
-        F.col("n").cast("double") * F.col("n"))
-    flat = flat.select(
+        called_n.cast("double") * F.col("n_pos") + (n - called_n).cast("double") * F.col("n_neg"),
+        n.cast("double") * n)
+    named = flat.select(
         *keys, observed.alias("accuracy"), ratio(observed - chance, 1 - chance).alias("kap"),
-        ratio(F.col("loss"), F.col("n")).alias("mn_log_loss"))
-    per_score = counts.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    areas = roc_auc(per_score, keys, wide=False if discrete else wide, counted=True)
-    both = same_keys(flat, areas, keys) if keys else flat.withColumn("roc_auc", areas.scalar())
-    return long_metrics(both, keys, ["accuracy", "kap", "mn_log_loss", "roc_auc"])
+        ratio(F.col("loss"), n).alias("mn_log_loss"), "roc_auc")
+    return long_metrics(named, keys, ["accuracy", "kap", "mn_log_loss", "roc_auc"])
 
 
 def long_metrics(wide_df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -32,10 +32,10 @@ def date_summary(df: DataFrame, column: str) -> DataFrame:
     ).withColumn("median", as_date(middle.select("middle").scalar()))
 
 
-def histogram(df: DataFrame, column: str, width: Column) -> DataFrame:
+def histogram(df: DataFrame, column: str, width: Column, by: list[str] = ()) -> DataFrame:
     """Counts per bin [k*width, (k+1)*width)."""
     bin_no = F.floor(F.col(column) / width)
-    return df.filter(F.col(column).isNotNull()).groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
+    return df.filter(F.col(column).isNotNull()).groupBy(*by, bin_no.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def spread_width(df: DataFrame, column: str, bins: int = 24) -> Column:

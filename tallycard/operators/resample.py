@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycard import settings
@@ -48,19 +48,16 @@ def folds(df: DataFrame, strata: list[str], key: str, v: int = settings.N_FOLDS,
     return placed.withColumn("fold", ((F.col("position") - 1) % v + 1).cast("int")).drop("position")
 
 
-def fold_roles(df: DataFrame, v: int) -> DataFrame:
+def fold_roles(df: DataFrame) -> DataFrame:
     """Per fold and role: rows and events. One pass; 'train' is total minus fold."""
     per_fold = df.groupBy("fold").agg(
         F.count("*").alias("n"), F.sum(F.col("is_event").cast("long")).alias("events"))
-    # at most v rows from here on
-    whole = per_fold.agg(F.sum("n").alias("all_n"), F.sum("events").alias("all_events"))
-    test = per_fold.select("fold", F.lit("test").alias("role"), "n", "events")
-    train = per_fold.select(
-        "fold", F.lit("train").alias("role"),
-        (whole.select("all_n").scalar() - F.col("n")).alias("n"),
-        (whole.select("all_events").scalar() - F.col("events")).alias("events"),
-    )
-    return test.unionByName(train)
+    whole = Window.partitionBy()  # one row per fold
+    rest = lambda c: F.sum(c).over(whole) - F.col(c)
+    sides = per_fold.withColumns({"_n": rest("n"), "_events": rest("events")})
+    return sides.select("fold", F.inline(F.array(
+        F.struct(F.lit("test").alias("role"), F.col("n"), F.col("events")),
+        F.struct(F.lit("train").alias("role"), F.col("_n").alias("n"), F.col("_events").alias("events")))))
 
 
 def split_audit(assigned: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycard import settings
+from tallycard.models.batch_fit import FitSpec, fit_many
+from tallycard.models.card_search import card_search
+from tallycard.models.knn import bit_code, neighbour_share, shells, without_fold
+from tallycard.operators.cards import score_records
+from tallycard.operators.evaluate import metric_table
+from tallycard.session import settled
+from tallycard.sources.tables import pending_cells, read_or_empty, write_cell
 
 
 def _setting(model: str, **values) -> Column:
@@ -28,3 +39,78 @@ def tuning_grid(folds: DataFrame, n_predictors: int) -> DataFrame:
     rows += [_setting("integer card", terms=t, bound=b)
              for t in (settings.CARD_TERMS_LOW, n_predictors - 1) for b in settings.CARD_BOUNDS]
     return folds.select(F.inline(F.array(*rows)), "*")
+
+
+def ridge_cv(pats: DataFrame, features: list[str], penalties: list[float], v: int) -> DataFrame:
+    """Metrics of every penalty on every fold, from patterns per fold.
+
+    All fits share their Newton steps; the held-out patterns of a fold are
+    scored by an expression per penalty.
+    """
+    pats = settled(pats)
+    specs = [FitSpec(f"{p!r}|{k}", tuple(features), p, k) for p in penalties for k in range(1, v + 1)]
+    fits = fit_many(pats, specs)
+
+    def held_out(p: float) -> Column:
+        out = F.lit(None).cast("double")
+        for k in range(1, v + 1):
+            out = F.when(F.col("fold") == k, fits[f"{p!r}|{k}"].p_event()).otherwise(out)
+        return out
+
+    rows = F.inline(F.array(*[F.struct(F.lit(p).alias("penalty"), held_out(p).alias("p_event")) for p in penalties]))
+    counted = pats.select("fold", "pos", "n", rows).withColumn(
+        "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
+    return metric_table(counted, ["penalty", "fold"], discrete=True, counted=True)
+
+
+def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels: list[str]) -> DataFrame:
+    """Metrics of every number of neighbours and kernel on every fold, one pass of shells."""
+    pats = settled(pats)
+    near = settled(without_fold(shells(pats, features, keys=["fold"])))
+    coded = pats.withColumn("code", bit_code(features))
+    parts = []
+    for kernel in kernels:
+        many = near.withColumn("neighbors", F.explode(F.lit(neighbors)))
+        share = neighbour_share(many, F.col("neighbors"), kernel, ["fold", "neighbors"])
+        parts.append(coded.join(share, ["fold", "code"]).withColumn("weight_func", F.lit(kernel)))
+    pred = reduce(DataFrame.unionByName, parts).withColumn(
+        "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
+    return metric_table(pred, ["neighbors", "weight_func", "fold"], discrete=True, counted=True)
+
+
+def card_cv(pats: DataFrame, features: list[str], terms: list[int], bounds: list[int], v: int, pool: int = 2,
+            beam: int = 8, multipliers: int = 16) -> DataFrame:
+    """Metrics of searched cards per setting, fold and number in the pool."""
+    pats = settled(pats)
+    parts = []
+    for k in range(1, v + 1):
+        train = pats.filter(F.col("fold") != k).groupBy(*features).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        test = pats.filter(F.col("fold") == k)
+        for t in terms:
+            for b in bounds:
+                found = card_search(train, features, t, b, pool, beam, multipliers)
+                cards = {str(c.number): (c.intercept, c.multiplier, c.points) for c in found}
+                scored = score_records(test, cards, ["fold", "pos", "n"])
+                parts.append(scored.select(
+                    F.lit(t).alias("terms"), F.lit(b).alias("bound"), F.col("card").cast("int").alias("number"),
+                    "fold", "pos", "n", F.col("risk").alias("p_event")))
+    pred = reduce(DataFrame.unionByName, parts).withColumn(
+        "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
+    return metric_table(pred, ["terms", "bound", "number", "fold"], discrete=True, counted=True)
+
+
+def resume(spark: SparkSession, path: str, cells: list[dict[str, str]], schema: T.StructType,
+           run_cell: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
+    """Run the cells that have no stored result yet and return the whole table.
+
+    A cell is written as its own partition, so repeating one replaces it and a
+    broken run continues where it stopped.
+    """
+    names = list(cells[0])
+    grid = spark.createDataFrame([tuple(c[n] for n in names) for c in cells], ", ".join(f"{n} string" for n in names))
+    done = read_or_empty(spark, path, schema)
+    for row in pending_cells(grid, done, names).collect():  # one row per experiment
+        cell = row.asDict()
+        result = run_cell(cell).withColumns({n: F.lit(v) for n, v in cell.items()})
+        write_cell(result, path, names)
+    return read_or_empty(spark, path, schema)

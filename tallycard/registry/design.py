@@ -46,7 +46,7 @@ WITH {STUDY_SQL}, {FOLD_SQL}, k AS (SELECT DISTINCT fold AS k FROM folded)
 SELECT k AS fold, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(is_event::INT)::BIGINT AS events
 FROM folded, k GROUP BY ALL""")
 def fold_sizes(spark, sf):
-    return resample.fold_roles(folded(spark, sf), settings.N_FOLDS)
+    return resample.fold_roles(folded(spark, sf))
 
 
 @query("tuning_grid", f"""
@@ -66,7 +66,7 @@ def tuning_grid(spark, sf):
     """Every setting of every family on every fold, with the sizes of the fold's sets."""
     names = cohort(spark, sf).columns
     n_pred = len(chosen(names, [s for spec in SPECS.values() for s in spec]))
-    roles = resample.fold_roles(folded(spark, sf), settings.N_FOLDS)
+    roles = resample.fold_roles(folded(spark, sf))
     sizes = roles.groupBy("fold").pivot("role", ["train", "test"]).agg(F.sum("n")).withColumnsRenamed(
         {"train": "n_train", "test": "n_test"})
     return grid_of(sizes, n_pred)

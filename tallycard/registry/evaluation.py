@@ -12,6 +12,7 @@ from tallycard.operators.evaluate import (
     roc_points, screen_performance, threshold_totals,
 )
 from tallycard.registry.base import query, r6
+from tallycard.session import settled
 from tallycard.sources.fixtures import CARDS, DOCS_SQL, SCORED_SQL, STUDY_SQL, doc_scores, study, table
 
 RATES = ["sensitivity", "specificity", "precision", "recall"]
@@ -66,7 +67,8 @@ roc AS (SELECT model, score, tp::DOUBLE / nullif(p, 0)::DOUBLE AS sensitivity, 1
 
 
 def card_totals(spark, sf):
-    return threshold_totals(score_records(study(spark, sf), CARDS, ["is_event"]), ["card"])
+    """Counts per card and score, written once: the queries below use them several times."""
+    return settled(threshold_totals(score_records(study(spark, sf), CARDS, ["is_event"]), ["card"]))
 
 
 def card_roc(spark, sf):
@@ -151,7 +153,7 @@ d AS (SELECT card, score, specificity - g_spec AS ds, sensitivity - g_sens AS dt
 SELECT card, score, side, round(ds, 6) AS specificity_diff, round(dt, 6) AS sensitivity_diff FROM d
 QUALIFY abs(ds) = min(abs(ds)) OVER (PARTITION BY card, side)""")
 def gain_vs_guideline(spark, sf):
-    roc = card_roc(spark, sf)
+    roc = card_roc(spark, sf)  # a few rows per card
     guide = roc.filter("card = 'C0' AND score = 1")
     spec, sens = guide.select("specificity").scalar(), guide.select("sensitivity").scalar()
     near = nearest_either_side(roc.filter("card <> 'C0'"), ["card"], "specificity", spec)

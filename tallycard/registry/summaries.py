@@ -13,10 +13,10 @@ from tallycard.operators import clean, report, resample
 from tallycard.operators.cards import score_records, screened_share
 from tallycard.operators.encode import levels_present
 from tallycard.operators.evaluate import (
-    best_settings, gain_summary as peak_gains, long_metrics, mean_interval, roc_auc, roc_points, score_counts, screen_performance,
+    area, best_settings, gain_summary as peak_gains, long_metrics, mean_interval, roc_points, screen_performance,
     threshold_totals,
 )
-from tallycard.operators.prefix import numbered, same_keys
+from tallycard.operators.prefix import numbered
 from tallycard.registry.base import query, r6
 from tallycard.registry.tables import AGE_SQL
 from tallycard.sources.fixtures import (
@@ -241,10 +241,10 @@ def replicate_metrics(spark, sf):
         for m, t, b, x in variants
     ]))
     keys = ["model", "terms", "bound", "fold"]
-    counts = score_counts(s.select("fold", "is_event", rows), keys, "score", "is_event")
+    totals = threshold_totals(s.select("fold", "is_event", rows), keys)
     right = F.when(F.col("score") >= 2, F.col("pos")).otherwise(F.col("neg"))
-    accuracy = counts.groupBy(*keys).agg(ratio(F.sum(right), F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"))
-    both = same_keys(accuracy, roc_auc(counts, keys, counted=True), keys)
+    both = totals.groupBy(*keys).agg(
+        ratio(F.sum(right), F.sum(F.col("pos") + F.col("neg"))).alias("accuracy"), area().alias("roc_auc"))
     return long_metrics(both, keys, ["accuracy", "roc_auc"]).drop("estimator")
 
 

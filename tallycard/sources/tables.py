@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycard.session import settled
+
 
 def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType, date_pattern: str = "MM/dd/yyyy") -> DataFrame:
     """Header row, given types; dates that do not parse become NULL."""
@@ -62,7 +64,7 @@ def complete_cells(results: DataFrame, cell: list[str]) -> DataFrame:
 
     Sizes are counted first and joined back, so no cell is held in one task.
     """
-    sizes = results.groupBy(*cell).agg(F.count("*").alias("count"))
+    sizes = settled(results.groupBy(*cell).agg(F.count("*").alias("count")))
     largest = sizes.agg(F.max("count")).scalar()
     return results.join(sizes.filter(F.col("count") == largest), cell)
 
