@@ -50,9 +50,19 @@ def fit_logistic(rows: DataFrame, features: list[str], penalty: float = 0.0, lab
     return LinearFit(float(model.intercept), dict(zip(features, map(float, model.coefficients))))
 
 
-def fit_svm(rows: DataFrame, features: list[str], penalty: float = 0.01) -> LinearFit:
+def balanced_weights(rows: DataFrame) -> DataFrame:
+    """Give both classes the same total weight, for margins under a rare event."""
+    totals = {r["label"]: r["w"] for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    whole = sum(totals.values())
+    share = F.lit(None).cast("double")
+    for label, w in totals.items():
+        share = F.when(F.col("label") == label, F.lit(whole / (len(totals) * w))).otherwise(share)
+    return rows.withColumn("weight", F.col("weight") * share)
+
+
+def fit_svm(rows: DataFrame, features: list[str], penalty: float = 0.1) -> LinearFit:
     """Linear support vector machine; its margin is not a probability, see ``calibrated``."""
-    svc = LinearSVC(weightCol="weight", regParam=penalty, maxIter=50)
+    svc = LinearSVC(weightCol="weight", regParam=penalty, maxIter=30, tol=1e-4)
     model = svc.fit(assembled(rows, features))
     return LinearFit(float(model.intercept), dict(zip(features, map(float, model.coefficients))))
 

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycard.models.linear import LinearFit, calibrated, fit_svm
+from tallycard.models.linear import LinearFit, balanced_weights, calibrated, fit_svm
 from tallycard.operators.encode import assembled
 
 
@@ -37,15 +37,18 @@ class SvmFit:
         return out.withColumn("pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
 
 
-def fit_svm_linear(rows: DataFrame, features: list[str], penalty: float = 0.01) -> SvmFit:
-    linear = fit_svm(rows, features, penalty)
+def fit_svm_linear(rows: DataFrame, features: list[str], penalty: float = 0.1, balanced: bool = True) -> SvmFit:
+    """``balanced``: without it a rare event gives a constant margin. The curve uses the true weights."""
+    linear = fit_svm(balanced_weights(rows) if balanced else rows, features, penalty)
     return SvmFit(features, calibrated(rows, linear.margin()), linear=linear)
 
 
-def fit_svm_poly(rows: DataFrame, features: list[str], degree: int, penalty: float = 0.01) -> SvmFit:
+def fit_svm_poly(rows: DataFrame, features: list[str], degree: int, penalty: float = 0.1,
+                 balanced: bool = True) -> SvmFit:
     """All products of up to ``degree`` features as explicit new features."""
     expansion = PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded")
-    expanded = expansion.transform(assembled(rows, features))
-    machine = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=50).fit(expanded)
+    expanded = expansion.transform(assembled(balanced_weights(rows) if balanced else rows, features))
+    svc = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=30, tol=1e-4)
+    machine = svc.fit(expanded)
     draft = SvmFit(features, LinearFit(0.0, {}), expansion=expansion, machine=machine)
     return SvmFit(features, calibrated(draft.with_margin(rows), F.col("margin")), expansion=expansion, machine=machine)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycard.functions.values import hash_key
-from tallycard.session import settled
+from tallycard.session import settled, small_side
 
 SLICE = "_slice"
 
@@ -87,7 +87,7 @@ def running_totals(
         Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({f"cum_{m}": F.sum(m).over(inside) for m in measures})
     return (
-        same_keys(local, offsets, keys)
+        same_keys(local, small_side(offsets), keys)
         .withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"off_{m}") for m in measures})
         .drop(SLICE, *[f"off_{m}" for m in measures])
     )
@@ -156,7 +156,7 @@ def hash_positions(
     hashed = _with_hash(df, key, seed, digits)
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
     ranked = hashed.withColumn("_rank", F.row_number().over(inside))
-    counts = _slice_counts(hashed, strata).drop("_in", "_total")
+    counts = small_side(_slice_counts(hashed, strata).drop("_in", "_total"))
     return (
         same_keys(ranked, counts, [*strata, SLICE])
         .withColumn(name, (F.col("_before") + F.col("_rank")).cast("long"))
@@ -175,17 +175,18 @@ def mark_first(
 ) -> DataFrame:
     """Boolean ``name``: is the row among the first ``wanted(total)`` of its stratum?
 
-    Whole hash ranges are decided from their counts; only the one range per
-    stratum that holds the border is ordered.
+    Counts per hash range tell in which one range of a stratum the border lies;
+    only that range is ordered, which gives the last hash to take. The result is
+    then a comparison row by row: the table itself is never shuffled.
     """
-    hashed = _with_hash(df, key, seed, digits)
-    counts = _slice_counts(hashed, strata)
-    plan = counts.withColumn(
-        "_take", F.greatest(F.lit(0), F.least("_in", wanted(F.col("_total")) - F.col("_before")))
-    ).select(*strata, SLICE, "_in", "_take")
-    placed = same_keys(hashed, plan, [*strata, SLICE])
-    border = (F.col("_take") > 0) & (F.col("_take") < F.col("_in"))
+    slim = _with_hash(df.select(*strata, key), key, seed, digits)
+    counts = _slice_counts(slim, strata)
+    border = counts.withColumn("_take", wanted(F.col("_total")) - F.col("_before")).filter(
+        (F.col("_take") > 0) & (F.col("_take") <= F.col("_in"))).select(*strata, SLICE, "_take")
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
-    clear = placed.filter(~border).withColumn(name, F.col("_take") > 0)
-    ranked = placed.filter(border).withColumn(name, F.row_number().over(inside) <= F.col("_take"))
-    return clear.unionByName(ranked).drop("_hash", SLICE, "_in", "_take")
+    near = same_keys(slim, small_side(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
+    last = near.filter(F.col("_rank") == F.col("_take")).select(
+        *strata, F.struct(F.col("_hash").alias("h"), F.col(key).alias("k")).alias("_last"))
+    placed = same_keys(df, small_side(last), strata, "left")
+    here = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k"))
+    return placed.withColumn(name, F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

@@ -13,6 +13,7 @@ from tallycard.plans.tuning import tuning_grid as grid_of
 from tallycard.registry.base import query
 from tallycard.registry.summaries import FOLD_SQL
 from tallycard.registry.tables import SPECS, SPLIT_SQL, split_table
+from tallycard.session import settled
 from tallycard.sources.fixtures import COHORT_SQL, FLAGS, STUDY_SQL, cohort, order_side, study
 
 
@@ -33,7 +34,8 @@ def strat_split_nested(spark, sf):
 
 
 def folded(spark, sf):
-    return resample.folds(study(spark, sf).select("record_id", "is_event", *FLAGS), ["is_event"], "record_id")
+    s = settled(study(spark, sf).select("record_id", "is_event", *FLAGS))
+    return resample.folds(s, ["is_event"], "record_id")
 
 
 @query("strat_folds", f"WITH {STUDY_SQL}, {FOLD_SQL} SELECT record_id, is_event, fold FROM folded")

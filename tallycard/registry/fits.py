@@ -19,8 +19,9 @@ from tallycard.sources.fixtures import CARDS, COHORT_SQL, FLAGS, STUDY_SQL, coho
 
 
 def train_test(spark, sf):
-    s = resample.split(study(spark, sf), ["is_event"], "record_id", settings.TRAIN_FRACTION)
-    return s
+    """The study table is written once: splitting looks at it several times."""
+    s = settled(study(spark, sf).select("record_id", "is_event", "gender", "guideline", *FLAGS))
+    return resample.split(s, ["is_event"], "record_id", settings.TRAIN_FRACTION)
 
 
 TT_SQL = STUDY_SQL + f""",
@@ -57,8 +58,8 @@ def lr_ridge(spark, sf):
     """Cross-validated metrics of every penalty, all folds and penalties fitted together."""
 
 
-    folded = resample.folds(study(spark, sf).select("record_id", "is_event", *FLAGS), ["is_event"], "record_id")
-    pats = patterns(folded, FLAGS, keys=["fold"])
+    s = settled(study(spark, sf).select("record_id", "is_event", *FLAGS))
+    pats = patterns(resample.folds(s, ["is_event"], "record_id"), FLAGS, keys=["fold"])
     return ridge_cv(pats, FLAGS, settings.PENALTIES[3:], settings.N_FOLDS)
 
 
@@ -191,8 +192,10 @@ def conditional_table(spark, sf):
     c = cohort(spark, sf).filter(
         (F.col("smoking_history_cigarette") != "(Missing)") & (F.col("any_tobacco_exposure") != "(Missing)"))
     c = c.withColumn("age_guess", clean.age_guess())
-    c = conditional.with_classes(c).dropna(subset=[*FLAGS, "age_guess", "smoking_history_cigarette"])
-    return resample.split(c, ["abnormal"], "record_id", 2 / 3)
+    c = conditional.with_classes(c).dropna(subset=[*FLAGS, "age_guess", "smoking_history_cigarette"]).select(
+        "record_id", "genotype", "abnormal", "is_zz", "age_guess", "smoking_history_cigarette",
+        "any_tobacco_exposure", *FLAGS)
+    return resample.split(settled(c), ["abnormal"], "record_id", 2 / 3)
 
 
 @query("conditional_shares", f"""

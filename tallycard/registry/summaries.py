@@ -19,6 +19,7 @@ from tallycard.operators.evaluate import (
 from tallycard.operators.prefix import numbered
 from tallycard.registry.base import query, r6
 from tallycard.registry.tables import AGE_SQL
+from tallycard.session import settled
 from tallycard.sources.fixtures import (
     CARDS, COHORT_SQL, FLAGS, SCORED_SQL, STUDY_SQL, cohort, guideline_v1, guideline_v2, order_side, study, table,
 )
@@ -228,7 +229,7 @@ _TERMS = {
 def replicate_metrics(spark, sf):
     """Accuracy (class at score >= 2) and area under ROC per model, setting and fold."""
     s = resample.folds(
-        study(spark, sf).select("record_id", "is_event", "guideline", *FLAGS), ["is_event"], "record_id")
+        settled(study(spark, sf).select("record_id", "is_event", "guideline", *FLAGS)), ["is_event"], "record_id")
     variants = [("guideline", None, None, F.col("guideline").cast("int") * 2)]
     for model, items in _TERMS.items():
         for terms in (1, 2, 3):

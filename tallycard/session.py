@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> SparkSession:
@@ -54,3 +55,16 @@ def settled(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table meant for the small side of a join, written once and counted.
+
+    It is marked for broadcast only if it really is small; otherwise the join is
+    left to shuffle.
+    """
+    kept = settled(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
