@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycard.operators.prefix import same_keys
+from tallycard.session import small_side
 
 FLIPS_AT_ONCE = 4
 
@@ -44,14 +44,11 @@ def shells(pats: DataFrame, features: list[str], keys: list[str] = ()) -> DataFr
     return out
 
 
-def without_fold(by_fold: DataFrame) -> DataFrame:
-    """Shells of everything but the fold, from shells kept per fold."""
+def without_fold(by_fold: DataFrame, v: int) -> DataFrame:
+    """Shells of everything but the fold (1..v), from shells kept per fold."""
     total = by_fold.groupBy("code", "distance").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
-    folds = by_fold.select("fold").distinct()  # a handful of rows
-    every = total.join(F.broadcast(folds.groupBy().agg(F.collect_set("fold").alias("_f"))), F.lit(True)).select(
-        "code", "distance", "_n", "_pos", F.explode("_f").alias("fold"))
-    mine = same_keys(every, by_fold, ["code", "distance", "fold"], "left")
-    rest = mine.select(
+    every = total.withColumn("fold", F.explode(F.lit(list(range(1, v + 1)))))
+    rest = every.join(by_fold, ["code", "distance", "fold"], "left").select(
         "fold", "code", "distance", (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"),
         (F.col("_pos") - F.coalesce("pos", F.lit(0))).alias("pos"))
     return rest.filter("n > 0")
@@ -79,9 +76,11 @@ def neighbour_share(near: DataFrame, k: Column, kernel: str, keys: list[str] = (
         (F.sum(mass * F.col("pos") / F.col("n")) / F.sum(mass)).alias("p_event"))
 
 
-def knn_predict(train_pats: DataFrame, test_pats: DataFrame, features: list[str], k: int, kernel: str) -> DataFrame:
-    """Event share of the k nearest training records for every test pattern."""
-    near = shells(train_pats, features)
-    wanted = test_pats.withColumn("code", bit_code(features))
-    asked = near.join(wanted.select("code").distinct(), "code", "left_semi")
-    return wanted.join(neighbour_share(asked, F.lit(k), kernel), "code").drop("code")
+def knn_predict(train_pats: DataFrame, test: DataFrame, features: list[str], k: int, kernel: str) -> DataFrame:
+    """``test`` with p_event: the event share of the k nearest training records.
+
+    ``test`` may be patterns or records; the shares are one row per pattern and
+    are broadcast if that is few, so a frequent pattern is no hot join key.
+    """
+    share = neighbour_share(shells(train_pats, features), F.lit(k), kernel)
+    return test.withColumn("code", bit_code(features)).join(small_side(share), "code", "left").drop("code")

@@ -181,7 +181,8 @@ def mark_first(
     """
     slim = _with_hash(df.select(*strata, key), key, seed, digits)
     counts = _slice_counts(slim, strata)
-    border = counts.withColumn("_take", wanted(F.col("_total")) - F.col("_before")).filter(
+    goal = F.least(wanted(F.col("_total")), F.col("_total"))
+    border = counts.withColumn("_take", goal - F.col("_before")).filter(
         (F.col("_take") > 0) & (F.col("_take") <= F.col("_in"))).select(*strata, SLICE, "_take")
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
     near = same_keys(slim, small_side(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))

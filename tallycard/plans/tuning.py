@@ -13,6 +13,7 @@ from tallycard import settings
 from tallycard.models.batch_fit import FitSpec, fit_many
 from tallycard.models.card_search import card_search
 from tallycard.models.knn import bit_code, neighbour_share, shells, without_fold
+from tallycard.models.trees import fit_forest, predicted
 from tallycard.operators.cards import score_records
 from tallycard.operators.evaluate import metric_table
 from tallycard.session import settled
@@ -63,10 +64,10 @@ def ridge_cv(pats: DataFrame, features: list[str], penalties: list[float], v: in
     return metric_table(counted, ["penalty", "fold"], discrete=True, counted=True)
 
 
-def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels: list[str]) -> DataFrame:
+def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels: list[str], v: int) -> DataFrame:
     """Metrics of every number of neighbours and kernel on every fold, one pass of shells."""
     pats = settled(pats)
-    near = settled(without_fold(shells(pats, features, keys=["fold"])))
+    near = settled(without_fold(shells(pats, features, keys=["fold"]), v))
     coded = pats.withColumn("code", bit_code(features))
     parts = []
     for kernel in kernels:
@@ -78,6 +79,23 @@ def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels:
     return metric_table(pred, ["neighbors", "weight_func", "fold"], discrete=True, counted=True)
 
 
+def forest_cv(rows: DataFrame, features: list[str], trees: list[int], mtry: list[int], v: int) -> DataFrame:
+    """Metrics of forests per number of trees, predictors per split and fold.
+
+    Forests need single records (record_id, fold, label, is_event, features).
+    """
+    rows = settled(rows)
+    parts = []
+    for k in range(1, v + 1):
+        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+        for t in trees:
+            for m in mtry:
+                model = fit_forest(train, features, t, m)
+                pred = predicted(model, test, features, ["fold", "is_event"])
+                parts.append(pred.withColumns({"trees": F.lit(t), "mtry": F.lit(m)}))
+    return metric_table(reduce(DataFrame.unionByName, parts), ["trees", "mtry", "fold"], discrete=True)
+
+
 def card_cv(pats: DataFrame, features: list[str], terms: list[int], bounds: list[int], v: int, pool: int = 2,
             beam: int = 8, multipliers: int = 16) -> DataFrame:
     """Metrics of searched cards per setting, fold and number in the pool."""
