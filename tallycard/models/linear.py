@@ -39,15 +39,37 @@ def classed(df: DataFrame, keep: list[str], p_event: Column) -> DataFrame:
         "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
 
 
+def spreads(rows: DataFrame, features: list[str], weight: str | None) -> dict[str, float]:
+    """Standard deviation of every feature, a weight of w counting as w records."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    x = {f: F.col(f).cast("double") for f in features}
+    row = rows.agg(
+        F.sum(w).alias("n"), *[F.sum(w * x[f]).alias(f"s{i}") for i, f in enumerate(features)],
+        *[F.sum(w * x[f] * x[f]).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    n = row["n"]
+    return {
+        f: (max(row[f"q{i}"] - row[f"s{i}"] ** 2 / n, 0.0) / max(n - 1, 1.0)) ** 0.5 for i, f in enumerate(features)
+    }
+
+
 def fit_logistic(rows: DataFrame, features: list[str], penalty: float = 0.0, label: str = "label",
                  weight: str | None = "weight") -> LinearFit:
-    """Weighted logistic regression; ``penalty`` is the ridge strength on standardized features."""
+    """Weighted logistic regression; ``penalty`` is the ridge strength on standardized features.
+
+    Features are standardized here, since the library's own scaling does not
+    treat a weight as that many records and would change the penalty.
+    """
+    scale = {f: 1.0 for f in features}
+    if penalty:
+        scale = {f: s or 1.0 for f, s in spreads(rows, features, weight).items()}
+        rows = rows.withColumns({f: F.col(f).cast("double") / F.lit(scale[f]) for f in features})
     lr = LogisticRegression(
-        labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=100, tol=1e-8)
+        labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8)
     if weight:
         lr = lr.setWeightCol(weight)
     model = lr.fit(assembled(rows, features))
-    return LinearFit(float(model.intercept), dict(zip(features, map(float, model.coefficients))))
+    return LinearFit(
+        float(model.intercept), {f: float(c) / scale[f] for f, c in zip(features, model.coefficients)})
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
