@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycard.session import small_side
+from tallycard.session import settled
 
 FLIPS_AT_ONCE = 4
 
@@ -83,4 +83,4 @@ def knn_predict(train_pats: DataFrame, test: DataFrame, features: list[str], k:
     are broadcast if that is few, so a frequent pattern is no hot join key.
     """
     share = neighbour_share(shells(train_pats, features), F.lit(k), kernel)
-    return test.withColumn("code", bit_code(features)).join(small_side(share), "code", "left").drop("code")
+    return test.withColumn("code", bit_code(features)).join(settled(share), "code", "left").drop("code")

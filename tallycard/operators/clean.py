@@ -198,7 +198,7 @@ def analysis_table(predictors: DataFrame, responses: DataFrame, columns: list[st
                    test: Column) -> DataFrame:
     """One experiment cell: chosen predictors, complete, joined to the labelled response."""
     left = predictors.select("record_id", *columns).dropna()
-    right = responses.select("record_id", "genotype").join(F.broadcast(included), "genotype", "left_semi")
+    right = responses.select("record_id", "genotype").join(included, "genotype", "left_semi")
     return label_response(right, test).join(left, "record_id").withColumn(
         "is_event", F.col("geno_class") == "Abnormal")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycard.functions.values import hash_key
-from tallycard.session import settled, small_side
+from tallycard.session import settled
 
 SLICE = "_slice"
 
@@ -87,7 +87,7 @@ def running_totals(
         Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns({f"cum_{m}": F.sum(m).over(inside) for m in measures})
     return (
-        same_keys(local, small_side(offsets), keys)
+        same_keys(local, settled(offsets), keys)
         .withColumns({f"cum_{m}": F.col(f"cum_{m}") + F.col(f"off_{m}") for m in measures})
         .drop(SLICE, *[f"off_{m}" for m in measures])
     )
@@ -156,7 +156,7 @@ def hash_positions(
     hashed = _with_hash(df, key, seed, digits)
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
     ranked = hashed.withColumn("_rank", F.row_number().over(inside))
-    counts = small_side(_slice_counts(hashed, strata).drop("_in", "_total"))
+    counts = settled(_slice_counts(hashed, strata).drop("_in", "_total"))
     return (
         same_keys(ranked, counts, [*strata, SLICE])
         .withColumn(name, (F.col("_before") + F.col("_rank")).cast("long"))
@@ -185,9 +185,9 @@ def mark_first(
     border = counts.withColumn("_take", goal - F.col("_before")).filter(
         (F.col("_take") > 0) & (F.col("_take") <= F.col("_in"))).select(*strata, SLICE, "_take")
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
-    near = same_keys(slim, small_side(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
+    near = same_keys(slim, settled(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
     last = near.filter(F.col("_rank") == F.col("_take")).select(
         *strata, F.struct(F.col("_hash").alias("h"), F.col(key).alias("k")).alias("_last"))
-    placed = same_keys(df, small_side(last), strata, "left")
+    placed = same_keys(df, settled(last), strata, "left")
     here = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k"))
     return placed.withColumn(name, F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

@@ -10,7 +10,7 @@ from tallycard.operators import cards as ops
 from tallycard.operators.evaluate import screen_performance
 from tallycard.operators.report import histogram, item_prevalence, log_odds
 from tallycard.registry.base import query, r6
-from tallycard.registry.evaluation import ROC_SQL, card_roc
+from tallycard.registry.evaluation import ROC_SQL, roc_of
 from tallycard.registry.tables import PROTOTYPE_SQL, RISK_SQL, card_points, card_risks, prototype_table
 from tallycard.session import settled
 from tallycard.sources.fixtures import CARDS, FLAGS, SCORED_SQL, STUDY_SQL, order_side, study
@@ -76,8 +76,13 @@ TARGET_SQL = ROC_SQL + """,
 target AS (SELECT sum((NOT guideline AND NOT is_event)::INT)::DOUBLE / sum((NOT is_event)::INT)::DOUBLE AS spec FROM study)"""
 
 
-def guideline_specificity(spark, sf):
-    perf = screen_performance(study(spark, sf), F.col("guideline"), F.col("is_event"))
+def narrow_study(spark, sf):
+    """What the cards need of the study table, written once for the steps below."""
+    return settled(study(spark, sf).select("record_id", "is_event", "guideline", *FLAGS))
+
+
+def guideline_specificity(s):
+    perf = screen_performance(s, F.col("guideline"), F.col("is_event"))
     return settled(perf.select("specificity")).scalar()
 
 
@@ -87,9 +92,10 @@ cutoffs AS (
   QUALIFY row_number() OVER (PARTITION BY card ORDER BY abs(specificity - spec), sensitivity DESC, score) = 1)"""
 
 
-def cutoffs(spark, sf, roc=None):
+def cutoffs(s, roc=None):
+    """One row per card; ``s`` as from ``narrow_study``."""
     return ops.anchored_cutoffs(
-        roc or card_roc(spark, sf), ["card"], guideline_specificity(spark, sf), settings.SPECIFICITY_LOSS
+        roc or roc_of(s), ["card"], guideline_specificity(s), settings.SPECIFICITY_LOSS
     ).withColumnRenamed("score", "score_cutoff")
 
 
@@ -97,7 +103,7 @@ def cutoffs(spark, sf, roc=None):
 WITH {CUTOFF_SQL}
 SELECT card, score_cutoff, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM cutoffs""")
 def cutoff_select(spark, sf):
-    return cutoffs(spark, sf).select(
+    return cutoffs(narrow_study(spark, sf)).select(
         "card", "score_cutoff", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
@@ -106,8 +112,9 @@ WITH {CUTOFF_SQL}
 SELECT r.card, r.score, round(r.sensitivity, 6) AS sensitivity, round(r.specificity, 6) AS specificity, c.card IS NOT NULL AS is_cutoff
 FROM roc r LEFT JOIN cutoffs c ON r.card = c.card AND r.score = c.score_cutoff""")
 def flag_cutoff_points(spark, sf):
-    roc = card_roc(spark, sf)
-    marks = cutoffs(spark, sf, roc).select("card", F.col("score_cutoff").alias("score"), F.lit(True).alias("mark"))
+    s = narrow_study(spark, sf)
+    roc = roc_of(s)
+    marks = cutoffs(s, roc).select("card", F.col("score_cutoff").alias("score"), F.lit(True).alias("mark"))
     flagged = roc.join(F.broadcast(marks), ["card", "score"], "left")
     return flagged.select(
         "card", "score", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"),
@@ -119,8 +126,9 @@ WITH {CUTOFF_SQL}
 SELECT s.card, s.is_event, CASE WHEN s.score >= c.score_cutoff THEN 'Abnormal' ELSE 'Normal' END AS pred_class, count(*) AS n
 FROM scored s JOIN cutoffs c ON s.card = c.card GROUP BY ALL""")
 def classify_at_cutoff(spark, sf):
-    scored = ops.score_records(study(spark, sf), CARDS, ["is_event"])
-    called = ops.classify(scored, F.broadcast(cutoffs(spark, sf)), ["card"])
+    s = narrow_study(spark, sf)
+    scored = ops.score_records(s, CARDS, ["is_event"])
+    called = ops.classify(scored, F.broadcast(cutoffs(s)), ["card"])
     return called.groupBy("card", "is_event", "pred_class").agg(F.count("*").alias("n"))
 
 
@@ -131,15 +139,15 @@ two_sided AS (SELECT card, score, side, sensitivity, specificity FROM sided
        OR (side > 0 AND specificity = min(specificity) OVER (PARTITION BY card, side)) OR side = 0)"""
 
 
-def two_sided(spark, sf):
-    return ops.two_sided_cutoffs(card_roc(spark, sf), ["card"], guideline_specificity(spark, sf))
+def two_sided(s):
+    return ops.two_sided_cutoffs(roc_of(s), ["card"], guideline_specificity(s))
 
 
 @query("two_sided_cutoffs", f"""
 WITH {TWO_SIDED_SQL}
 SELECT card, score, side, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM two_sided""")
 def two_sided_cutoffs(spark, sf):
-    return two_sided(spark, sf).select(
+    return two_sided(narrow_study(spark, sf)).select(
         "card", "score", "side", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
@@ -219,8 +227,9 @@ SELECT card, screen, sum(n) FILTER (truth = 'Normal')::BIGINT AS "Normal_n", rou
   sum(n) FILTER (truth = 'Abnormal')::BIGINT AS "Abnormal_n", round(sum(share) FILTER (truth = 'Abnormal'), 6) AS "Abnormal_share"
 FROM d GROUP BY ALL""")
 def detection_table(spark, sf):
-    scored = ops.score_records(study(spark, sf), CARDS, ["is_event"])
-    called = ops.classify(scored, F.broadcast(cutoffs(spark, sf)), ["card"]).withColumn(
+    s = narrow_study(spark, sf)
+    scored = ops.score_records(s, CARDS, ["is_event"])
+    called = ops.classify(scored, F.broadcast(cutoffs(s)), ["card"]).withColumn(
         "truth", class_label(F.col("is_event")))
     t = ops.detection_table(called, ["card"])
     return t.withColumns({c: r6(c) for c in ("Normal_share", "Abnormal_share")})
@@ -235,8 +244,9 @@ SELECT v.record_id, "C0", "C1", year(date_of_birth)::INT AS birth, substr(gender
 FROM v JOIN cohort USING (record_id) WHERE "C0" <> "C1" """)
 def screen_discordance(spark, sf):
     """Events that one card catches and the other misses, with attributes joined back."""
-    cuts = ops.cutoff_values(cutoffs(spark, sf), "card", "score_cutoff")
-    events = study(spark, sf).filter("is_event")
+    s = narrow_study(spark, sf)
+    cuts = ops.cutoff_values(cutoffs(s), "card", "score_cutoff")
+    events = s.filter("is_event")
     screens = ops.screen_columns(events, CARDS, {c: cuts[c] for c in ("C0", "C1")}, ["record_id"])
     return screens.filter(F.col("C0") != F.col("C1")).join(order_side(spark, sf), "record_id", "left").select(
         "record_id", "C0", "C1", F.year("date_of_birth").alias("birth"),
@@ -251,9 +261,10 @@ p AS (SELECT record_id, string_agg(screen, '_' ORDER BY card) AS pattern FROM v
 SELECT pattern, card AS tool, CASE screen WHEN 'Y' THEN 'Yes' ELSE 'No' END AS screen, count(*) AS n FROM v JOIN p USING (record_id) GROUP BY ALL""")
 def screen_patterns(spark, sf):
     """Records per pattern of screens, with one row per pattern and tool."""
-    cuts = ops.cutoff_values(cutoffs(spark, sf), "card", "score_cutoff")
+    s = narrow_study(spark, sf)
+    cuts = ops.cutoff_values(cutoffs(s), "card", "score_cutoff")
     names = sorted(cuts)
-    screens = ops.screen_columns(study(spark, sf).filter("is_event"), CARDS, {c: cuts[c] for c in names}, ["record_id"])
+    screens = ops.screen_columns(s.filter("is_event"), CARDS, {c: cuts[c] for c in names}, ["record_id"])
     counted = ops.pattern_counts(screens, names)
     return ops.pattern_flows(counted, names).withColumn(
         "screen", if_else(F.col("screen") == "Y", F.lit("Yes"), F.lit("No")))
@@ -266,10 +277,11 @@ p AS (SELECT record_id, string_agg(screen, '_' ORDER BY tool) AS pattern FROM v
 SELECT pattern, count(*) AS n FROM p GROUP BY pattern""")
 def screen_patterns_two_sided(spark, sf):
     """The same over the cutoffs on both sides of the guideline's specificity."""
-    rows = two_sided(spark, sf).select("card", "score").collect()  # a few rows per card
+    s = narrow_study(spark, sf)
+    rows = two_sided(s).select("card", "score").collect()  # a few rows per card
     cuts = {f"{r['card']}@{r['score']}": r["score"] for r in rows}
     names = sorted(cuts)
-    screens = ops.screen_columns(study(spark, sf).filter("is_event"), CARDS, {c: cuts[c] for c in names}, ["record_id"])
+    screens = ops.screen_columns(s.filter("is_event"), CARDS, {c: cuts[c] for c in names}, ["record_id"])
     return ops.pattern_counts(screens, names)
 
 
@@ -283,7 +295,7 @@ FROM ps JOIN cutoffs c ON ps.card = c.card""")
 def prototype_scores(spark, sf):
     """Prototype subjects under each card at the cutoff chosen on the cohort."""
     scored = ops.score_records(prototype_table(spark), {k: CARDS[k] for k in ("C1", "C2")}, ["subject"])
-    called = ops.classify(scored, F.broadcast(cutoffs(spark, sf)), ["card"])
+    called = ops.classify(scored, F.broadcast(cutoffs(narrow_study(spark, sf))), ["card"])
     return called.select(
         "card", "subject", F.col("score").alias("total"),
         if_else(F.col("pred_class") == "Abnormal", F.lit("Y"), F.lit("N")).alias("screen"))

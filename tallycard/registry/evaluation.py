@@ -66,13 +66,13 @@ totals AS (
 roc AS (SELECT model, score, tp::DOUBLE / nullif(p, 0)::DOUBLE AS sensitivity, 1 - fp::DOUBLE / nullif(q, 0)::DOUBLE AS specificity FROM totals)"""
 
 
-def card_totals(spark, sf):
+def card_totals(s):
     """Counts per card and score, written once: the queries below use them several times."""
-    return settled(threshold_totals(score_records(study(spark, sf), CARDS, ["is_event"]), ["card"]))
+    return settled(threshold_totals(score_records(s, CARDS, ["is_event"]), ["card"]))
 
 
-def card_roc(spark, sf):
-    return roc_points(card_totals(spark, sf), ["card"])
+def roc_of(s):
+    return roc_points(card_totals(s), ["card"])
 
 
 @query("roc_curve", f"""
@@ -153,7 +153,7 @@ d AS (SELECT card, score, specificity - g_spec AS ds, sensitivity - g_sens AS dt
 SELECT card, score, side, round(ds, 6) AS specificity_diff, round(dt, 6) AS sensitivity_diff FROM d
 QUALIFY abs(ds) = min(abs(ds)) OVER (PARTITION BY card, side)""")
 def gain_vs_guideline(spark, sf):
-    roc = card_roc(spark, sf)  # a few rows per card
+    roc = roc_of(study(spark, sf))  # a few rows per card
     guide = roc.filter("card = 'C0' AND score = 1")
     spec, sens = guide.select("specificity").scalar(), guide.select("sensitivity").scalar()
     near = nearest_either_side(roc.filter("card <> 'C0'"), ["card"], "specificity", spec)
@@ -178,7 +178,7 @@ WITH {ROC_SQL}, a AS (SELECT card, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (
 SELECT card, score, round(sensitivity, 6) AS sensitivity, round(specificity, 6) AS specificity FROM roc
 WHERE card IN (SELECT card FROM a WHERE auc > 0.5)""")
 def filter_by_metric(spark, sf):
-    totals = card_totals(spark, sf)
+    totals = card_totals(study(spark, sf))
     good = auc(totals, ["card"]).filter("roc_auc > 0.5")
     kept = roc_points(totals, ["card"]).join(good, "card", "left_semi")
     return kept.withColumns({c: r6(c) for c in ("sensitivity", "specificity")})

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,7 +18,6 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TALLYCARD_DRIVER_MEMORY", "12g"))
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -43,28 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a table written and read back within one job chain."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a table written and read back within one job chain.
+
+    All paths of a session share one folder, see ``clear_scratch``.
+    """
+    home = f"{shared_dir(spark).rstrip('/')}/tallycard-{spark.sparkContext.applicationId}"
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read from there.
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
 
     Used where several later branches must see the very same rows, or where an
-    iteration would otherwise grow its lineage without end.
+    iteration would otherwise grow its lineage without end. The table is
+    columnar, so each branch reads only its columns, and its size on disk is
+    known to the optimizer, which therefore broadcasts it only when it is below
+    spark.sql.autoBroadcastJoinThreshold.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-BROADCAST_ROWS = 200_000
 
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A table meant for the small side of a join, written once and counted.
-
-    It is marked for broadcast only if it really is small; otherwise the join is
-    left to shuffle.
-    """
-    kept = settled(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's settled tables; DataFrames built on them are void afterwards."""
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "any")).getParent()
+    home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(home, True)
