@@ -48,7 +48,7 @@ def fit_svm_poly(rows: DataFrame, features: list[str], degree: int, penalty: flo
     """All products of up to ``degree`` features as explicit new features."""
     expansion = PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded")
     expanded = expansion.transform(assembled(balanced_weights(rows) if balanced else rows, features))
-    svc = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=30, tol=1e-4)
+    svc = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=20, tol=1e-3)
     machine = svc.fit(expanded)
     draft = SvmFit(features, LinearFit(0.0, {}), expansion=expansion, machine=machine)
     return SvmFit(features, calibrated(draft.with_margin(rows), F.col("margin")), expansion=expansion, machine=machine)

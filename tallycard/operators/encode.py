@@ -9,12 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_LEVELS = 1000
+
+
 def levels_present(df: DataFrame, column: str, order: list[str] | None = None) -> list[str]:
-    """Levels that occur, in the given order or sorted. Bounded by the vocabulary."""
-    seen = [r[0] for r in df.select(column).dropna().distinct().collect()]
+    """Levels that occur, in the given order or sorted; an error if it is no vocabulary."""
+    seen = [r[0] for r in df.select(column).dropna().distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(seen) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} levels and cannot be coded")
     return [v for v in order if v in seen] if order else sorted(seen)
 
 
+def with_reference(levels: list[str], reference: str) -> list[str]:
+    """Levels with the reference one first, which ``dummy_columns`` leaves out."""
+    return [reference, *[v for v in levels if v != reference]] if reference in levels else list(levels)
+
+
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns with at most one distinct value among the rows, from one aggregate."""
     ends = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()

@@ -185,7 +185,7 @@ def mark_first(
     border = counts.withColumn("_take", goal - F.col("_before")).filter(
         (F.col("_take") > 0) & (F.col("_take") <= F.col("_in"))).select(*strata, SLICE, "_take")
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
-    near = same_keys(slim, settled(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
+    near = same_keys(slim, border, [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
     last = near.filter(F.col("_rank") == F.col("_take")).select(
         *strata, F.struct(F.col("_hash").alias("h"), F.col(key).alias("k")).alias("_last"))
     placed = same_keys(df, settled(last), strata, "left")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallycard import settings
 from tallycard.operators import clean, report
-from tallycard.operators.encode import Encoder, constant_columns, patterns
+from tallycard.operators.encode import Encoder, constant_columns, levels_present, patterns, with_reference
 
 D = dt.date
 
@@ -89,6 +89,13 @@ def test_encoder_learns_on_training_rows_only(spark):
     assert constant_columns(train, ["k", "t", "c", "z"]) == ["c", "z"]
 
 
+def test_reference_level_and_level_limit(spark):
+    assert with_reference(["Asian", "Black", "White"], settings.REFERENCE_RACE) == ["White", "Asian", "Black"]
+    assert with_reference(["x"], "y") == ["x"]
+    with pytest.raises(ValueError):
+        levels_present(spark.range(1500).select(F.col("id").cast("string").alias("v")), "v")
+
+
 def test_patterns_count_everything(spark):
     df = spark.createDataFrame([(1, 0, True), (1, 0, False), (0, 0, True)], "a int, b int, is_event boolean")
     got = {(r.a, r.b): (r.pos, r.n) for r in patterns(df, ["a", "b"]).collect()}

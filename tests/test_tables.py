@@ -65,7 +65,7 @@ def test_settled_tables_are_columnar_and_sized(spark):
     kept = session.settled(spark.range(100).withColumn("x", F.lit("y")))
     assert kept.count() == 100
     plan = kept.select("id")._jdf.queryExecution().optimizedPlan()
-    assert plan.stats().sizeInBytes().longValue() < 10_000
+    assert int(str(plan.stats().sizeInBytes())) < 10_000
     assert "ReadSchema: struct<id:bigint>" in kept.select("id")._jdf.queryExecution().executedPlan().treeString()
 
 
