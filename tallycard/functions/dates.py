@@ -19,6 +19,6 @@ def calendar_years(start: Column, end: Column) -> Column:
     return whole + F.datediff(end, low) / F.datediff(high, low)
 
 
-def parse_date(text: Column, pattern: str = "MM/dd/yyyy") -> Column:
-    """Text to date; unparsable text becomes NULL."""
+def parse_date(text: Column, pattern: str = "M/d/yyyy") -> Column:
+    """Text to date, with or without leading zeros; unparsable text becomes NULL."""
     return F.try_to_timestamp(text, F.lit(pattern)).cast("date")

@@ -39,7 +39,7 @@ def typed_booleans(df: DataFrame, yes_words: dict[str, str]) -> DataFrame:
     return df.withColumns({n: F.col(n) == yes for n, yes in yes_words.items()})
 
 
-def typed_dates(df: DataFrame, pattern: str = "MM/dd/yyyy") -> DataFrame:
+def typed_dates(df: DataFrame, pattern: str = "M/d/yyyy") -> DataFrame:
     """Parse every text column with 'date' in its name; unparsable text is NULL."""
     return df.withColumns({n: parse_date(F.col(n), pattern) for n, t in df.dtypes if "date" in n and t == "string"})
 

@@ -9,6 +9,7 @@ only the rows inside one range are ordered together.
 from __future__ import annotations
 
 from functools import reduce
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -31,7 +32,7 @@ def range_edges(df: DataFrame, order: str, parts: int) -> list[float]:
     """At most ``parts - 1`` cut values near the quantiles of ``order``."""
     probs = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, max(10000, 20 * parts)).alias("e")).first()["e"]
-    return sorted(set(found or []))
+    return sorted({e for e in found or [] if isfinite(e)})
 
 
 def with_slice(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:

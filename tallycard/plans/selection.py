@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycard import settings
 from tallycard.functions.select import Selector, chosen
@@ -15,6 +16,7 @@ from tallycard.operators.cards import score_records
 from tallycard.operators.encode import Encoder, patterns, weighted_rows
 from tallycard.operators.evaluate import confusion_counts, metric_table, screen_performance
 from tallycard.plans.preprocess import StudyTables
+from tallycard.plans.tuning import resume
 from tallycard.session import settled
 
 CARRY = ["record_id", "is_event"]
@@ -106,3 +108,25 @@ def run_cell(tables: StudyTables, ids: DataFrame, spec: list[Selector], test: Co
         "counts": confusion_counts(pred.withColumn("truth", truth), ["model"]),
         "metrics": metric_table(pred, ["model"]),
     }
+
+
+PREDICTION_SCHEMA = T.StructType([
+    T.StructField(n, t) for n, t in [
+        ("record_id", T.LongType()), ("is_event", T.BooleanType()), ("p_event", T.DoubleType()),
+        ("pred_class", T.StringType()), ("model", T.StringType()), ("predictors", T.StringType()),
+        ("response", T.StringType())]
+])
+
+
+def run_round(spark: SparkSession, tables: StudyTables, path: str, specs=settings.PREDICTORS,
+              tests: dict[str, Column] | None = None, share: float = settings.SUBSET_FRACTION, **options) -> DataFrame:
+    """All (predictors, response) cells, stored one by one; a broken run continues where it stopped."""
+    tests = tests or settings.responses()
+    ids = settled(subset_ids(tables, share))
+    cells = [{"predictors": p, "response": r} for p in specs for r in tests]
+
+    def one(cell: dict[str, str]) -> DataFrame:
+        out = run_cell(tables, ids, specs[cell["predictors"]], tests[cell["response"]], **options)
+        return out["predictions"]
+
+    return resume(spark, path, cells, PREDICTION_SCHEMA, one)

@@ -14,7 +14,9 @@ from tallycard.models.batch_fit import FitSpec, fit_many
 from tallycard.models.card_search import card_search
 from tallycard.models.knn import bit_code, neighbour_share, shells, without_fold
 from tallycard.models.trees import fit_forest, predicted
+from tallycard.operators import resample
 from tallycard.operators.cards import score_records
+from tallycard.operators.encode import Encoder, patterns
 from tallycard.operators.evaluate import metric_table
 from tallycard.session import settled
 from tallycard.sources.tables import pending_cells, read_or_empty, write_cell
@@ -117,6 +119,47 @@ def card_cv(pats: DataFrame, features: list[str], terms: list[int], bounds: list
     return metric_table(pred, ["terms", "bound", "number", "fold"], discrete=True, counted=True)
 
 
+METRICS_SCHEMA = T.StructType([
+    T.StructField(n, t) for n, t in [
+        ("model", T.StringType()), ("penalty", T.DoubleType()), ("trees", T.IntegerType()), ("mtry", T.IntegerType()),
+        ("neighbors", T.IntegerType()), ("weight_func", T.StringType()), ("terms", T.IntegerType()),
+        ("bound", T.IntegerType()), ("number", T.IntegerType()), ("fold", T.IntegerType()), ("metric", T.StringType()),
+        ("estimator", T.StringType()), ("estimate", T.DoubleType()), ("predictors", T.StringType()),
+        ("response", T.StringType())]
+])
+
+
+def run_cell(train: DataFrame, columns: list[str], v: int = settings.N_FOLDS, penalties=settings.PENALTIES,
+             neighbors=settings.NEIGHBORS, kernels=settings.KERNELS, trees=settings.TREES, mtry=None, terms=None,
+             bounds=settings.CARD_BOUNDS, pool: int = 2, beam: int = 8, multipliers: int = 16,
+             seed=settings.SEED) -> DataFrame:
+    """Second round, one cell: all families on the same folds, metrics stacked.
+
+    ``train``: record_id, is_event and the predictor columns of the training
+    records. Settings a family does not have are NULL.
+    """
+    plain = settled(train.select("record_id", "is_event", *columns))
+    folded = settled(resample.folds(plain, ["is_event"], "record_id", v, seed))
+    carry = ["record_id", "is_event", "fold"]
+    # linear models and cards leave out a reference level, neighbours and forests see all levels
+    reg = Encoder(columns, carry, drop_constant=False).fit(folded)
+    num = Encoder(columns, carry, full=True, drop_constant=False).fit(folded)
+    pats = settled(patterns(reg.transform(folded), reg.features, keys=["fold"]))
+    num_pats = settled(patterns(num.transform(folded), num.features, keys=["fold"]))
+    n = len(columns)
+    mtry = settings.mtry_grid(n) if mtry is None else mtry
+    terms = [settings.CARD_TERMS_LOW, max(n - 1, 1)] if terms is None else terms
+    rows = num.transform(folded).withColumn("label", F.col("is_event").cast("double"))
+    parts = {
+        "logistic regression": ridge_cv(pats, reg.features, penalties, v),
+        "nearest neighbors": knn_cv(num_pats, num.features, neighbors, kernels, v),
+        "random forest": forest_cv(rows, num.features, trees, mtry, v),
+        "integer card": card_cv(pats, reg.features, terms, bounds, v, pool, beam, multipliers),
+    }
+    named = [df.withColumn("model", F.lit(m)) for m, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def resume(spark: SparkSession, path: str, cells: list[dict[str, str]], schema: T.StructType,
            run_cell: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
     """Run the cells that have no stored result yet and return the whole table.

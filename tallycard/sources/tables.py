@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 from tallycard.session import settled
 
 
-def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType, date_pattern: str = "MM/dd/yyyy") -> DataFrame:
+def read_cohort_csv(spark: SparkSession, path: str, schema: T.StructType, date_pattern: str = "M/d/yyyy") -> DataFrame:
     """Header row, given types; dates that do not parse become NULL."""
     return spark.read.schema(schema).options(header=True, dateFormat=date_pattern, mode="PERMISSIVE").csv(path)
 
 
-def typed_lines(lines: DataFrame, column: str, ddl: str, date_pattern: str = "MM/dd/yyyy") -> DataFrame:
+def typed_lines(lines: DataFrame, column: str, ddl: str, date_pattern: str = "M/d/yyyy") -> DataFrame:
     """The same parser over lines of text that are already a column."""
     parsed = F.from_csv(F.col(column), ddl, {"dateFormat": date_pattern})
     return lines.select(parsed.alias("r")).select("r.*")

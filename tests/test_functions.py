@@ -74,5 +74,6 @@ def test_texts(spark):
         percent_text(F.col("p"), 2), number_text(F.col("i")), replace_first(F.col("s"), "an", "X"),
         joined_text(" -> ", F.col("s"), F.col("z")), setting_text(terms=F.col("i"), bound=F.col("z"))).first()
     assert tuple(row) == ("12.35%", "–3", "bXana", "banana -> NA", "terms = -3")
-    bad = spark.createDataFrame([("02/29/2000",), ("13/45/2000",), (None,)], "d string")
-    assert [r[0] for r in bad.select(parse_date(F.col("d"))).collect()] == [dt.date(2000, 2, 29), None, None]
+    bad = spark.createDataFrame([("02/29/2000",), ("13/45/2000",), (None,), ("2/9/2008",)], "d string")
+    assert [r[0] for r in bad.select(parse_date(F.col("d"))).collect()] == [
+        dt.date(2000, 2, 29), None, None, dt.date(2008, 2, 9)]

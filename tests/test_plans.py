@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tallycard import settings
 from tallycard.operators import resample
 from tallycard.operators.clean import analysis_table
-from tallycard.operators.encode import patterns
 from tallycard.operators.evaluate import mean_interval
 from tallycard.plans import final, preprocess, selection, tuning
 from tallycard.session import settled
@@ -57,22 +56,32 @@ def test_first_round_cell(study):
     assert 0 < g.sensitivity < 1 and g.recall == g.sensitivity
 
 
-def test_second_round(study):
-    columns = [c for c in study.predictors.columns if c.startswith(("lung_", "liver_"))]
+def test_first_round_is_stored_by_cell(spark, study, tmp_path):
+    specs = {"Dx": settings.PREDICTORS["Dx"]}
+    tests = {"ZZ": settings.responses()["ZZ"]}
+    options = {"with_cards": False, "forest_trees": 3, "neighbors": 40, "share": 0.5}
+    got = selection.run_round(spark, study, str(tmp_path / "round"), specs, tests, **options)
+    per_model = got.groupBy("predictors", "response", "model").count().collect()
+    assert len(per_model) == 9 and len({r["count"] for r in per_model}) == 1
+    assert got.select("record_id", "model").distinct().count() == got.count()
+
+
+def test_second_round(spark, study):
+    columns = [c for c in study.predictors.columns if c.startswith(("lung_", "liver_"))] + ["smoking_use"]
     ids = study.split.filter("split = 'train'").select("record_id")
     cell = analysis_table(study.predictors.join(ids, "record_id", "left_semi"), study.responses, columns, study.included,
                           settings.responses()["ZZ"])
-    cell = cell.withColumns({c: F.col(c).cast("int") for c in columns}).select("record_id", "is_event", *columns)
-    folded = settled(resample.folds(cell, ["is_event"], "record_id", 3))
-    pats = settled(patterns(folded, columns, keys=["fold"]))
-    ridge = tuning.ridge_cv(pats, columns, [1e-4, 1e-2], 3)
-    near = tuning.knn_cv(pats, columns, [10, 100], settings.KERNELS, 3)
-    found = tuning.card_cv(pats, columns, [2], [6], 3, pool=2, beam=3, multipliers=5)
-    forest = tuning.forest_cv(folded.withColumn("label", F.col("is_event").cast("double")), columns, [3], [2], 3)
-    for table, n in ((ridge, 2 * 3), (near, 4 * 3), (found, 2 * 3), (forest, 3)):
-        assert table.filter("metric = 'roc_auc'").count() == n
-    auc = mean_interval(ridge.filter("metric = 'roc_auc'"), ["fold"]).collect()
-    assert all(r.n == 3 and r["mean"] > 0.6 for r in auc)
+    out = settled(tuning.run_cell(
+        settled(cell), columns, v=3, penalties=[1e-4, 1e-2], neighbors=[10, 100], trees=[3], mtry=[2], terms=[2], bounds=[6],
+        beam=3, multipliers=5))
+    areas = out.filter("metric = 'roc_auc'").groupBy("model").count().collect()
+    assert {r.model: r["count"] for r in areas} == {
+        "logistic regression": 2 * 3, "nearest neighbors": 4 * 3, "random forest": 3, "integer card": 2 * 3}
+    assert set(out.columns) == set(tuning.METRICS_SCHEMA.names) - {"predictors", "response"}
+    summary = mean_interval(out.filter("metric = 'roc_auc'"), ["fold", "number"]).collect()
+    ridge = [r for r in summary if r.model == "logistic regression"]
+    assert len(ridge) == 2 and all(r.n == 3 and r["mean"] > 0.6 for r in ridge)
+    assert [r.n for r in summary if r.model == "integer card"] == [6]
 
 
 def test_final_round(spark, study):
