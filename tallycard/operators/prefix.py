@@ -178,7 +178,8 @@ def mark_first(
 
     Counts per hash range tell in which one range of a stratum the border lies;
     only that range is ordered, which gives the last hash to take. The result is
-    then a comparison row by row: the table itself is never shuffled.
+    then a comparison row by row: the table itself is never shuffled. Without
+    ``strata`` the whole table is one.
     """
     slim = _with_hash(df.select(*strata, key), key, seed, digits)
     counts = _slice_counts(slim, strata)
@@ -189,6 +190,8 @@ def mark_first(
     near = same_keys(slim, border, [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
     last = near.filter(F.col("_rank") == F.col("_take")).select(
         *strata, F.struct(F.col("_hash").alias("h"), F.col(key).alias("k")).alias("_last"))
-    placed = same_keys(df, settled(last), strata, "left")
     here = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k"))
+    if not strata:
+        return df.withColumn(name, F.coalesce(here <= settled(last).select("_last").scalar(), F.lit(False)))
+    placed = same_keys(df, settled(last), strata, "left")
     return placed.withColumn(name, F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

@@ -27,7 +27,7 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, share: float,
 
 def sample_fraction(df: DataFrame, key: str, share: float, seed=settings.SEED) -> DataFrame:
     """floor(share * n) rows of the whole table."""
-    return stratified_sample(df.withColumn("_all", F.lit(1)), ["_all"], key, share, seed).drop("_all")
+    return stratified_sample(df, [], key, share, seed)
 
 
 def sample_each(df: DataFrame, cells: list[str], key: str, n: int, seed=settings.SEED) -> DataFrame:

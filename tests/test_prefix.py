@@ -71,6 +71,9 @@ def test_sample_sizes_at_the_ends(spark):
     assert take(lambda n: n + 5) == 30
     assert take(lambda n: F.lit(1)) == 2  # one per stratum, NULL included
     assert resample.sample_each(df, ["g"], "id", 6).count() == 4 + 6
+    whole = resample.sample_fraction(df, "id", 0.5, seed=1)
+    assert sorted(r.id for r in whole.collect()) == sorted(order(range(30), 1)[:15])
+    assert resample.sample_fraction(df, "id", 0.0).count() == 0
 
 
 @given(st.integers(1, 7), st.integers(0, 40), st.integers(1, 40))
