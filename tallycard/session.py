@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,27 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> Sp
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, str(f.relative_to(home.parent)))
+    target = f"{scratch_path(spark, 'package')}/{home.name}.zip"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(target)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
