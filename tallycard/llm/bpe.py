@@ -194,8 +194,9 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file of fixed size
     schema, shape = FORMS[form]
     names = [x.split()[0] for x in schema.split(", ")]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    # ids travel as text through Python, as null numbers would lose digits on the way
+    id_type = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -218,9 +219,9 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
             ids.append(own["id"].iloc[0])
         return pd.DataFrame({"id": pd.Series(ids, dtype=rows["id"].dtype), **{c: [g[k] for g in got] for k, c in enumerate(names)}})
 
-    nullable_id = f"id {id_type}, {schema}"
+    result = f"id string, {schema}"
     length = F.length("text")
-    short = rows.filter(length <= long_chars).mapInPandas(whole, nullable_id)
+    short = rows.filter(length <= long_chars).mapInPandas(whole, result)
     # repeated rows are kept apart by a number that their pieces share
     long = rows.filter(length > long_chars).groupBy("id", "text").agg(F.count("*").alias("copies")).withColumn("key", row_key("id", "text"))
     n = F.ceil(F.length("text") / long_chars).cast("int")
@@ -229,23 +230,25 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
     ).select("id", "key", "copy", F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda i: F.struct(
         i.alias("n"), F.substring(F.col("text"), i * long_chars + 1, F.lit(long_chars)).alias("piece")))).alias("p"))
     cut = cut.select("id", "key", "copy", "p.n", "p.piece").repartition("key", "copy", "n")
-    done = cut.mapInPandas(pieces, f"id {id_type}, key long, copy long, n int, piece string, ids array<int>")
-    return short.unionByName(done.groupBy("id", "key").applyInPandas(joined, nullable_id)).withColumnRenamed("id", id_col)
+    done = cut.mapInPandas(pieces, "id string, key long, copy long, n int, piece string, ids array<int>")
+    out = short.unionByName(done.groupBy("id", "key").applyInPandas(joined, result))
+    return out.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Ids back to text; null ids give an empty text, invalid bytes the replacement character."""
     with open(vocab_path, encoding="utf-8") as f:
         spec = encoded.sparkSession.sparkContext.broadcast(f.read())
-    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
+    id_type = encoded.schema[id_col].dataType
+    rows = encoded.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             codec = _codec(spec)
             yield pd.DataFrame({"id": rows["id"], "text": [codec.decode(i) for i in rows["ids"]]})
 
-    out = rows.mapInPandas(decode, f"id {rows.schema['id'].dataType.simpleString()}, text string")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    out = rows.mapInPandas(decode, "id string, text string")
+    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("text").alias(text_col))
 
 
 @query("op6_bpe")
