@@ -215,7 +215,8 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
             _, _, o, t, v = items.sparse(held, items.least)
             _scatter(o, t, v, _product(o, t, v, omega), total)
         found = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"term": found, "part": [total[k].tolist() for k in found]})
+        if len(found):
+            yield pd.DataFrame({"term": found, "part": [total[k].tolist() for k in found]})
 
     parts = rows.mapInPandas(sketches, "term long, part array<float>")
     summed = parts.select("term", F.posexplode("part").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))

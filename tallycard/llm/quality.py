@@ -15,7 +15,7 @@ from tallycard.llm.common import docs_of, fresh, let, query, row_key, same, sett
 WINDOW = 5
 #: The transformed statistics and, for each, the least standard deviation that an estimate may have. Most clean texts
 #: have a rate of exactly zero, and a scale of zero would make every other text an outlier.
-STATISTICS = {"word_length": 0.12, "symbols": 0.08, "capitals": 0.08, "dup_lines": 0.12, "repeats": 0.06}
+STATISTICS = {"word_length": 0.12, "symbols": 0.05, "capitals": 0.08, "dup_lines": 0.12, "repeats": 0.06}
 #: Words of an average text that are added to each text, so that the rates of short texts vary less.
 PRIOR_WORDS, PRIOR_LENGTH = 30, 5.5
 #: Steps of the logarithmic distance scale on which the nearest rows are counted.
@@ -192,7 +192,7 @@ def robust_distances(rows: DataFrame, keep: list[str], alpha: float = 0.75, star
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-                  least_words: int = 10, most_repeats: int = 20, tail: float = 1e-9) -> DataFrame:
+                  least_words: int = 10, most_repeats: int = 20, tail: float = 1e-5) -> DataFrame:
     """One row per row of ``docs``: id, a content key, the counts, ``base_failed``, ``distance`` and ``kept``.
 
     A text fails the base rules with fewer than ``least_words`` words or with over ``most_repeats`` per cent of its

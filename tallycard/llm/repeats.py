@@ -37,7 +37,7 @@ def _bytes(text: str | None) -> bytes:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 17)
-        both = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _INVERSE)]
+        both = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
         _POWERS[:] = both
     return _POWERS[0][:n], _POWERS[1][:n]
 
