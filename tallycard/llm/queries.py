@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tallycard.llm import bpe, warc  # noqa: F401
+from tallycard.llm import bpe, chunks, decontaminate, lines, neardup, quality, repeats, secret_scan, toxicity, warc  # noqa: F401
 from tallycard.llm.common import ORACLES, QUERIES  # noqa: F401

@@ -31,7 +31,9 @@ NEAR = 5
 DISGUISE = str.maketrans({"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "*": "", "_": "", ".": "", "-": ""})
 TOKEN = re.compile(r"[^\W_](?:[^\s]*[^\W_])?")
 FEATURES = ["lexicon", "lexicon_any", "lexicon_seen", "insult", "near_person", "person", "capitals", "shouted", "exclaim", "punctuation",
-            "masked", "disguised", "stretched", "spaced", "length"]
+            "masked", "disguised", "stretched", "spaced", "length", "stems", "stem_rate"]
+#: The learned lexicon also has beginnings of words, written with a star.
+STEMS = (5, 6, 7)
 
 
 def text_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
@@ -43,6 +45,7 @@ def text_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
     lower = text.lower()
     tokens = TOKEN.findall(lower)
     hits = [i for i, t in enumerate(tokens) if t in lexicon]
+    stems = sum(1 for t in tokens if len(t) > STEMS[0] and any(t[:k] + "*" in lexicon for k in STEMS if len(t) > k))
     insults = sum(1 for i in hits if tokens[i] in INSULT_SET)
     persons = [i for i, t in enumerate(tokens) if t in SECOND_PERSON]
     near, p = 0, 0
@@ -65,6 +68,7 @@ def text_features(text: str, lexicon: frozenset[str]) -> tuple[float, ...]:
     return (
         100 * len(hits) / n, float(bool(hits)), math.log1p(len(hits)), math.log1p(insults), math.log1p(near), 100 * len(persons) / n,
         upper / letters, shouted / n, marks / n, sum(map(lower.count, ".,;:")) / n, masked / n, math.log1p(disguised), stretched / n, spaced / n, math.log1p(n),
+        math.log1p(stems), 100 * stems / n,
     )
 
 
@@ -94,7 +98,8 @@ def learned_lexicon(rows: DataFrame) -> frozenset[str]:
         for batch in batches:
             seen: dict[float, Counter] = {0.0: Counter(), 1.0: Counter()}
             for text, label in zip(batch["text"], batch["label"]):
-                seen[label].update(set(TOKEN.findall(text.lower())))
+                own = set(TOKEN.findall(text.lower()))
+                seen[label].update(own | {w[:k] + "*" for w in own for k in STEMS if len(w) > k})
             words = sorted(seen[0.0].keys() | seen[1.0].keys())
             yield pd.DataFrame({"word": words, "clean": [seen[0.0][w] for w in words], "toxic": [seen[1.0][w] for w in words]})
 
