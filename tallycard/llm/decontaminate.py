@@ -17,20 +17,21 @@ from tallycard.llm.common import docs_of, query, row_key, settled
 WINDOW, STRIDE = 48, 24
 #: Benchmark items searched for at once. More items are further blocks, each with its own terms and latent space.
 ITEMS = 256
-#: Terms in more than this share of passages carry no weight, as usual with TF-IDF; the rest of the terms of a passage
-#: must include this many of the benchmark's (or all of an item's, if it has fewer).
-MOST_DF, LEAST_TERMS = 0.02, 2
+#: Terms in more than this share of stretches of STRIDE words carry no weight, as usual with TF-IDF, but for the rarest
+#: ones of each item. A passage must have so many distinct weighty terms, or as few as some item has.
+MOST_DF, LEAST_TERMS = 0.005, 3
 LEAST_COSINE = 0.4
 #: Share of an item's words, in order, within a stretch of text: alone, or together with the item's last sentence.
 LEAST_SHARE, LEAST_WITH_ANSWER = 0.75, 0.55
+#: Share of an item's weighty terms that the stretch must have, so that frequent words in order are not enough.
+LEAST_WEIGHTY = 0.5
 PAIRS = "id string, key long, item string, cosine double, share double, answer boolean"
-_STRIP = b".,;:!?\"'()[]{}|#*$%&<>-_"
+_PUNCTUATION = b".,;:!?\"'()[]{}|#*$%&<>-_"
 
 
 def terms(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z) without surrounding punctuation; words of punctuation alone are left out."""
-    own = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return [w for w in (x.strip(_STRIP) for x in own) if w]
+    """Words in lower case (A-Z) with punctuation taken out; words of punctuation alone are left out."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split() if text else []
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -60,8 +61,9 @@ def contains(words: list[bytes], part: list[bytes]) -> bool:
     return bool(n) and any(words[i] == part[0] and words[i:i + n] == part for i in range(len(words) - n + 1))
 
 
-def passage_starts(n: int) -> range:
-    return range(0, max(n - WINDOW + STRIDE, 1), STRIDE) if n else range(0)
+class _Vocabulary(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 class Items:
@@ -71,48 +73,67 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [terms(t) for _, t in rows]
         self.answers = [answer_of(t) for _, t in rows]
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for own in self.words for w in own))}
+        self.vocabulary = _Vocabulary({w: k for k, w in enumerate(dict.fromkeys(w for own in self.words for w in own))})
         self.weights = np.zeros(len(self.vocabulary), np.float32)
         self.least = LEAST_TERMS
-
-    def weigh(self, df: np.ndarray, passages: int) -> None:
-        kept = df <= max(MOST_DF * passages, 5)
-        self.weights = np.where(kept, np.log((passages + 1) / (df + 1)) + 1, 0).astype(np.float32)
-
-    def sparse(self, documents: list[list[bytes]], least: int):
+        self.weighty: list[set[bytes]] = []
+
+    def weigh(self, df: np.ndarray, stretches: int) -> None:
+        kept = df <= max(MOST_DF * stretches, 5)
+        own = [sorted({self.vocabulary[w] for w in words}, key=lambda t: (df[t], t)) for words in self.words]
+        for found in own:
+            kept[found[:LEAST_TERMS]] = True
+        self.weights = np.where(kept, np.log((stretches + 1) / (df + 1)) + 1, 0).astype(np.float32)
+        self.weighty = [{w for w in words if self.weights[self.vocabulary[w]] > 0} for words in self.words]
+        self.least = max(1, min([LEAST_TERMS, *(int(kept[found].sum()) for found in own if found)]))
+
+    def hits(self, documents: list[list[bytes]]):
+        """Term (-1: not the benchmark's), document, and stretch of every word of a batch."""
+        sizes = np.array([len(d) for d in documents], np.int64)
+        get = self.vocabulary.__getitem__
+        term = np.concatenate([np.fromiter(map(get, d), np.int32, len(d)) for d in documents]) if len(documents) else np.empty(0, np.int32)
+        doc = np.repeat(np.arange(len(documents)), sizes)
+        place = np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return term, doc, place // STRIDE, sizes
+
+    def frequencies(self, documents: list[list[bytes]]) -> tuple[np.ndarray, int]:
+        """In how many stretches of STRIDE words each term is, and the number of stretches."""
+        term, doc, stretch, sizes = self.hits(documents)
+        parts = -(-sizes // STRIDE)
+        number = (np.cumsum(parts) - parts)[doc] + stretch
+        known = term >= 0
+        pairs = np.unique(number[known] * len(self.weights) + term[known])
+        return np.bincount(pairs % len(self.weights), minlength=len(self.weights)), int(parts.sum())
+
+    def sparse(self, documents: list[list[bytes]]):
         """TF-IDF rows of the passages with enough weighty terms: document, start, and flat (row offsets, terms, weights).
 
-        Words outside the vocabulary are orthogonal to every item and are not represented.
+        A passage is two neighbouring stretches. Words outside the vocabulary are orthogonal to every item and are not represented.
         """
-        doc, start, offsets, ids, vals = [], [], [], [], []
-        get, weights = self.vocabulary.get, self.weights
-        for d, words in enumerate(documents):
-            own = [(p, t) for p, t in enumerate(map(get, words)) if t is not None and weights[t] > 0]
-            if not own:
-                continue
-            places = [p for p, _ in own]
-            seen: set[int] = set()
-            for p in places:
-                seen.update(s for s in ((p // STRIDE) * STRIDE - k * STRIDE for k in range(WINDOW // STRIDE)) if s >= 0)
-            last = passage_starts(len(words))[-1]
-            low = 0
-            for s in sorted(x for x in seen if x <= last):
-                while low < len(places) and places[low] < s:
-                    low += 1
-                tf: Counter = Counter()
-                k = low
-                while k < len(places) and places[k] < s + WINDOW:
-                    tf[own[k][1]] += 1
-                    k += 1
-                if len(tf) >= least:
-                    row = sorted(tf.items())
-                    v = np.array([np.sqrt(c) * weights[t] for t, c in row], np.float32)
-                    doc.append(d)
-                    start.append(s)
-                    offsets.append(len(ids))
-                    ids += [t for t, _ in row]
-                    vals += (v / np.sqrt((v * v).sum())).tolist()
-        return doc, start, np.array(offsets, np.int64), np.array(ids, np.int64), np.array(vals, np.float32)
+        term, doc, stretch, sizes = self.hits(documents)
+        weighty = np.flatnonzero(term >= 0)
+        weighty = weighty[self.weights[term[weighty]] > 0]
+        term, doc, stretch = term[weighty].astype(np.int64), doc[weighty], stretch[weighty]
+        parts = np.maximum(-(-sizes // STRIDE), 1)
+        base = np.cumsum(parts) - parts
+        # each word is in the passage that starts at its stretch and in the one before; the last stretch starts none unless alone
+        own = np.minimum(stretch, np.maximum(parts[doc] - WINDOW // STRIDE, 0))
+        earlier = stretch - 1
+        both = (earlier >= 0) & (earlier != own)
+        number = np.concatenate([base[doc] + own, (base[doc] + earlier)[both]])
+        keys, count = np.unique(number * len(self.weights) + np.concatenate([term, term[both]]), return_counts=True)
+        passage, ids = keys // len(self.weights), keys % len(self.weights)
+        first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.empty(0, np.int64)
+        lengths = np.diff(np.append(first, len(passage)))
+        enough = lengths >= self.least
+        stay = np.repeat(enough, lengths)
+        passage_of, lengths = passage[first[enough]] if len(first) else first, lengths[enough]
+        ids, vals = ids[stay], np.sqrt(count[stay]) * self.weights[ids[stay]]
+        offsets = np.cumsum(lengths) - lengths
+        if len(offsets):
+            vals = vals / np.repeat(np.sqrt(np.add.reduceat(vals * vals, offsets)), lengths)
+        which = np.searchsorted(base, passage_of, side="right") - 1
+        return which, (passage_of - base[which]) * STRIDE, offsets, ids, vals.astype(np.float32)
 
     def own_rows(self):
         """The items themselves as rows, whatever their length."""
@@ -182,20 +203,13 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)  # a bounded number of items
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size + 1, np.int64)  # the last place counts passages
-        get = shared.value.vocabulary.get
+        df = np.zeros(size + 1, np.int64)  # the last place counts stretches
         for _, _, held in _batches(batches):
-            for words in held:
-                starts = passage_starts(len(words))
-                df[size] += len(starts)
-                seen: dict[int, set] = {}
-                for p, t in enumerate(map(get, words)):
-                    if t is not None:
-                        seen.setdefault(t, set()).add(p // STRIDE)
-                for t, parts in seen.items():
-                    df[t] += len(parts | {s - 1 for s in parts if s})
-        found = np.flatnonzero(df)
-        yield pd.DataFrame({"term": found, "n": df[found]})
+            found, stretches = shared.value.frequencies(held)
+            df[:size] += found
+            df[size] += stretches
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": at, "n": df[at]})
 
     counted = rows.mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(size + 1, np.int64)
@@ -206,19 +220,30 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     rank = min(rank, size)
     width = min(rank + 8, size)
     omega = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
-    weighed = spark.sparkContext.broadcast((items, omega))
+    weighed = spark.sparkContext.broadcast(items)
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for doc_ids, keys, held in _batches(batches):
+            d, start, o, t, v = weighed.value.sparse(held)
+            if len(d):
+                end = np.append(o, len(t))
+                yield pd.DataFrame({
+                    "id": [doc_ids[k] for k in d], "key": np.array(keys, np.int64)[d], "start": start.astype(np.int32),
+                    "terms": [t[a:b].astype(np.int32) for a, b in zip(end[:-1], end[1:])], "weights": [v[a:b] for a, b in zip(end[:-1], end[1:])]})
+
+    # the passages that can resemble an item at all, as sparse rows
+    table = settled(rows.mapInPandas(passages, "id string, key long, start int, terms array<int>, weights array<float>"))
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, omega = weighed.value
         total = np.zeros_like(omega)
-        for _, _, held in _batches(batches):
-            _, _, o, t, v = items.sparse(held, items.least)
+        for part in batches:
+            o, t, v = _flat(part)
             _scatter(o, t, v, _product(o, t, v, omega), total)
         found = np.flatnonzero(total.any(axis=1))
         if len(found):
             yield pd.DataFrame({"term": found, "part": [total[k].tolist() for k in found]})
 
-    parts = rows.mapInPandas(sketches, "term long, part array<float>")
+    parts = table.select("terms", "weights").mapInPandas(sketches, "term long, part array<float>")
     summed = parts.select("term", F.posexplode("part").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))
     summed = summed.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("line"))
     sketch = np.zeros(omega.shape, np.float64)
@@ -231,36 +256,55 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     basis = latent_basis(sketch + heavy * own, omega.astype(np.float64), rank)
     wanted = _product(offsets, ids, vals, basis)
     wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)
-    space = spark.sparkContext.broadcast((items, basis, wanted, which))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, basis, wanted, which = space.value
-        for doc_ids, keys, held in _batches(batches):
-            docs, starts, o, t, v = items.sparse(held, items.least)
+    space = spark.sparkContext.broadcast((basis, wanted, np.array(which)))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        basis, wanted, which = space.value
+        for part in batches:
+            for at in range(0, len(part), 4096):
+                some = part.iloc[at: at + 4096]
+                found = _product(*_flat(some), basis)
+                found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
+                cosines = found @ wanted.T
+                p, k = np.nonzero(cosines >= LEAST_COSINE)
+                if len(p):
+                    yield pd.DataFrame({"id": some["id"].to_numpy()[p], "key": some["key"].to_numpy()[p], "start": some["start"].to_numpy()[p],
+                                        "item": which[k].astype(np.int32), "cosine": cosines[p, k].astype(float)})
+
+    candidates = settled(table.mapInPandas(near, "id string, key long, start int, item int, cosine double"))
+    # at most the passages of one text times the items of the block
+    grouped = candidates.groupBy("id", "key").agg(F.collect_set(F.struct("item", "start", "cosine")).alias("found")).toDF("id2", "key2", "found")
+    texts = rows.join(settled(grouped), (F.col("key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "key", "text", "found")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = weighed.value
+        for batch in batches:
             out = []
-            best: dict[tuple[int, int], list] = {}
-            for at in range(0, len(o), 4096):
-                end = min(at + 4096, len(o))
-                last = o[end] if end < len(o) else len(t)
-                near = _product(o[at:end] - o[at], t[o[at]:last], v[o[at]:last], basis)
-                near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
-                cosines = near @ wanted.T
-                for p, k in zip(*np.nonzero(cosines >= LEAST_COSINE)):
-                    best.setdefault((docs[at + p], which[k]), []).append((starts[at + p], float(cosines[p, k])))
-            for (d, k), found in best.items():
-                words, item = held[d], items.words[k]
-                result, until = (0.0, 0.0, False), -1
-                for start, cosine in sorted(found):
-                    low, high = max(0, start - len(item)), start + WINDOW + len(item)
-                    region = words[low:high]
+            for doc_id, key, text, found in zip(batch["id"], batch["key"], batch["text"], batch["found"]):
+                words, best = terms(text), {}
+                for x in found:
+                    k, item = x["item"], items.words[x["item"]]
+                    region = words[max(0, x["start"] - len(item)): x["start"] + WINDOW + len(item)]
+                    weighty = items.weighty[k]
+                    if len(weighty.intersection(region)) < LEAST_WEIGHTY * len(weighty):
+                        continue
                     share = common_subsequence(item, region) / len(item)
                     answered = share >= LEAST_WITH_ANSWER and contains(region, items.answers[k])
-                    result = max(result, (share, cosine, answered))
-                if result[0] >= LEAST_SHARE or (result[0] >= LEAST_WITH_ANSWER and result[2]):
-                    out.append((doc_ids[d], keys[d], items.ids[k], result[1], result[0], result[2]))
+                    best[k] = max(best.get(k, (0.0, 0.0, False)), (share, x["cosine"], answered))
+                for k, (share, cosine, answered) in sorted(best.items()):
+                    if share >= LEAST_SHARE or (share >= LEAST_WITH_ANSWER and answered):
+                        out.append((doc_id, key, items.ids[k], cosine, share, answered))
             yield pd.DataFrame(out, columns=["id", "key", "item", "cosine", "share", "answer"])
 
-    return rows.mapInPandas(search, PAIRS)
+    return texts.mapInPandas(check, PAIRS)
+
+
+def _flat(part: pd.DataFrame):
+    """Row offsets, terms and weights of sparse rows."""
+    if not len(part):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    lengths = part["terms"].map(len).to_numpy()
+    return np.cumsum(lengths) - lengths, np.concatenate(list(part["terms"])).astype(np.int64), np.concatenate(list(part["weights"])).astype(np.float32)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -269,7 +313,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Passages of all texts are TF-IDF rows over the benchmark's terms; frequencies and the sketch of the randomised SVD are
     sums over all passages. Passages near an item in the latent space are candidates. A candidate counts when the item's
-    words occur in order around it, nearly all, or a good part and the item's last sentence in one piece. One row per
+    words occur in order around it, nearly all, or a good part and the item's last sentence in one piece, and half its
+    weighty terms at least. One row per
     pair; repeated rows give a row each. Null or empty texts and items match nothing. Of items with equal texts each is reported.
     """
     # ids travel as text through Python, as null numbers would lose digits on the way

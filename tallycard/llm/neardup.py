@@ -133,24 +133,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return likely.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").mapInPandas(_linked(percent), "a long, b long")
 
 
-def _proposals(most: int):
-    """For each member of a bucket the ``most`` likeliest partners outside its group."""
-
-    def propose(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        cls, comp, side = rows["cls"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
-        out = []
-        for n in np.flatnonzero(side <= 1):  # 0: both, 1: left block, 2: right block
-            other = (comp != comp[n]) & ((side != 1) if side[n] == 1 else (side == 0))
-            found = np.flatnonzero(other)
-            if len(found):
-                agree = (sig[found] == sig[n]).mean(axis=1)
+def _propose(rows: pd.DataFrame, most: int) -> list[tuple]:
+    """Likely pairs between groups for whole buckets in ``rows``: (0, a, b), and (1, bucket, 0) where a class has more than ``most``."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+    bucket, cls, comp, side = (rows[c].to_numpy() for c in ("bucket", "cls", "comp", "side"))
+    block = rows["i"].to_numpy().astype(np.int64) << 32 | rows["j"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]))
+    sizes = np.diff(np.append(first, len(rows)))
+    out: list[tuple] = []
+    # small buckets all at once: every row with every later one of its bucket
+    of_row = np.repeat(np.arange(len(first)), sizes)
+    last = (first + sizes)[of_row]
+    later = np.where(sizes[of_row] <= most, last - np.arange(len(rows)) - 1, 0)
+    for at in range(0, len(rows), 4096):
+        count = later[at: at + 4096]
+        x = np.repeat(np.arange(at, at + len(count)), count)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        other = (comp[x] != comp[y]) & ((side[x] == 0) | (side[x] != side[y]))
+        x, y = x[other], y[other]
+        for k in range(0, len(x), 100_000):
+            u, v = x[k: k + 100_000], y[k: k + 100_000]
+            ok = (sig[u] == sig[v]).mean(axis=1) >= LEAST_AGREEMENT
+            out += [(0, min(p, q), max(p, q)) for p, q in zip(cls[u[ok]].tolist(), cls[v[ok]].tolist())]
+    for g in np.flatnonzero(sizes > most):
+        own = slice(first[g], first[g] + sizes[g])
+        s, c, m, d = sig[own], cls[own], comp[own], side[own]
+        for n in range(len(c)):
+            other = np.flatnonzero((m != m[n]) & ((d[n] == 0) | (d != d[n])))
+            if len(other):
+                agree = (s[other] == s[n]).mean(axis=1)
                 ok = agree >= LEAST_AGREEMENT
-                best = found[ok][np.argsort(-agree[ok], kind="stable")[:most]]
-                out += [(min(cls[n], c), max(cls[n], c)) for c in cls[best]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+                if ok.sum() > most:
+                    out.append((1, int(bucket[first[g]]), 0))
+                best = other[ok][np.argsort(-agree[ok], kind="stable")[:most]]
+                out += [(0, int(min(c[n], q)), int(max(c[n], q))) for q in c[best]]
+    return sorted(set(out))
+
+
+def _proposals(most: int):
+    """``_propose`` over a sorted partition; a bucket that goes on in the next batch waits for it."""
 
-    return propose
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            tail = rows[["bucket", "i", "j"]].iloc[-1]
+            cut = int(((rows["bucket"] == tail["bucket"]) & (rows["i"] == tail["i"]) & (rows["j"] == tail["j"])).to_numpy().argmax())
+            waiting = rows.iloc[cut:]
+            if cut:
+                yield pd.DataFrame(_propose(rows.iloc[:cut], most), columns=["kind", "a", "b"], dtype="int64")
+        if waiting is not None and len(waiting):
+            yield pd.DataFrame(_propose(waiting, most), columns=["kind", "a", "b"], dtype="int64")
+
+    return run
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     start, and only classes are compared, so copies never meet as pairs. Classes that share a band are candidates. Each
     class is first checked against one leader of its buckets, twice with different leaders; buckets that then hold one
     connected group are done. In the others every class proposes its likeliest untested partners of other groups, more in
-    each round, until no candidate pair between groups is untested: no link that could change a group is left out.
+    each round where it has more, until no likely pair between groups is untested: no link that could change a group is left out.
     Links count after a check on the full sets.
 
     ``component_id`` is the least id that can be reached, the row's own included; ``kept`` marks the rows that have it.
@@ -218,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_rows = _open_buckets(members, labels)
         if not open_rows.take(1):
             break
-    most = 4
+    most = 64
     while open_rows.take(1):
         with_sig = open_rows.join(sets.select("cls", "sig"), "cls")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -226,18 +261,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cut = with_sig.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
             "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "sig",
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-        found = cut.groupBy("bucket", "i", "j").applyInPandas(_proposals(most), "a long, b long").distinct()
-        new = settled(found.join(tested, ["a", "b"], "left_anti"))
-        if not new.take(1):
-            break
+        in_order = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = settled(in_order.mapInPandas(_proposals(most), "kind long, a long, b long").distinct())
+        new = settled(found.filter("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
         added = settled(_verified(new, sets, percent))
         tested = settled(tested.unionByName(new))
         if added.take(1):
             links = settled(links.unionByName(added))
             labels = components(links)
-            open_rows = _open_buckets(members, labels)
-        else:
-            most *= 8
+        # all likely pairs of the other buckets are tested by now
+        more = found.filter("kind = 1").select(F.col("a").alias("bucket")).distinct()
+        open_rows = _open_buckets(members.join(more, "bucket", "left_semi"), labels)
+        most *= 8
 
     ids = worded.select("id", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("comp", "cls").alias("comp"))
     least = settled(ids.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "component_id"))
