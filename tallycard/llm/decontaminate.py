@@ -30,8 +30,8 @@ _PUNCTUATION = b".,;:!?\"'()[]{}|#*$%&<>-_"
 
 
 def terms(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z) with punctuation taken out; words of punctuation alone are left out."""
-    return text.encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split() if text else []
+    """Words in lower case with punctuation taken out; words of punctuation alone are left out."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split() if text else []
 
 
 def common_subsequence(a: list, b: list) -> int:
