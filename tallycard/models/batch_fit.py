@@ -7,6 +7,7 @@ the driver. The cost does not depend on the number of records.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,11 +56,13 @@ def _vectors(found: dict[tuple[int, int], float], widths: list[int]) -> list[np.
     return [np.array([found.get((k, s), 0.0) for s in range(w)]) for k, w in enumerate(widths)]
 
 
-def fit_many(pats: DataFrame, specs: list[FitSpec], steps: int = 25, tolerance: float = 1e-9) -> dict[str, LinearFit]:
+def fit_many(pats: DataFrame, specs: list[FitSpec], steps: int = 60, tolerance: float = 1e-9) -> dict[str, LinearFit]:
     """Fit every spec by Newton steps.
 
     ``pats``: features, pos, n and, where a spec leaves a fold out, fold. The
     objective is mean log loss + penalty/2 * sum((sd * coef)^2), intercept free.
+    Fits that ``steps`` steps leave open are named in a warning: a feature that
+    separates the classes has no finite optimum.
     """
     def used(pdf: pd.DataFrame, spec: FitSpec) -> pd.DataFrame:
         return pdf if spec.leave_out is None else pdf[pdf["fold"] != spec.leave_out]
@@ -112,6 +115,8 @@ def fit_many(pats: DataFrame, specs: list[FitSpec], steps: int = 25, tolerance:
             if np.abs(move).max() < tolerance:
                 open_fits.discard(k)
         coefs = step_to
+    if open_fits:
+        warnings.warn(f"not converged after {steps} steps: {', '.join(specs[k].name for k in sorted(open_fits))}", stacklevel=2)
     return {
         s.name: LinearFit(float(c[0]), dict(zip(s.features, map(float, c[1:])))) for s, c in zip(specs, coefs)
     }

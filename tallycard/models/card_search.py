@@ -33,22 +33,24 @@ def _half_even(x: float) -> int:
     return int(np.rint(x))
 
 
-def grown_sets(pats: DataFrame, features: list[str], terms: int, beam: int, steps: int = 8) -> list[LinearFit]:
-    """The best ``beam`` fits with up to ``terms`` features, best first.
+def grown_sets(pats: DataFrame, features: list[str], sizes: list[int], beam: int) -> dict[int, list[LinearFit]]:
+    """The best ``beam`` fits of every size in ``sizes``, best first.
 
-    Each round fits at most beam x features candidates.
+    Sets grow once, to the largest size; a smaller one is a start of the same
+    path. Each round fits at most beam x features candidates. A size beyond the
+    number of features means all of them.
     """
     kept: list[tuple[str, ...]] = [()]
-    best: list[LinearFit] = []
-    for _ in range(min(terms, len(features))):
+    grown: dict[int, list[LinearFit]] = {}
+    for _ in range(min(max(sizes), len(features))):
         wider = sorted({tuple(sorted((*s, f))) for s in kept for f in features if f not in s})
         specs = [FitSpec("|".join(s), s) for s in wider]
-        fits = fit_many(pats, specs, steps=steps, tolerance=1e-6)
+        fits = fit_many(pats, specs)
         loss = losses(pats, fits)
         ranked = sorted(fits, key=lambda name: (round(loss[name], 9), name))[:beam]
         kept = [tuple(name.split("|")) for name in ranked]
-        best = [fits[name] for name in ranked]
-    return best
+        grown[len(grown) + 1] = [fits[name] for name in ranked]
+    return {size: grown.get(min(size, len(features)), []) for size in sizes}
 
 
 def rounded_cards(fit: LinearFit, bound: int, multipliers: int) -> list[tuple[float, float, dict[str, int]]]:
@@ -63,23 +65,39 @@ def rounded_cards(fit: LinearFit, bound: int, multipliers: int) -> list[tuple[fl
     return out
 
 
-def card_search(pats: DataFrame, features: list[str], terms: int, bound: int, pool: int = 2, beam: int = 8,
-                multipliers: int = 16) -> list[FoundCard]:
-    """Up to ``pool`` different cards, numbered from the best."""
+def search_cards(pats: DataFrame, features: list[str], terms: list[int], bounds: list[int], pool: int = 2, beam: int = 8,
+                 multipliers: int = 16) -> dict[tuple[int, int], list[FoundCard]]:
+    """``card_search`` for every (terms, bound): sets grow once, and all rounded cards are compared in one job."""
     pats = settled(pats.select(*features, "pos", "n"))
-    candidates: dict[tuple, tuple[float, float, dict[str, int]]] = {}
-    for fit in grown_sets(pats, features, terms, beam):
-        for b0, m, points in rounded_cards(fit, bound, multipliers):
-            candidates[(b0, m, tuple(sorted(points.items())))] = (b0, m, points)
-    named = {str(i): c for i, c in enumerate(candidates.values())}
+    grown = grown_sets(pats, features, terms, beam)
+    cards: dict[tuple[int, int], dict[tuple, tuple[float, float, dict[str, int]]]] = {}
+    for t in terms:
+        for b in bounds:
+            rounded = (c for fit in grown[t] for c in rounded_cards(fit, b, multipliers))
+            cards[t, b] = {(b0, m, tuple(sorted(points.items()))): (b0, m, points) for b0, m, points in rounded}
+    every = {key: card for found in cards.values() for key, card in found.items()}
+    names = {key: str(i) for i, key in enumerate(every)}
     # a card is the linear fit (intercept + points) / multiplier
     as_fits = {
-        name: LinearFit(b0 / m, {k: v / m for k, v in points.items()}) for name, (b0, m, points) in named.items()
+        names[key]: LinearFit(b0 / m, {k: v / m for k, v in points.items()}) for key, (b0, m, points) in every.items()
     }
     loss = losses(pats, as_fits)
+    return {
+        cell: best_cards({names[key]: card for key, card in found.items()}, loss, pool) for cell, found in cards.items()
+    }
+
+
+def card_search(pats: DataFrame, features: list[str], terms: int, bound: int, pool: int = 2, beam: int = 8,
+                multipliers: int = 16) -> list[FoundCard]:
+    """Up to ``pool`` different cards, numbered from the best."""
+    return search_cards(pats, features, [terms], [bound], pool, beam, multipliers)[terms, bound]
+
+
+def best_cards(named: dict[str, tuple[float, float, dict[str, int]]], loss: dict[str, float], pool: int) -> list[FoundCard]:
+    """The ``pool`` cards of least loss with different points."""
     found: list[FoundCard] = []
     seen: set[tuple] = set()
-    for name in sorted(named, key=lambda k: (round(loss[k], 9), k)):
+    for name in sorted(named, key=lambda k: (round(loss[k], 9), int(k))):
         b0, m, points = named[name]
         key = tuple(sorted(points.items()))
         if key in seen:

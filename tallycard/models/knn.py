@@ -1,47 +1,85 @@
 """Nearest neighbours among yes/no features by Hamming distance.
 
-Neither records nor patterns are paired. A table over all 2^p patterns carries,
-for each distance, how many training records lie that far away; it is built by
-letting every pattern pass its counts to the patterns one flip away, one group
-of features per shuffle.
+Records are counted per pattern first. The patterns asked for go through the
+training patterns in blocks: every task adds up, for each of them and each
+distance, how many training records lie that far away, and only these sums leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycard.session import settled
 
-FLIPS_AT_ONCE = 4
+#: Patterns asked for that are sent to the tasks at once.
+BLOCK = 4096
 
 
 def bit_code(features: list[str]) -> Column:
-    """All features of a record as one whole number."""
-    code = F.lit(0).cast("long")
-    for i, f in enumerate(features):
-        code = code + F.col(f).cast("long") * F.lit(1 << i)
-    return code
-
-
-def shells(pats: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
-    """For every pattern code and distance: training rows (n) and events (pos) that far away.
-
-    At most 2^p * (p + 1) rows per key whatever the number of records.
+    """All features of a record as one text of zeros and ones; any number of them."""
+    return F.concat(*[F.col(f).cast("int").cast("string") for f in features])
+
+
+def _bits(codes: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(codes).encode(), np.uint8).reshape(len(codes), -1) - ord("0")
+
+
+def _distance_sums(asked, width: int, keys: list[str]):
+    """Per key, asked pattern and distance: training rows and events."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = asked.value
+        bits = _bits(codes).astype(np.float32)
+        sums: dict[tuple, np.ndarray] = {}
+        flat = np.arange(len(codes))[:, None] * (width + 1)
+        for pdf in batches:
+            for key, own in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+                total = sums.setdefault(key, np.zeros((2, len(codes) * (width + 1))))
+                for at in range(0, len(own), 1024):
+                    part = own.iloc[at: at + 1024]
+                    x = _bits(list(part["code"])).astype(np.float32)
+                    # differing places of 0/1 vectors
+                    apart = bits.sum(1)[:, None] + x.sum(1)[None, :] - 2 * bits @ x.T
+                    slots = (flat + np.rint(apart).astype(np.int64)).ravel()
+                    for k, name in enumerate(("n", "pos")):
+                        weight = np.broadcast_to(part[name].to_numpy(float), apart.shape).ravel()
+                        total[k] += np.bincount(slots, weight, minlength=total.shape[1])
+        for key, total in sums.items():
+            at = np.flatnonzero(total[0])
+            out = pd.DataFrame({"code": np.array(codes, dtype=object)[at // (width + 1)], "distance": at % (width + 1),
+                                "n": total[0, at].astype(np.int64), "pos": total[1, at].astype(np.int64)})
+            for name, value in zip(keys, key):
+                out[name] = value
+            yield out
+
+    return count
+
+
+def shells(pats: DataFrame, features: list[str], keys: list[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """For every wanted pattern and distance: training rows (n) and events (pos) that far away.
+
+    ``wanted`` are the rows whose patterns are asked for, by default the training
+    patterns themselves. Rows and events per wanted pattern and distance, never
+    pairs of patterns, are what is shuffled.
     """
-    out = pats.select(*keys, bit_code(features).alias("code"), F.lit(0).alias("distance"), "n", "pos")
-    for start in range(0, len(features), FLIPS_AT_ONCE):
-        width = min(FLIPS_AT_ONCE, len(features) - start)
-        moves = [
-            F.struct(F.lit(m << start).cast("long").alias("mask"), F.lit(bin(m).count("1")).alias("step"))
-            for m in range(1 << width)
-        ]
-        moved = out.select(*keys, "code", "distance", "n", "pos", F.inline(F.array(*moves)))
-        out = moved.groupBy(
-            *keys, F.col("code").bitwiseXOR(F.col("mask")).alias("code"),
-            (F.col("distance") + F.col("step")).alias("distance"),
-        ).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    return out
+    spark, keys = pats.sparkSession, list(keys)
+    train = settled(pats.select(*keys, bit_code(features).alias("code"), F.col("n").cast("long"), F.col("pos").cast("long")))
+    asked = (pats if wanted is None else wanted).select(bit_code(features).alias("code")).distinct()
+    types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
+    schema = ", ".join(["code string, distance int, n long, pos long", *[f"{k} {types[k]}" for k in keys]])
+    parts = [
+        train.mapInPandas(_distance_sums(spark.sparkContext.broadcast([r["code"] for r in block]), len(features), keys), schema)
+        for block in batched(asked.orderBy("code").toLocalIterator(), BLOCK)
+    ] or [spark.createDataFrame([], schema)]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "code", "distance").agg(
+        F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
 def without_fold(by_fold: DataFrame, v: int) -> DataFrame:
@@ -82,5 +120,5 @@ def knn_predict(train_pats: DataFrame, test: DataFrame, features: list[str], k:
     ``test`` may be patterns or records; the shares are one row per pattern and
     are broadcast if that is few, so a frequent pattern is no hot join key.
     """
-    share = neighbour_share(shells(train_pats, features), F.lit(k), kernel)
+    share = neighbour_share(shells(train_pats, features, wanted=test), F.lit(k), kernel)
     return test.withColumn("code", bit_code(features)).join(settled(share), "code", "left").drop("code")

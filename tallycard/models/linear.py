@@ -64,7 +64,7 @@ def fit_logistic(rows: DataFrame, features: list[str], penalty: float = 0.0, lab
         scale = {f: s or 1.0 for f, s in spreads(rows, features, weight).items()}
         rows = rows.withColumns({f: F.col(f).cast("double") / F.lit(scale[f]) for f in features})
     lr = LogisticRegression(
-        labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-7)
+        labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10)
     if weight:
         lr = lr.setWeightCol(weight)
     model = lr.fit(assembled(rows, features))
@@ -82,9 +82,9 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.col("weight") * share)
 
 
-def fit_svm(rows: DataFrame, features: list[str], penalty: float = 0.1) -> LinearFit:
+def fit_svm(rows: DataFrame, features: list[str], penalty: float = 0.1, steps: int = 100, tolerance: float = 1e-6) -> LinearFit:
     """Linear support vector machine; its margin is not a probability, see ``calibrated``."""
-    svc = LinearSVC(weightCol="weight", regParam=penalty, maxIter=20, tol=1e-3)
+    svc = LinearSVC(weightCol="weight", regParam=penalty, maxIter=steps, tol=tolerance)
     model = svc.fit(assembled(rows, features))
     return LinearFit(float(model.intercept), dict(zip(features, map(float, model.coefficients))))
 

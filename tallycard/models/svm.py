@@ -37,18 +37,19 @@ class SvmFit:
         return out.withColumn("pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
 
 
-def fit_svm_linear(rows: DataFrame, features: list[str], penalty: float = 0.1, balanced: bool = True) -> SvmFit:
+def fit_svm_linear(rows: DataFrame, features: list[str], penalty: float = 0.1, balanced: bool = True,
+                   steps: int = 100, tolerance: float = 1e-6) -> SvmFit:
     """``balanced``: without it a rare event gives a constant margin. The curve uses the true weights."""
-    linear = fit_svm(balanced_weights(rows) if balanced else rows, features, penalty)
+    linear = fit_svm(balanced_weights(rows) if balanced else rows, features, penalty, steps, tolerance)
     return SvmFit(features, calibrated(rows, linear.margin()), linear=linear)
 
 
 def fit_svm_poly(rows: DataFrame, features: list[str], degree: int, penalty: float = 0.1,
-                 balanced: bool = True) -> SvmFit:
+                 balanced: bool = True, steps: int = 100, tolerance: float = 1e-6) -> SvmFit:
     """All products of up to ``degree`` features as explicit new features."""
     expansion = PolynomialExpansion(degree=degree, inputCol="features", outputCol="expanded")
     expanded = expansion.transform(assembled(balanced_weights(rows) if balanced else rows, features))
-    svc = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=20, tol=1e-3)
+    svc = LinearSVC(featuresCol="expanded", weightCol="weight", regParam=penalty, maxIter=steps, tol=tolerance)
     machine = svc.fit(expanded)
     draft = SvmFit(features, LinearFit(0.0, {}), expansion=expansion, machine=machine)
     return SvmFit(features, calibrated(draft.with_margin(rows), F.col("margin")), expansion=expansion, machine=machine)

@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 
 from tallycard.operators.encode import assembled
 
+#: The deepest tree the library can grow.
+DEEPEST = 30
 
-def fit_tree(rows: DataFrame, features: list[str], depth: int = 7):
-    """Tree of event shares.
+
+def fit_tree(rows: DataFrame, features: list[str], depth: int | None = 7):
+    """Tree of event shares; without a ``depth`` it grows as long as a split gains anything.
 
     Fitted as a regression of the 0/1 label, whose variance splits are the gini
     splits; a classification tree would merge neighbouring leaves of the same
     majority class and so lose their shares, all of them when events are rare.
     """
-    return DecisionTreeRegressor(maxDepth=depth, weightCol="weight", seed=1).fit(assembled(rows, features))
+    return DecisionTreeRegressor(maxDepth=DEEPEST if depth is None else depth, weightCol="weight", seed=1).fit(assembled(rows, features))
+
 
+def fit_forest(rows: DataFrame, features: list[str], trees: int = 120, mtry: int = 4, seed: int = 1, depth: int | None = None,
+               bootstrap: bool = True):
+    """Forest on single records, not patterns: a bootstrap of weighted patterns is not the same.
 
-def fit_forest(rows: DataFrame, features: list[str], trees: int = 120, mtry: int = 4, seed: int = 1, depth: int = 10):
-    """Forest on single records, not patterns: a bootstrap of weighted patterns is not the same."""
+    Trees grow fully unless ``depth`` stops them. The predicted share is the mean
+    of the trees' leaf shares, not the share of trees that vote for the event.
+    """
     subset = str(min(mtry, len(features)))
     return RandomForestRegressor(
-        numTrees=trees, featureSubsetStrategy=subset, seed=seed, maxDepth=depth).fit(assembled(rows, features))
+        numTrees=trees, featureSubsetStrategy=subset, seed=seed, maxDepth=DEEPEST if depth is None else depth,
+        bootstrap=bootstrap).fit(assembled(rows, features))
 
 
 def predicted(model, df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:

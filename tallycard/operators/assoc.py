@@ -43,8 +43,15 @@ def pair_tables(df: DataFrame, columns: list[str]) -> DataFrame:
     return pats.select("n", F.inline(F.array(*pairs))).groupBy("i", "j", "vi", "vj").agg(F.sum("n").alias("n"))
 
 
-def pair_cells(tables: DataFrame) -> DataFrame:
-    """One row per pair with its table as an array: at most levels x levels cells."""
+def pair_cells(tables: DataFrame, most: int = 10_000) -> DataFrame:
+    """One row per pair with its table as an array: at most levels x levels cells.
+
+    More than ``most`` cells are an error: such columns are no categories, and
+    the coefficients compare cells pairwise.
+    """
+    sizes = tables.groupBy("i", "j").agg(F.count("*").alias("cells")).agg(F.max("cells")).first()[0]
+    if sizes and sizes > most:
+        raise ValueError(f"a pair of columns has {sizes} cells, more than {most}")
     cell = F.struct(F.col("vi"), F.col("vj"), F.col("n").cast("double").alias("n"))
     return tables.groupBy("i", "j").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
@@ -78,7 +85,7 @@ def kendall_phi(tables: DataFrame) -> DataFrame:
 
 # ---- latent normal correlation ------------------------------------------------
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -86,12 +93,15 @@ def _phi(x: np.ndarray) -> np.ndarray:
 
 
 def _below(a: np.ndarray, b: np.ndarray, rho: float) -> np.ndarray:
-    """P(X <= a, Y <= b) for standard normals with correlation rho; a, b finite grids."""
-    r = rho * (_NODES + 1) / 2
-    one = 1 - r**2
+    """P(X <= a, Y <= b) for standard normals with correlation rho; a, b finite grids.
+
+    Integrated over the angle whose sine is the correlation, which is smooth up to -1 and 1.
+    """
+    top = np.arcsin(rho)
+    angle = top * (_NODES + 1) / 2
     a, b = a[..., None], b[..., None]
-    density = np.exp(-(a * a - 2 * r * a * b + b * b) / (2 * one)) / (2 * np.pi * np.sqrt(one))
-    return _phi(a[..., 0]) * _phi(b[..., 0]) + rho / 2 * (density @ _WEIGHTS)
+    density = np.exp(-(a * a - 2 * np.sin(angle) * a * b + b * b) / (2 * np.cos(angle) ** 2)) / (2 * np.pi)
+    return _phi(a[..., 0]) * _phi(b[..., 0]) + top / 2 * (density @ _WEIGHTS)
 
 
 def _tau_of(rho: float, ti: np.ndarray, tj: np.ndarray) -> float:
@@ -106,15 +116,18 @@ def _tau_of(rho: float, ti: np.ndarray, tj: np.ndarray) -> float:
     return float(2 * np.sum(p * (lower - right)))
 
 
-def latent_from_cells(cells: list[tuple[int, int, float]]) -> float:
-    """Correlation of two latent normals that reproduces the table's tau-a."""
+def latent_from_cells(cells: list[tuple[int, int, float]]) -> tuple[float, float]:
+    """Correlation of two latent normals that reproduces the table's tau-a, and the tau-a it implies.
+
+    A tau-a beyond what two normals with these shares can have gives -1 or 1.
+    """
     n = sum(c[2] for c in cells)
     cuts, axes = [], []
     for side in (0, 1):
         values = sorted({c[side] for c in cells})
         share = np.cumsum([sum(c[2] for c in cells if c[side] == v) for v in values]) / n
         if len(values) < 2:
-            return float("nan")
+            return float("nan"), float("nan")
         cuts.append(np.array([NormalDist().inv_cdf(min(max(s, 1e-9), 1 - 1e-9)) for s in share[:-1]]))
         axes.append({v: k for k, v in enumerate(values)})
     t = np.zeros((len(axes[0]), len(axes[1])))
@@ -125,22 +138,22 @@ def latent_from_cells(cells: list[tuple[int, int, float]]) -> float:
     right = np.zeros_like(t)
     right[1:, :-1] = np.cumsum(np.cumsum(t, 0)[:, ::-1], 1)[:, ::-1][:-1, 1:]
     tau = 2 * float(np.sum(t * (lower - right))) * n / (n - 1)
-    lo, hi = -0.999, 0.999
+    lo, hi = -1.0, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _tau_of(mid, *cuts) < tau else (lo, mid)
-    return (lo + hi) / 2
+    return (lo + hi) / 2, _tau_of((lo + hi) / 2, *cuts)
 
 
 def latent_corr(tables: DataFrame) -> DataFrame:
-    """Latent correlation of every pair; the solver sees one small table at a time."""
+    """Latent correlation ``rho`` of every pair and the tau-a it implies; the solver sees one small table at a time."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rho = [latent_from_cells([(c["vi"], c["vj"], c["n"]) for c in cells]) for cells in pdf["cells"]]
-            yield pdf[["i", "j"]].assign(rho=rho)
+            yield pdf[["i", "j"]].assign(rho=[r for r, _ in rho], tau=[t for _, t in rho])
 
-    return pair_cells(tables).mapInPandas(solve, "i string, j string, rho double")
+    return pair_cells(tables).mapInPandas(solve, "i string, j string, rho double, tau double")
 
 
 def full_matrix(pairs: DataFrame, value: str) -> DataFrame:

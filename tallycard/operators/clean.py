@@ -9,7 +9,8 @@ from tallycard import settings
 from tallycard.functions.dates import calendar_years, parse_date
 from tallycard.functions.select import begins, ends_in, pick, renamed, replacing, snake_case, without
 from tallycard.functions.values import if_else, keep_levels
-from tallycard.operators.prefix import numbered, running_totals
+from tallycard.operators.prefix import numbered, running_totals, values_at
+from tallycard.session import settled
 
 YES_NO = [({"Checked", "Unchecked"}, "Checked", False), ({"Yes", "No"}, "Yes", True)]
 
@@ -112,13 +113,6 @@ def clean_dates(df: DataFrame, latest_birth: Column | None = None, strict: bool
     return df.drop("_early")
 
 
-def reversed_dates(df: DataFrame) -> DataFrame:
-    """Records received long before birth that could be swapped dates."""
-    early = age_years() < settings.EARLIEST_PLAUSIBLE_AGE
-    first_received = df.agg(F.min("date_received")).scalar()
-    return df.filter(early).filter(F.col("date_of_birth") < first_received)
-
-
 def with_smoking_classes(df: DataFrame, history: str = "smoking_history_cigarette") -> DataFrame:
     """smoking_hx: ever smoked; smoking_use: Never, Past or Current. NULL stays NULL."""
     ever = F.col(history).isin("Past", "Current")
@@ -182,6 +176,21 @@ def batch_label(row: Column, cuts: list[float]) -> Column:
     return label.when(row > edges[-1], f"({edges[-1]},Inf]")
 
 
+def in_batches(df: DataFrame, key: str, cuts: list[int], name: str = "batch") -> DataFrame:
+    """Batches (lo, hi] of the rows' positions in the order of a unique column, without numbering the rows.
+
+    The keys at the cuts are looked up, and each row is compared with them. A cut
+    beyond the last row leaves its batches empty.
+    """
+    found = {r["position"]: r["value"] for r in values_at(df, key, cuts).collect()}  # one row per cut
+    edges = [0, *cuts]
+    label = F.lit(f"({edges[-1]},Inf]")
+    for lo, hi in reversed(list(zip(edges, cuts))):
+        inside = F.lit(True) if hi not in found else F.col(key) <= F.lit(found[hi])
+        label = F.when(inside, f"({lo},{hi}]").otherwise(label)
+    return df.withColumn(name, label)
+
+
 def first_seen_order(df: DataFrame, level: str, position: str) -> DataFrame:
     """Levels of a (small) vocabulary numbered in order of first appearance."""
     firsts = df.groupBy(level).agg(F.min(position).alias("first_at")).withColumn("_one", F.lit(1))
@@ -198,7 +207,8 @@ def analysis_table(predictors: DataFrame, responses: DataFrame, columns: list[st
                    test: Column) -> DataFrame:
     """One experiment cell: chosen predictors, complete, joined to the labelled response."""
     left = predictors.select("record_id", *columns).dropna()
-    right = responses.select("record_id", "genotype").join(included, "genotype", "left_semi")
+    # settled, so that the few levels are seen to be few and the table is not shuffled by a key of five values
+    right = responses.select("record_id", "genotype").join(settled(included), "genotype", "left_semi")
     return label_response(right, test).join(left, "record_id").withColumn(
         "is_event", F.col("geno_class") == "Abnormal")
 

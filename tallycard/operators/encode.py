@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_LEVELS = 1000
+def levels_present(df: DataFrame, column: str, order: list[str] | None = None, most: int | None = None) -> list[str]:
+    """Levels that occur, in the given order or sorted.
 
-
-def levels_present(df: DataFrame, column: str, order: list[str] | None = None) -> list[str]:
-    """Levels that occur, in the given order or sorted; an error if it is no vocabulary."""
-    seen = [r[0] for r in df.select(column).dropna().distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(seen) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels and cannot be coded")
+    Each level becomes a column, so they reach the driver. ``most`` guards
+    against coding a free text: with more levels it is an error, None is no bound.
+    """
+    distinct = df.select(column).dropna().distinct()
+    seen = [r[0] for r in (distinct if most is None else distinct.limit(most + 1)).collect()]
+    if most is not None and len(seen) > most:
+        raise ValueError(f"{column} has more than {most} levels")
     return [v for v in order if v in seen] if order else sorted(seen)
 
 
@@ -32,8 +34,11 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def dummy_columns(column: str, levels: list[str], full: bool = False) -> dict[str, Column]:
-    """0/1 columns named <column>_<level>; the first level is the reference unless ``full``."""
-    known = F.col(column).isNotNull()
+    """0/1 columns named <column>_<level>; the first level is the reference unless ``full``.
+
+    A missing value and a level that is not among ``levels`` are NULL in all of them.
+    """
+    known = F.col(column).isin(levels)
     return {
         f"{column}_{lv}": F.when(known, (F.col(column) == lv).cast("int"))
         for lv in (levels if full else levels[1:])
@@ -44,13 +49,15 @@ def dummy_columns(column: str, levels: list[str], full: bool = False) -> dict[st
 class Encoder:
     """Fit on training rows, then turn any rows into 0/1 and numeric features.
 
-    Columns in ``carry`` (ids, labels, other roles) pass through untouched.
+    Columns in ``carry`` (ids, labels, other roles) pass through untouched. A
+    level not seen in training is coded NULL. ``most_levels`` see ``levels_present``.
     """
 
     columns: list[str]
     carry: list[str] = field(default_factory=list)
     full: bool = False
     drop_constant: bool = True
+    most_levels: int | None = None
     level_order: dict[str, list[str]] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
     kept: list[str] = field(default_factory=list)
@@ -60,7 +67,7 @@ class Encoder:
         self.kept = [c for c in self.columns if c not in constant]
         types = dict(train.dtypes)
         self.levels = {
-            c: levels_present(train, c, self.level_order.get(c)) for c in self.kept if types[c] == "string"
+            c: levels_present(train, c, self.level_order.get(c), self.most_levels) for c in self.kept if types[c] == "string"
         }
         return self
 

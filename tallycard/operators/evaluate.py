@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycard.functions.values import if_else, ratio
+from tallycard.functions.values import ratio
 from tallycard.operators.prefix import running_totals, same_keys
+from tallycard.session import settled
 
 
 def screen_performance(df: DataFrame, screen: Column, event: Column, keys: list[str] = ()) -> DataFrame:
@@ -70,9 +71,11 @@ def roc_points(totals: DataFrame, keys: list[str]) -> DataFrame:
 def roc_curve(df: DataFrame, keys: list[str], score: str = "score", event: str = "is_event",
               wide: bool | None = None) -> DataFrame:
     """All ROC points plus the two ends (threshold NULL, see ``point_kind``)."""
-    points = roc_points(threshold_totals(df, keys, score, event, wide), keys).withColumn(
-        "point_kind", F.lit("score"))
-    groups = df.filter(F.col(score).isNotNull() & F.col(event).isNotNull()).select(*keys).distinct()
+    wide = dict(df.dtypes)[score] in ("double", "float") if wide is None else wide
+    counts = settled(score_counts(df, keys, score, event))  # points and ends both start from it
+    totals = threshold_totals(counts, keys, "score", event, wide, counted=True)
+    points = roc_points(totals, keys).withColumn("point_kind", F.lit("score"))
+    groups = counts.select(*keys).distinct()
     ends = groups.select(
         *keys,
         F.inline(F.array(
@@ -88,14 +91,16 @@ def roc_curve(df: DataFrame, keys: list[str], score: str = "score", event: str =
 def pr_curve(df: DataFrame, keys: list[str], score: str = "score", event: str = "is_event",
              wide: bool | None = None) -> DataFrame:
     """Precision-recall points; the curve starts at recall 0, precision 1."""
-    totals = threshold_totals(df, keys, score, event, wide)
+    wide = dict(df.dtypes)[score] in ("double", "float") if wide is None else wide
+    counts = settled(score_counts(df, keys, score, event))  # points and starts both start from it
+    totals = threshold_totals(counts, keys, "score", event, wide, counted=True)
     points = totals.select(
         *keys, "score",
         ratio(F.col("cum_pos"), F.col("tot_pos")).alias("recall"),
         ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         F.lit("score").alias("point_kind"),
     )
-    groups = df.filter(F.col(score).isNotNull() & F.col(event).isNotNull()).select(*keys).distinct()
+    groups = counts.select(*keys).distinct()
     start = groups.select(*keys, F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"),
                           F.lit("start").alias("point_kind"))
     return points.unionByName(start, allowMissingColumns=True)
@@ -250,6 +255,3 @@ def best_settings(summary: DataFrame, keys: list[str], preference: list[Column]
     w = Window.partitionBy(*keys).orderBy(*preference)
     return best.withColumn("_pref", F.rank().over(w)).filter("_pref = 1").drop("_pref")
 
-
-def agreement_class(screen: Column) -> Column:
-    return if_else(screen, F.lit("Y"), F.lit("N"))

@@ -8,6 +8,7 @@ only the rows inside one range are ordered together.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from math import isfinite
 
@@ -19,6 +20,8 @@ from tallycard.functions.values import hash_key
 from tallycard.session import settled
 
 SLICE = "_slice"
+#: Rows that are ordered together, about.
+RANGE_ROWS = 1_000_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -37,8 +40,8 @@ def range_edges(df: DataFrame, order: str, parts: int) -> list[float]:
 
 def with_slice(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """Add the number of the value range each row falls into."""
-    if parts is None:
-        parts = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), 4096)
+    if parts is None:  # enough ranges for the rows, and for the session's tasks
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     edges = range_edges(df, order, parts)
     if not edges:
         return df.withColumn(SLICE, F.lit(0))
@@ -100,6 +103,22 @@ def numbered(df: DataFrame, order: str, name: str = "row") -> DataFrame:
     return ran.withColumnRenamed("cum__one", name).drop("_one", "tot__one")
 
 
+def values_at(df: DataFrame, order: str, positions: list[int]) -> DataFrame:
+    """position and the value of a unique column that stands there, 1 being the least.
+
+    Counts per range tell which ranges hold the positions; only those are ordered.
+    """
+    cut = with_slice(settled(df.select(order)), order)
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(SLICE).agg(F.count("*").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    wanted = counts.withColumn("position", F.explode(F.lit(positions).cast("array<bigint>"))).filter(
+        (F.col("position") > F.col("_before")) & (F.col("position") <= F.col("_before") + F.col("_in")))
+    wanted = settled(wanted.select(SLICE, (F.col("position") - F.col("_before")).alias("_rank"), "position"))
+    near = cut.join(wanted.select(SLICE).distinct(), SLICE, "left_semi").withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(SLICE).orderBy(order)).cast("long"))
+    return near.join(wanted, [SLICE, "_rank"]).select("position", F.col(order).alias("value"))
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], wide: bool = True
 ) -> DataFrame:
@@ -131,7 +150,10 @@ def exact_quantiles(
 # ---- positions by hash ----------------------------------------------------
 
 
-def _with_hash(df: DataFrame, key: str, seed: object, digits: int) -> DataFrame:
+def _with_hash(df: DataFrame, key: str, seed: object, digits: int | None) -> DataFrame:
+    """Adds the hash and its first digits; without a number of digits, as many as leave a thousand rows or so to a prefix."""
+    if digits is None:
+        digits = max(2, math.ceil(math.log(max(df.count(), 1) / 1000, 16)))
     hashed = df.withColumn("_hash", hash_key(seed, key))
     return hashed.withColumn(SLICE, F.substring("_hash", 1, digits))
 
@@ -148,11 +170,11 @@ def _slice_counts(hashed: DataFrame, strata: list[str]) -> DataFrame:
 
 
 def hash_positions(
-    df: DataFrame, strata: list[str], key: str, seed: object, digits: int = 3, name: str = "position"
+    df: DataFrame, strata: list[str], key: str, seed: object, digits: int | None = None, name: str = "position"
 ) -> DataFrame:
     """1-based position of each row inside its stratum, in the order of its hash.
 
-    A stratum of any size is spread over 16^digits windows.
+    A stratum is spread over 16^digits windows; the number of digits follows from the number of rows.
     """
     hashed = _with_hash(df, key, seed, digits)
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
@@ -172,7 +194,7 @@ def mark_first(
     seed: object,
     wanted,
     name: str = "picked",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Boolean ``name``: is the row among the first ``wanted(total)`` of its stratum?
 
@@ -187,7 +209,8 @@ def mark_first(
     border = counts.withColumn("_take", goal - F.col("_before")).filter(
         (F.col("_take") > 0) & (F.col("_take") <= F.col("_in"))).select(*strata, SLICE, "_take")
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
-    near = same_keys(slim, border, [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
+    # one row per stratum: settled, so that the table is not shuffled for it
+    near = same_keys(slim, settled(border), [*strata, SLICE]).withColumn("_rank", F.row_number().over(inside))
     last = near.filter(F.col("_rank") == F.col("_take")).select(
         *strata, F.struct(F.col("_hash").alias("h"), F.col(key).alias("k")).alias("_last"))
     here = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k"))

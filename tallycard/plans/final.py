@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallycard import settings
 from tallycard.models.batch_fit import FitSpec, fit_many
-from tallycard.models.card_search import card_search
+from tallycard.models.card_search import search_cards
 from tallycard.models.guideline import rule_shares
 from tallycard.operators import cards as ops
 from tallycard.operators.encode import Encoder, patterns
@@ -63,12 +63,11 @@ def searched_cards(pats: DataFrame, features: list[str], terms: list[int], bound
                    multipliers: int) -> tuple[dict[str, ops.Card], list[tuple]]:
     cards: dict[str, ops.Card] = {}
     facts = []
-    for t in terms:
-        for b in bounds:
-            for c in card_search(pats, features, t, b, pool, beam, multipliers):
-                name = f"integer card (terms = {t}, bound = {b}; #{c.number})"
-                cards[name] = (c.intercept, c.multiplier, c.points)
-                facts.append((name, "integer card", None, t, b, c.number))
+    for (t, b), found in search_cards(pats, features, terms, bounds, pool, beam, multipliers).items():
+        for c in found:
+            name = f"integer card (terms = {t}, bound = {b}; #{c.number})"
+            cards[name] = (c.intercept, c.multiplier, c.points)
+            facts.append((name, "integer card", None, t, b, c.number))
     return cards, facts
 
 
@@ -80,6 +79,8 @@ def evaluate(
 ) -> Evaluation:
     """Fit every card on ``train`` and judge all of them on ``test`` in one pass.
 
+    ``referent_risk`` of a card is what a record without any item brings, on the
+    scale of the points; ``score_adj`` is a score with it, on the log odds scale.
     Both tables carry record_id, is_event, the predictors, and whatever ``rule``
     (the existing guideline) needs. Cutoffs aim at the guideline's specificity,
     by default as measured on the training records.
@@ -101,12 +102,14 @@ def evaluate(
     scored = ops.score_records(coded_test, cards, ["record_id", "is_event"]).withColumn("risk", own_risk("risk"))
 
     models = spark.createDataFrame(
-        [(*f, *cards[f[0]][:2]) for f in facts],
-        "card string, family string, penalty double, terms int, bound int, number int, intercept double, multiplier double")
+        [(*f, *cards[f[0]][:2], cards[f[0]][0]) for f in facts],
+        "card string, family string, penalty double, terms int, bound int, number int, intercept double, multiplier double, "
+        "referent_risk double")
     points = spark.createDataFrame(
         [(k, i, p) for k, (_, _, pts) in cards.items() for i, p in pts.items()], "card string, item string, points int")
     risks = ops.score_range(points, ["card"]).join(models, "card").select(
-        "card", "score", ops.risk_of(F.col("score"), F.col("intercept"), F.col("multiplier")).alias("risk")
+        "card", "score", ((F.col("score") + F.col("referent_risk")) / F.col("multiplier")).alias("score_adj"),
+        ops.risk_of(F.col("score"), F.col("intercept"), F.col("multiplier")).alias("risk")
     ).withColumn("risk", own_risk("risk"))
 
     roc = settled(roc_points(threshold_totals(scored, ["card"]), ["card"]))

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallycard import settings
 from tallycard.functions.select import Selector, chosen
@@ -16,7 +15,7 @@ from tallycard.operators.cards import score_records
 from tallycard.operators.encode import Encoder, patterns, weighted_rows
 from tallycard.operators.evaluate import confusion_counts, metric_table, screen_performance
 from tallycard.plans.preprocess import StudyTables
-from tallycard.plans.tuning import resume
+from tallycard.plans.tuning import resume_many
 from tallycard.session import settled
 
 CARRY = ["record_id", "is_event"]
@@ -55,7 +54,7 @@ def fit_families(train: DataFrame, test: DataFrame, columns: list[str], forest_t
 
     lr = linear.fit_logistic(rows, reg.features)
     disc = lda.fit_lda(lda.lda_moments(reg_train, reg.features), reg.features)
-    small_tree = trees.fit_tree(num_rows, num.features, depth=4)
+    small_tree = trees.fit_tree(num_rows, num.features, depth=None)
     rules = trees.rule_conditions(small_tree, num.features)
     rule_p = {r["rule_id"]: float(r["p_event"]) for r in trees.rule_table(num_pats, rules).collect()}
     by_rule = F.element_at(F.create_map(*[F.lit(x) for kv in rule_p.items() for x in kv]), trees.rule_number(rules))
@@ -110,23 +109,30 @@ def run_cell(tables: StudyTables, ids: DataFrame, spec: list[Selector], test: Co
     }
 
 
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField(n, t) for n, t in [
-        ("record_id", T.LongType()), ("is_event", T.BooleanType()), ("p_event", T.DoubleType()),
-        ("pred_class", T.StringType()), ("model", T.StringType()), ("predictors", T.StringType()),
-        ("response", T.StringType())]
-])
+CELL = "predictors string, response string"
+#: The stored tables of the round; predictions come last, see ``resume_many``.
+ROUND_SCHEMAS = {
+    name: f"{ddl}, {CELL}" for name, ddl in {
+        "guideline": "tp bigint, tn bigint, fp bigint, fn bigint, sensitivity double, specificity double, precision double, recall double",
+        "counts": "model string, pred_class string, truth string, n bigint",
+        "metrics": "model string, metric string, estimator string, estimate double",
+        "predictions": "record_id bigint, is_event boolean, p_event double, pred_class string, model string",
+    }.items()
+}
 
 
 def run_round(spark: SparkSession, tables: StudyTables, path: str, specs=settings.PREDICTORS,
-              tests: dict[str, Column] | None = None, share: float = settings.SUBSET_FRACTION, **options) -> DataFrame:
-    """All (predictors, response) cells, stored one by one; a broken run continues where it stopped."""
+              tests: dict[str, Column] | None = None, share: float = settings.SUBSET_FRACTION, **options) -> dict[str, DataFrame]:
+    """All (predictors, response) cells, stored one by one; a broken run continues where it stopped.
+
+    Four tables below ``path``: guideline rates, predictions, counts, and metrics.
+    """
     tests = tests or settings.responses()
     ids = settled(subset_ids(tables, share))
     cells = [{"predictors": p, "response": r} for p in specs for r in tests]
 
-    def one(cell: dict[str, str]) -> DataFrame:
+    def one(cell: dict[str, str]) -> dict[str, DataFrame]:
         out = run_cell(tables, ids, specs[cell["predictors"]], tests[cell["response"]], **options)
-        return out["predictions"]
+        return out
 
-    return resume(spark, path, cells, PREDICTION_SCHEMA, one)
+    return resume_many(spark, path, cells, ROUND_SCHEMAS, one)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallycard import settings
 from tallycard.models.batch_fit import FitSpec, fit_many
-from tallycard.models.card_search import card_search
+from tallycard.models.card_search import search_cards
 from tallycard.models.knn import bit_code, neighbour_share, shells, without_fold
 from tallycard.models.trees import fit_forest, predicted
 from tallycard.operators import resample
@@ -81,20 +83,24 @@ def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels:
     return metric_table(pred, ["neighbors", "weight_func", "fold"], discrete=True, counted=True)
 
 
-def forest_cv(rows: DataFrame, features: list[str], trees: list[int], mtry: list[int], v: int) -> DataFrame:
+def forest_cv(rows: DataFrame, features: list[str], trees: list[int], mtry: list[int], v: int,
+              parallelism: int = 4) -> DataFrame:
     """Metrics of forests per number of trees, predictors per split and fold.
 
     Forests need single records (record_id, fold, label, is_event, features).
+    ``parallelism`` fits are submitted at a time.
     """
     rows = settled(rows)
-    parts = []
-    for k in range(1, v + 1):
-        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
-        for t in trees:
-            for m in mtry:
-                model = fit_forest(train, features, t, m)
-                pred = predicted(model, test, features, ["fold", "is_event"])
-                parts.append(pred.withColumns({"trees": F.lit(t), "mtry": F.lit(m)}))
+
+    def one(setting: tuple[int, int, int]) -> DataFrame:
+        k, t, m = setting
+        model = fit_forest(rows.filter(F.col("fold") != k), features, t, m)
+        pred = predicted(model, rows.filter(F.col("fold") == k), features, ["fold", "is_event"])
+        return pred.withColumns({"trees": F.lit(t), "mtry": F.lit(m)})
+
+    settings_ = [(k, t, m) for k in range(1, v + 1) for t in trees for m in mtry]
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), settings_))
     return metric_table(reduce(DataFrame.unionByName, parts), ["trees", "mtry", "fold"], discrete=True)
 
 
@@ -106,14 +112,12 @@ def card_cv(pats: DataFrame, features: list[str], terms: list[int], bounds: list
     for k in range(1, v + 1):
         train = pats.filter(F.col("fold") != k).groupBy(*features).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
         test = pats.filter(F.col("fold") == k)
-        for t in terms:
-            for b in bounds:
-                found = card_search(train, features, t, b, pool, beam, multipliers)
-                cards = {str(c.number): (c.intercept, c.multiplier, c.points) for c in found}
-                scored = score_records(test, cards, ["fold", "pos", "n"])
-                parts.append(scored.select(
-                    F.lit(t).alias("terms"), F.lit(b).alias("bound"), F.col("card").cast("int").alias("number"),
-                    "fold", "pos", "n", F.col("risk").alias("p_event")))
+        for (t, b), found in search_cards(train, features, terms, bounds, pool, beam, multipliers).items():
+            cards = {str(c.number): (c.intercept, c.multiplier, c.points) for c in found}
+            scored = score_records(test, cards, ["fold", "pos", "n"])
+            parts.append(scored.select(
+                F.lit(t).alias("terms"), F.lit(b).alias("bound"), F.col("card").cast("int").alias("number"),
+                "fold", "pos", "n", F.col("risk").alias("p_event")))
     pred = reduce(DataFrame.unionByName, parts).withColumn(
         "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
     return metric_table(pred, ["terms", "bound", "number", "fold"], discrete=True, counted=True)
@@ -132,9 +136,12 @@ METRICS_SCHEMA = T.StructType([
 def run_cell(train: DataFrame, columns: list[str], v: int = settings.N_FOLDS, penalties=settings.PENALTIES,
              neighbors=settings.NEIGHBORS, kernels=settings.KERNELS, trees=settings.TREES, mtry=None, terms=None,
              bounds=settings.CARD_BOUNDS, pool: int = 2, beam: int = 8, multipliers: int = 16,
-             seed=settings.SEED) -> DataFrame:
+             seed=settings.SEED, n_predictors: int | None = None) -> DataFrame:
     """Second round, one cell: all families on the same folds, metrics stacked.
 
+    ``n_predictors`` is the width of the union of all specifications, from which
+    the grids follow; by default this cell's own.
+
     ``train``: record_id, is_event and the predictor columns of the training
     records. Settings a family does not have are NULL.
     """
@@ -146,7 +153,7 @@ def run_cell(train: DataFrame, columns: list[str], v: int = settings.N_FOLDS, pe
     num = Encoder(columns, carry, full=True, drop_constant=False).fit(folded)
     pats = settled(patterns(reg.transform(folded), reg.features, keys=["fold"]))
     num_pats = settled(patterns(num.transform(folded), num.features, keys=["fold"]))
-    n = len(columns)
+    n = n_predictors or len(columns)
     mtry = settings.mtry_grid(n) if mtry is None else mtry
     terms = [settings.CARD_TERMS_LOW, max(n - 1, 1)] if terms is None else terms
     rows = num.transform(folded).withColumn("label", F.col("is_event").cast("double"))
@@ -160,18 +167,27 @@ def run_cell(train: DataFrame, columns: list[str], v: int = settings.N_FOLDS, pe
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def resume(spark: SparkSession, path: str, cells: list[dict[str, str]], schema: T.StructType,
-           run_cell: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
-    """Run the cells that have no stored result yet and return the whole table.
+def resume_many(spark: SparkSession, path: str, cells: list[dict[str, str]], schemas: dict[str, T.StructType | str],
+                run_cell: Callable[[dict[str, str]], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Run the cells that have no stored results yet and return the whole tables, one folder of ``path`` each.
 
-    A cell is written as its own partition, so repeating one replaces it and a
-    broken run continues where it stopped.
+    A cell is written as its own partition of every table, so repeating one
+    replaces it and a broken run continues where it stopped: a cell counts as
+    finished once it is in the last table.
     """
     names = list(cells[0])
     grid = spark.createDataFrame([tuple(c[n] for n in names) for c in cells], ", ".join(f"{n} string" for n in names))
-    done = read_or_empty(spark, path, schema)
+    done = read_or_empty(spark, f"{path}/{list(schemas)[-1]}", schemas[list(schemas)[-1]])
     for row in pending_cells(grid, done, names).collect():  # one row per experiment
         cell = row.asDict()
-        result = run_cell(cell).withColumns({n: F.lit(v) for n, v in cell.items()})
-        write_cell(result, path, names)
-    return read_or_empty(spark, path, schema)
+        found = run_cell(cell)
+        for table in schemas:
+            write_cell(found[table].withColumns({n: F.lit(v) for n, v in cell.items()}), f"{path}/{table}", names)
+    return {table: read_or_empty(spark, f"{path}/{table}", schema) for table, schema in schemas.items()}
+
+
+def resume(spark: SparkSession, path: str, cells: list[dict[str, str]], schema: T.StructType,
+           run_cell: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
+    """``resume_many`` for cells with one table."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return resume_many(spark, folder, cells, {name: schema}, lambda cell: {name: run_cell(cell)})[name]

@@ -58,9 +58,10 @@ def kendall_phi(spark, sf):
     return t.select("i", "j", "n", *[r6(c).alias(c) for c in ("tau_a", "tau_b", "phi")])
 
 
-@query("latent_corr")
+@query("latent_corr", f"WITH {TAU_SQL} SELECT i, j, round(tau_a, 6) AS tau FROM tau")
 def latent_corr(spark, sf):
-    return assoc.latent_corr(tables(spark, sf))
+    """The tau-a that each fitted latent correlation implies must be the one observed."""
+    return assoc.latent_corr(tables(spark, sf)).select("i", "j", r6("tau").alias("tau"))
 
 
 _cells = ", ".join(
@@ -76,8 +77,3 @@ def assoc_wide(spark, sf):
     labels = spark.createDataFrame(list(ITEM_NAMES.items()), "item string, label string")
     rounded = assoc.kendall_phi(tables(spark, sf)).withColumn("phi", F.round("phi", 3) + 0.0)
     return assoc.matrix_report(assoc.full_matrix(rounded, "phi"), ITEMS, labels)
-
-
-@query("assoc_eigen")
-def assoc_eigen(spark, sf):
-    return assoc.matrix_eigen(assoc.full_matrix(assoc.latent_corr(tables(spark, sf)), "rho"))

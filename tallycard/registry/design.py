@@ -104,7 +104,8 @@ def experiment_cells(spark, sf):
 @query("split_audit", f"""
 WITH {COHORT_SQL}, {SPLIT_SQL}
 SELECT count(*) AS ids, sum((split = 'train')::INT)::BIGINT AS train_ids, sum((split = 'test')::INT)::BIGINT AS test_ids,
-  0::BIGINT AS in_both, 0::BIGINT AS listed_twice FROM split""")
+  (SELECT count(*) FROM (SELECT record_id FROM split WHERE split = 'train' INTERSECT SELECT record_id FROM split WHERE split = 'test'))::BIGINT AS in_both,
+  (SELECT count(*) FROM (SELECT record_id FROM split GROUP BY record_id, split HAVING count(*) > 1))::BIGINT AS listed_twice FROM split""")
 def split_audit(spark, sf):
     return resample.split_audit(split_table(spark, sf), "record_id")
 
@@ -113,7 +114,7 @@ def split_audit(spark, sf):
 WITH {STUDY_SQL}, t AS (SELECT *, 1 AS constant FROM study WHERE guideline)
 SELECT unnest(['hx_returned', 'hx_bulk', 'hx_many', 'guideline', 'constant', 'n_lines']) AS column_name,
   unnest([count(DISTINCT hx_returned) <= 1, count(DISTINCT hx_bulk) <= 1, count(DISTINCT hx_many) <= 1, count(DISTINCT guideline) <= 1,
-          true, count(DISTINCT n_lines) <= 1]) AS is_constant, unnest([count(*), count(*), count(*), count(*), count(*), count(*)]) AS n
+          count(DISTINCT constant) <= 1, count(DISTINCT n_lines) <= 1]) AS is_constant, unnest([count(*), count(*), count(*), count(*), count(*), count(*)]) AS n
 FROM t""")
 def zero_variance(spark, sf):
     train = study(spark, sf).filter("guideline").withColumn("constant", F.lit(1))

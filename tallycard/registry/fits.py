@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycard import settings
@@ -14,6 +16,7 @@ from tallycard.operators import clean, resample
 from tallycard.operators.encode import patterns, weighted_rows
 from tallycard.plans.tuning import ridge_cv
 from tallycard.registry.base import query, r6
+from tallycard.registry.summaries import FOLD_SQL
 from tallycard.session import settled
 from tallycard.sources.fixtures import CARDS, COHORT_SQL, FLAGS, STUDY_SQL, cohort, study
 
@@ -46,21 +49,65 @@ def _fit_rows(spark, sf):
     return weighted_rows(train, FLAGS), test
 
 
-@query("lr_fit")
-def lr_fit(spark, sf):
-    rows, test = _fit_rows(spark, sf)
-    fit = linear.fit_logistic(rows, FLAGS)
-    return linear.classed(test, KEEP, fit.p_event())
+TERMS = ["", *FLAGS]  # the empty name is the intercept
+EVENTS_SQL = " UNION ALL ".join(f"SELECT '{f}' AS item, sum(is_event::INT{' * ' + f + '::INT' if f else ''})::DOUBLE AS total FROM {{t}}" for f in TERMS)
 
 
-@query("lr_ridge")
-def lr_ridge(spark, sf):
-    """Cross-validated metrics of every penalty, all folds and penalties fitted together."""
+def fitted_totals(pats, p_event, keys=()):
+    """Sum of the fitted shares over all rows, and over the rows with each item: what a fit must have in common with the events."""
+    weight = F.col("n") * p_event
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(f).alias("item"), (weight * F.col(f) if f else weight).cast("double").alias("x")) for f in TERMS]))
+    return pats.select(*keys, cells).groupBy(*keys, "item").agg(F.sum("x").alias("total"))
+
+
+@query("lr_fit", f"WITH {TT_SQL}, train AS (SELECT * FROM tt WHERE split = 'train') " + EVENTS_SQL.format(t="train"))
+def lr_fit(spark, sf):
+    """At the optimum the fitted shares of every item's rows add up to the observed events."""
+    train, _ = pattern_sets(spark, sf)
+    fit = linear.fit_logistic(weighted_rows(train, FLAGS), FLAGS)
+    return fitted_totals(train, fit.p_event()).withColumn("total", F.round("total", 2) + 0.0)
 
 
+def ridge_fits(spark, sf):
     s = settled(study(spark, sf).select("record_id", "is_event", *FLAGS))
-    pats = patterns(resample.folds(s, ["is_event"], "record_id"), FLAGS, keys=["fold"])
-    return ridge_cv(pats, FLAGS, settings.PENALTIES[3:], settings.N_FOLDS)
+    pats = settled(patterns(resample.folds(s, ["is_event"], "record_id"), FLAGS, keys=["fold"]))
+    return pats.withColumns({f: F.col(f).cast("int") for f in FLAGS})
+
+
+@query("lr_ridge", f"WITH {STUDY_SQL}, {FOLD_SQL}, k AS (SELECT DISTINCT fold AS left_out FROM folded), "
+       f"p AS (SELECT unnest({settings.PENALTIES}::DOUBLE[]) AS penalty), "
+       "train AS (SELECT * FROM folded, k, p WHERE fold <> left_out) "
+       + " UNION ALL ".join(f"SELECT left_out, penalty, '{f}' AS item, sum(is_event::INT{' * ' + f + '::INT' if f else ''})::DOUBLE AS total "
+                            "FROM train GROUP BY ALL" for f in TERMS))
+def lr_ridge(spark, sf):
+    """Every penalty on every fold, fitted together; fitted events plus the pull of the penalty are the observed events."""
+    pats = ridge_fits(spark, sf)
+    folds = range(1, settings.N_FOLDS + 1)
+    specs = [batch_fit.FitSpec(f"{p!r}|{k}", tuple(FLAGS), p, k) for p in settings.PENALTIES for k in folds]
+    fits = batch_fit.fit_many(pats, specs)
+    train = pats.withColumn("left_out", F.explode(F.lit(list(folds)))).filter("fold <> left_out")
+    x = {f: F.col("n") * F.col(f) for f in FLAGS}
+    moments = train.groupBy("left_out").agg(F.sum("n").alias("rows"), *[F.sum(x[f]).alias(f) for f in FLAGS])
+    parts = []
+    for p in settings.PENALTIES:
+        share, pull = F.lit(None).cast("double"), F.lit(0.0)
+        for k in folds:
+            fit = fits[f"{p!r}|{k}"]
+            share = F.when(F.col("left_out") == k, fit.p_event()).otherwise(share)
+            for f in FLAGS:
+                # n * penalty * variance * coefficient; a 0/1 item's variance follows from its count
+                spread = F.col(f) * (1 - F.col(f) / F.col("rows")) / (F.col("rows") - 1)
+                pull = F.when((F.col("left_out") == k) & (F.col("item") == f), F.col("rows") * p * spread * fit.coefs[f]).otherwise(pull)
+        totals = fitted_totals(train, share, ["left_out"]).join(F.broadcast(moments), "left_out")
+        parts.append(totals.select("left_out", F.lit(p).alias("penalty"), "item", (F.round(F.col("total") + pull, 2) + 0.0).alias("total")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("lr_ridge_metrics")
+def lr_ridge_metrics(spark, sf):
+    """Cross-validated metrics of every penalty, all folds and penalties fitted together."""
+    return ridge_cv(ridge_fits(spark, sf), FLAGS, settings.PENALTIES, settings.N_FOLDS)
 
 
 _products = [(a, b) for i, a in enumerate(FLAGS) for b in FLAGS[i:]]
@@ -75,51 +122,131 @@ def lda_moments(spark, sf):
     return lda.lda_moments(s.withColumns({f: F.col(f).cast("int") for f in FLAGS}), FLAGS)
 
 
-@query("lda_fit")
+@query("lda_fit", f"WITH {TT_SQL}, train AS (SELECT * FROM tt WHERE split = 'train') " + " UNION ALL ".join(
+    f"SELECT '{f}' AS item, round(avg({f}::INT) FILTER (is_event) - avg({f}::INT) FILTER (NOT is_event), 6) AS difference FROM train" for f in FLAGS))
 def lda_fit(spark, sf):
+    """The pooled covariance times the weights is the difference of the class means."""
+    train = train_test(spark, sf).filter("split = 'train'").withColumns({f: F.col(f).cast("int") for f in FLAGS})
+    moments = settled(lda.lda_moments(train, FLAGS))
+    fit = lda.fit_lda(moments, FLAGS)
+    wide = moments.filter("a <> ''").groupBy("is_event", "a").pivot("b", ["", *FLAGS]).agg(F.first("total")).withColumnRenamed("", "s")
+    sizes = moments.filter("a = ''").select("is_event", F.col("total").alias("size"))
+    # within-class cross products of two items, from the stored half of the symmetric table
+    products = moments.filter("b <> ''")
+    both = products.unionByName(products.filter("a <> b").select("is_event", F.col("b").alias("a"), F.col("a").alias("b"), "total"))
+    sums = wide.select("is_event", "a", "s")
+    within = both.join(sums.select("is_event", "a", F.col("s").alias("sa")), ["is_event", "a"]).join(
+        sums.select("is_event", F.col("a").alias("b"), F.col("s").alias("sb")), ["is_event", "b"]).join(sizes, "is_event")
+    weight = F.create_map(*[F.lit(x) for kv in fit.coefs.items() for x in kv])
+    cell = (F.col("total") - F.col("sa") * F.col("sb") / F.col("size")) * F.element_at(weight, F.col("b"))
+    total = sizes.agg(F.sum("size") - 2).scalar()
+    return within.groupBy(F.col("a").alias("item")).agg((F.sum(cell) / F.first(total)).alias("difference")).withColumn("difference", r6("difference"))
+
+
+@query("lda_pred")
+def lda_pred(spark, sf):
     train = train_test(spark, sf).withColumns({f: F.col(f).cast("int") for f in FLAGS})
     fit = lda.fit_lda(lda.lda_moments(train.filter("split = 'train'"), FLAGS), FLAGS)
     return linear.classed(train.filter("split = 'test'"), ["record_id", "is_event"], fit.p_event())
 
 
-@query("tree_rules")
+GAIN_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS item, count(*) FILTER (NOT {f}) AS n_low, count(*) FILTER ({f}) AS n_high, "
+    f"sum(is_event::INT) FILTER (NOT {f})::BIGINT AS events_low, sum(is_event::INT) FILTER ({f})::BIGINT AS events_high FROM train" for f in FLAGS)
+
+
+@query("tree_rules", f"""
+WITH {TT_SQL}, train AS (SELECT * FROM tt WHERE split = 'train'), s AS ({GAIN_SQL})
+SELECT * FROM s ORDER BY events_low::DOUBLE * events_low / n_low + events_high::DOUBLE * events_high / n_high DESC LIMIT 1""")
 def tree_rules(spark, sf):
+    """First split of the rules, which must be the one of greatest gini gain, with its rows and events counted rule by rule."""
+    train, _ = pattern_sets(spark, sf)
+    rules = trees.rule_conditions(trees.fit_tree(weighted_rows(train, FLAGS), FLAGS, depth=None), FLAGS)
+    table = trees.rule_table(train, rules)
+    sides = F.lit([c[0][1] for c in rules])
+    low = F.element_at(sides, F.col("rule_id")) == "<="
+    on = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0))
+    return table.agg(
+        F.lit(rules[0][0][0]).alias("item"), on("n", low).alias("n_low"), on("n", ~low).alias("n_high"),
+        on("events", low).alias("events_low"), on("events", ~low).alias("events_high"))
+
+
+@query("tree_rule_table")
+def tree_rule_table(spark, sf):
     train, _ = pattern_sets(spark, sf)
-    model = trees.fit_tree(weighted_rows(train, FLAGS), FLAGS, depth=4)
+    model = trees.fit_tree(weighted_rows(train, FLAGS), FLAGS, depth=None)
     return trees.rule_table(train, trees.rule_conditions(model, FLAGS))
 
 
-@query("dt_fit")
+SHARE_SQL = f"""
+WITH {TT_SQL}
+SELECT {', '.join(f + '::INT AS ' + f for f in FLAGS)}, sum(is_event::INT)::BIGINT AS pos, count(*) AS n, round(avg(is_event::INT), 6) AS p_event
+FROM tt WHERE split = 'train' GROUP BY {', '.join(FLAGS)}"""
+
+
+def shares(pred):
+    return pred.select(*[F.col(f).cast("int").alias(f) for f in FLAGS], "pos", "n", r6("p_event").alias("p_event"))
+
+
+@query("dt_fit", SHARE_SQL)
 def dt_fit(spark, sf):
+    """With as many levels as items the tree gives every training pattern its own share."""
+    train, _ = pattern_sets(spark, sf)
+    model = trees.fit_tree(weighted_rows(train, FLAGS), FLAGS, depth=7)
+    return shares(trees.predicted(model, train, FLAGS, KEEP))
+
+
+@query("dt_pred")
+def dt_pred(spark, sf):
     rows, test = _fit_rows(spark, sf)
     return trees.predicted(trees.fit_tree(rows, FLAGS, depth=7), test, FLAGS, KEEP)
 
 
-@query("rf_fit")
-def rf_fit(spark, sf):
-    s = train_test(spark, sf).select(
+def forest_rows(spark, sf):
+    return train_test(spark, sf).select(
         "record_id", "is_event", "split", F.col("is_event").cast("double").alias("label"),
         *[F.col(f).cast("int").alias(f) for f in FLAGS])
-    model = trees.fit_forest(s.filter("split = 'train'"), FLAGS, trees=20, mtry=4)
+
+
+@query("rf_exact", SHARE_SQL)
+def rf_exact(spark, sf):
+    """Without resampling and with all items at every split, each tree of the forest is the full tree."""
+    s = forest_rows(spark, sf)
+    train = s.filter("split = 'train'")
+    model = trees.fit_forest(train, FLAGS, trees=3, mtry=len(FLAGS), bootstrap=False)
+    return shares(trees.predicted(model, patterns(train, FLAGS), FLAGS, KEEP))
+
+
+@query("rf_fit")
+def rf_fit(spark, sf):
+    s = forest_rows(spark, sf)
+    model = trees.fit_forest(s.filter("split = 'train'"), FLAGS, trees=120, mtry=4)
     return trees.predicted(model, s.filter("split = 'test'"), FLAGS, ["record_id", "is_event"])
 
 
-@query("svm_linear")
+CALIBRATED_SQL = f"WITH {TT_SQL} SELECT count(*) AS n, sum(is_event::INT)::DOUBLE AS events FROM tt WHERE split = 'train'"
+
+
+def calibrated_total(spark, sf, fitted):
+    """The calibrated shares of all training rows add up to the observed events."""
+    train, _ = pattern_sets(spark, sf)
+    pred = fitted(weighted_rows(train, FLAGS)).predict(train, ["n"])
+    return pred.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("p_event")), 2).alias("events"))
+
+
+@query("svm_linear", CALIBRATED_SQL)
 def svm_linear(spark, sf):
-    rows, test = _fit_rows(spark, sf)
-    return svm.fit_svm_linear(rows, FLAGS).predict(test, KEEP)
+    return calibrated_total(spark, sf, lambda rows: svm.fit_svm_linear(rows, FLAGS))
 
 
-@query("svm_poly2")
+@query("svm_poly2", CALIBRATED_SQL)
 def svm_poly2(spark, sf):
-    rows, test = _fit_rows(spark, sf)
-    return svm.fit_svm_poly(rows, FLAGS, 2).predict(test, KEEP)
+    return calibrated_total(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 2))
 
 
-@query("svm_poly3")
+@query("svm_poly3", CALIBRATED_SQL)
 def svm_poly3(spark, sf):
-    rows, test = _fit_rows(spark, sf)
-    return svm.fit_svm_poly(rows, FLAGS, 3).predict(test, KEEP)
+    return calibrated_total(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 3))
 
 
 _dist = " + ".join(f"(a.{f} <> b.{f})::INT" for f in FLAGS)
@@ -140,7 +267,7 @@ SELECT {', '.join(f + '::INT AS ' + f for f in FLAGS)}, tn::BIGINT AS n, tpos::B
 FROM w GROUP BY {', '.join(FLAGS)}, tn, tpos""")
 def knn_hamming(spark, sf):
     train, test = pattern_sets(spark, sf)
-    near = settled(knn.shells(train, FLAGS))
+    near = settled(knn.shells(train, FLAGS, wanted=test))
     out = test.withColumn("code", knn.bit_code(FLAGS))
     for kernel in settings.KERNELS:
         share = knn.neighbour_share(near, F.lit(360), kernel).withColumnRenamed("p_event", kernel)
@@ -175,10 +302,23 @@ def card_losses(spark, sf):
         "loss", F.round("loss", 4))
 
 
-@query("card_search")
+@query("card_search", f"WITH {TT_SQL}, train AS (SELECT * FROM tt WHERE split = 'train') " + " UNION ALL ".join(
+    f"""SELECT '{f}' AS item, round(-sum(CASE WHEN pos > 0 THEN pos * ln(pos / n) ELSE 0 END + CASE WHEN n > pos THEN (n - pos) * ln((n - pos) / n) ELSE 0 END), 3) AS loss
+    FROM (SELECT count(*)::DOUBLE AS n, sum(is_event::INT)::DOUBLE AS pos FROM train GROUP BY {f})""" for f in FLAGS))
 def search(spark, sf):
+    """First stage of the search: the loss of every one-item fit, which has a closed form."""
+    train, _ = pattern_sets(spark, sf)
+    train = settled(train)
+    fits = card_search.grown_sets(train, FLAGS, [1], beam=len(FLAGS))[1]
+    loss = batch_fit.losses(train, {next(iter(f.coefs)): f for f in fits})
+    return spark.createDataFrame(list(loss.items()), "item string, loss double").withColumn("loss", F.round("loss", 3))
+
+
+@query("card_search_pool")
+def card_search_pool(spark, sf):
+    """The whole search with the first round's settings, and the found cards' counts on the test rows."""
     train, test = pattern_sets(spark, sf)
-    found = card_search.card_search(train, FLAGS, terms=3, bound=5, pool=6, beam=4, multipliers=8)
+    found = card_search.card_search(train, FLAGS, terms=7, bound=5, pool=6, beam=12, multipliers=24)
     cards = {f"#{c.number}": (c.intercept, c.multiplier, c.points) for c in found}
     scored = card_ops.score_records(test, cards, ["pos", "n"])
     facts = spark.createDataFrame(
@@ -210,8 +350,26 @@ def conditional_shares(spark, sf):
     return shares.select(r6("p_zz").alias("p_zz"), r6("p_sz").alias("p_sz"))
 
 
-@query("conditional_fit")
+@query("conditional_fit", f"""
+WITH {COHORT_SQL}, c AS (SELECT record_id, genotype IN ('SZ', 'ZZ') AS abnormal, genotype FROM cohort
+   WHERE genotype IS NOT NULL AND smoking_history_cigarette <> '(Missing)' AND any_tobacco_exposure <> '(Missing)' AND hx_returned IS NOT NULL
+     AND coalesce(age_calculated::VARCHAR, date_of_birth::VARCHAR) IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY abnormal ORDER BY md5('{settings.SEED}|' || record_id), record_id) AS pos, count(*) OVER (PARTITION BY abnormal) AS n FROM c),
+t AS (SELECT * FROM p WHERE pos <= floor(n * (2 / 3.0::DOUBLE))),
+s AS (SELECT unnest({list(conditional.STAGE_TWO)}) AS predictors)
+SELECT predictors, (SELECT sum(abnormal::INT)::DOUBLE FROM t) AS abnormal, (SELECT sum((genotype = 'ZZ')::INT)::DOUBLE FROM t WHERE abnormal) AS zz FROM s""")
 def conditional_fit(spark, sf):
+    """Both stages of every specification reproduce the events of the rows they were fitted on."""
+    t = settled(conditional_table(spark, sf).filter("split = 'train'"))
+    first = conditional.two_stage(t, t, FLAGS, ["record_id"])
+    second = conditional.two_stage(t, t.filter("abnormal"), FLAGS, ["record_id"])
+    a = first.groupBy("predictors").agg(F.round(F.sum("p_abnormal"), 1).alias("abnormal"))
+    z = second.groupBy("predictors").agg(F.round(F.sum("p_zz_given_abnormal"), 1).alias("zz"))
+    return a.join(z, "predictors")
+
+
+@query("conditional_pred")
+def conditional_pred(spark, sf):
     t = settled(conditional_table(spark, sf))
     return conditional.two_stage(
         t.filter("split = 'train'"), t.filter("split = 'test' AND abnormal"), FLAGS, ["record_id", "genotype"])

@@ -344,7 +344,7 @@ SELECT batch, round(min(x), 6) AS q0, round(quantile_cont(x, 0.25), 6) AS q1, ro
   round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS q4 FROM b GROUP BY batch""")
 def five_number(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    batched = numbered(o, "o_orderkey").withColumn("batch", clean.batch_label(F.col("row"), [5000, 12000]))
+    batched = clean.in_batches(o, "o_orderkey", [5000, 12000])
     q = report.five_number(batched, ["batch"], "o_totalprice")
     return q.select("batch", *[r6(c).alias(c) for c in report.QUARTILES])
 

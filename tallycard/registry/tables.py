@@ -12,6 +12,7 @@ from tallycard.operators.encode import patterns
 from tallycard.operators.report import item_prevalence, joined_naturally
 from tallycard.operators.cards import score_records, score_range, risk_of
 from tallycard.registry.base import query, r6
+from tallycard.session import settled
 from tallycard.sources import tables
 from tallycard.sources.fixtures import (
     CARDS, COHORT_SQL, FLAGS, SCORED_SQL, STUDY_SQL, cohort, order_side, study, table,
@@ -203,7 +204,9 @@ SELECT record_id, date_received, age_calculated,
        CASE WHEN date_of_birth > last_received THEN NULL ELSE date_of_birth END AS date_of_birth
 FROM step1""")
 def clean_dates(spark, sf):
-    return clean.clean_dates(cohort(spark, sf)).select(
+    # written once: the last receipt date and the rows both come from it
+    dates = settled(cohort(spark, sf).select("record_id", "date_received", "age_calculated", "date_of_birth"))
+    return clean.clean_dates(dates).select(
         "record_id", "date_received", "age_calculated", "date_of_birth")
 
 
@@ -296,7 +299,7 @@ WITH {COHORT_SQL}, incl AS (
 SELECT genotype, gender, count(*) AS n FROM cohort WHERE genotype IN (SELECT genotype FROM incl) GROUP BY ALL""")
 def semi_levels(spark, sf):
     c = order_side(spark, sf)
-    included = clean.frequent_levels(c, "genotype", 1000).select("genotype")
+    included = settled(clean.frequent_levels(c, "genotype", 1000).select("genotype"))
     return c.join(included, "genotype", "left_semi").groupBy("genotype", "gender").agg(F.count("*").alias("n"))
 
 

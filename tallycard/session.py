@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
-    spark = (
+def local_session(cores: str = "8", shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """Session for tests and the bench; a cluster brings its own.
+
+    ``checkpoint_dir`` is where intermediate tables go when the session names no folder itself.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallycard")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores).replace("*", "8"))
@@ -22,8 +25,10 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TALLYCARD_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir and not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -41,7 +46,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(home.rglob("*.py")):
             z.write(f, str(f.relative_to(home.parent)))
-    target = f"{scratch_path(spark, 'package')}/{home.name}.zip"
+    # apart from the scratch tables, as executors that join later fetch it too
+    target = f"{shared_dir(spark).rstrip('/')}/{home.name}-package-{app}/{home.name}.zip"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
     out.write(packed.getvalue())
@@ -50,15 +56,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it.
+    """The folder all executors can reach, as spark.checkpoint.dir names it.
 
-    A machine-local folder is only made up in local mode with nothing set.
+    In local mode with nothing set, a folder below the warehouse is used.
     """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tallycard-checkpoint-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallycard-checkpoint"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -26,7 +26,7 @@ def write_table(df: DataFrame, path: str, partitions: list[str] = ()) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The stored table, or an empty one with the same columns."""
     try:
         return spark.read.schema(schema).parquet(path)

@@ -8,10 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tallycard.session import local_session
 
-    return local_session("8")
+    return local_session("8", checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")

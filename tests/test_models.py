@@ -126,7 +126,7 @@ def test_neighbours_match_brute_force(spark, df, pdf, kernel, k):
 def test_neighbours_without_a_fold(df):
     f = df.withColumn("fold", (F.col("record_id") % 3 + 1).cast("int"))
     all_folds = knn.without_fold(knn.shells(patterns(f, FEATURES, keys=["fold"]), FEATURES, ["fold"]), 3)
-    direct = knn.shells(patterns(f.filter("fold <> 2"), FEATURES), FEATURES)
+    direct = knn.shells(patterns(f.filter("fold <> 2"), FEATURES), FEATURES, wanted=f)
     pick = lambda d: {(r.code, r.distance): (r.n, r.pos) for r in d.collect()}
     assert pick(all_folds.filter("fold = 2")) == pick(direct)
 

@@ -60,7 +60,10 @@ def test_first_round_is_stored_by_cell(spark, study, tmp_path):
     specs = {"Dx": settings.PREDICTORS["Dx"]}
     tests = {"ZZ": settings.responses()["ZZ"]}
     options = {"with_cards": False, "forest_trees": 3, "neighbors": 40, "share": 0.5}
-    got = selection.run_round(spark, study, str(tmp_path / "round"), specs, tests, **options)
+    stored = selection.run_round(spark, study, str(tmp_path / "round"), specs, tests, **options)
+    assert {name: stored[name].count() > 0 for name in selection.ROUND_SCHEMAS} == dict.fromkeys(selection.ROUND_SCHEMAS, True)
+    assert stored["guideline"].count() == 1 and stored["metrics"].groupBy("model").count().count() == 9
+    got = stored["predictions"]
     per_model = got.groupBy("predictors", "response", "model").count().collect()
     assert len(per_model) == 9 and len({r["count"] for r in per_model}) == 1
     assert got.select("record_id", "model").distinct().count() == got.count()
