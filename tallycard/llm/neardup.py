@@ -18,6 +18,9 @@ BANDS, ROWS = 40, 5
 LEAST_AGREEMENT = 0.62
 #: Members of a bucket that are compared in one task; larger buckets are cut in blocks that meet pairwise.
 BLOCK = 2000
+#: Partners that a class proposes in a bucket in the first round; each further round, after the groups found so far have
+#: been joined, allows four times as many where there are more.
+FIRST_PARTNERS = 3
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -253,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_rows = _open_buckets(members, labels)
         if not open_rows.take(1):
             break
-    most = 64
+    most = FIRST_PARTNERS
     while open_rows.take(1):
         with_sig = open_rows.join(sets.select("cls", "sig"), "cls")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -272,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # all likely pairs of the other buckets are tested by now
         more = found.filter("kind = 1").select(F.col("a").alias("bucket")).distinct()
         open_rows = _open_buckets(members.join(more, "bucket", "left_semi"), labels)
-        most *= 8
+        most *= 4
 
     ids = worded.select("id", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("comp", "cls").alias("comp"))
     least = settled(ids.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "component_id"))
