@@ -23,8 +23,11 @@ MOST_DF, LEAST_TERMS = 0.005, 3
 LEAST_COSINE = 0.4
 #: Share of an item's words, in order, within a stretch of text: alone, or together with the item's last sentence.
 LEAST_SHARE, LEAST_WITH_ANSWER = 0.75, 0.55
-#: Share of an item's weighty terms that the stretch must have, so that frequent words in order are not enough.
-LEAST_WEIGHTY = 0.5
+#: The share must hold for all words, and for those in at most MOST_COMMON of the stretches, as common words stand in
+#: order by chance. An item with fewer than FEW_WORDS of the latter needs a share of LEAST_OF_FEW.
+MOST_COMMON, FEW_WORDS, LEAST_OF_FEW = 0.2, 8, 0.9
+#: So many of an item's rarest terms always carry weight.
+KEPT_TERMS = 8
 PAIRS = "id string, key long, item string, cosine double, share double, answer boolean"
 _PUNCTUATION = b".,;:!?\"'()[]{}|#*$%&<>-_"
 
@@ -76,15 +79,16 @@ class Items:
         self.vocabulary = _Vocabulary({w: k for k, w in enumerate(dict.fromkeys(w for own in self.words for w in own))})
         self.weights = np.zeros(len(self.vocabulary), np.float32)
         self.least = LEAST_TERMS
-        self.weighty: list[set[bytes]] = []
+        self.content: set[bytes] = set()
 
     def weigh(self, df: np.ndarray, stretches: int) -> None:
         kept = df <= max(MOST_DF * stretches, 5)
         own = [sorted({self.vocabulary[w] for w in words}, key=lambda t: (df[t], t)) for words in self.words]
         for found in own:
-            kept[found[:LEAST_TERMS]] = True
+            kept[found[:KEPT_TERMS]] = True
         self.weights = np.where(kept, np.log((stretches + 1) / (df + 1)) + 1, 0).astype(np.float32)
-        self.weighty = [{w for w in words if self.weights[self.vocabulary[w]] > 0} for words in self.words]
+        common = df > MOST_COMMON * stretches
+        self.content = {w for w, t in self.vocabulary.items() if not common[t]}
         self.least = max(1, min([LEAST_TERMS, *(int(kept[found].sum()) for found in own if found)]))
 
     def hits(self, documents: list[list[bytes]]):
@@ -285,14 +289,15 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
                 for x in found:
                     k, item = x["item"], items.words[x["item"]]
                     region = words[max(0, x["start"] - len(item)): x["start"] + WINDOW + len(item)]
-                    weighty = items.weighty[k]
-                    if len(weighty.intersection(region)) < LEAST_WEIGHTY * len(weighty):
-                        continue
+                    told = [w for w in item if w in items.content]
                     share = common_subsequence(item, region) / len(item)
+                    if told:
+                        share = min(share, common_subsequence(told, [w for w in region if w in items.content]) / len(told))
                     answered = share >= LEAST_WITH_ANSWER and contains(region, items.answers[k])
                     best[k] = max(best.get(k, (0.0, 0.0, False)), (share, x["cosine"], answered))
                 for k, (share, cosine, answered) in sorted(best.items()):
-                    if share >= LEAST_SHARE or (share >= LEAST_WITH_ANSWER and answered):
+                    telling = sum(w in items.content for w in items.words[k]) >= FEW_WORDS
+                    if share >= (LEAST_SHARE if telling else LEAST_OF_FEW) or (share >= LEAST_WITH_ANSWER and answered):
                         out.append((doc_id, key, items.ids[k], cosine, share, answered))
             yield pd.DataFrame(out, columns=["id", "key", "item", "cosine", "share", "answer"])
 
@@ -313,8 +318,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Passages of all texts are TF-IDF rows over the benchmark's terms; frequencies and the sketch of the randomised SVD are
     sums over all passages. Passages near an item in the latent space are candidates. A candidate counts when the item's
-    words occur in order around it, nearly all, or a good part and the item's last sentence in one piece, and half its
-    weighty terms at least. One row per
+    words occur in order around it, nearly all, or a good part and the item's last sentence in one piece. Words that are
+    common in the corpus do not count there. One row per
     pair; repeated rows give a row each. Null or empty texts and items match nothing. Of items with equal texts each is reported.
     """
     # ids travel as text through Python, as null numbers would lose digits on the way
