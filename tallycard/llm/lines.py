@@ -9,7 +9,7 @@ from tallycard.llm.common import docs_of, query, row_key, settled
 
 #: A line on so many distinct sites is boilerplate.
 LEAST_SITES = 8
-#: Texts of which flagged lines make up more than this share are copies as a whole; they are left to the near-duplicate search.
+#: What OP3_SQL states: a text of which flagged lines make up more than this share is left whole. None removes them whatever their share.
 MOST_SHARE = 0.5
 LG_K = 12
 
@@ -40,11 +40,11 @@ def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                         least_sites: int = LEAST_SITES, most_share: float = MOST_SHARE) -> DataFrame:
+                         least_sites: int = LEAST_SITES, most_share: float | None = MOST_SHARE) -> DataFrame:
     """``row`` (the whole row as a struct), ``n_lines``, ``n_flagged``, ``n_removed`` and ``kept_text`` of every row of ``docs``.
 
-    Flagged lines go, unless they have more than ``most_share`` of the characters of the text's lines: such a text is
-    left whole. Other lines, lines without a word included, stay in order. A null text stays null. Repeated rows are
+    Flagged lines go. With a ``most_share``, a text in which they have more of the characters of its lines is left whole.
+    Other lines, lines without a word included, stay in order. A null text stays null. Repeated rows are
     treated alike.
     """
     flagged = spread_lines(docs, id_col, text_col, site_col, least_sites)
@@ -54,14 +54,17 @@ def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), row_key(id_col, text_col, site_col).alias("key"), F.col(text_col).alias("text"))
     joined = rows.join(places, rows["id"].eqNullSafe(places["hit_id"]) & (rows["key"] == places["hit_key"]), "left")
     lines = F.split("text", "\n")
-    flagged_chars = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    # line breaks and lines without a word do not count
-    worded = F.aggregate(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    within = F.lit(True)
+    if most_share is not None:
+        flagged_chars = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
+        # line breaks and lines without a word do not count
+        worded = F.aggregate(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        within = flagged_chars <= most_share * worded
     out = joined.select(
         "row", "text", "hits",
         F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_flagged"),
-        F.coalesce(F.when(F.col("hits").isNotNull(), flagged_chars <= most_share * worded), F.lit(False)).alias("clean"),
+        F.coalesce(F.when(F.col("hits").isNotNull(), within), F.lit(False)).alias("clean"),
     )
     places_left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("hits", lambda x: x["place"]))
     out = out.withColumn("lines", F.when(F.col("clean"), F.split("text", "\n")))
@@ -72,8 +75,8 @@ def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", size_col: str = "n_chars") -> DataFrame:
-    """``docs`` with cleaned texts and, where the column is there, their new lengths; no row goes."""
-    out = without_spread_lines(docs, id_col, text_col, site_col)
+    """``docs`` without the flagged lines, whatever their share, and, where the column is there, with the new lengths; no row goes."""
+    out = without_spread_lines(docs, id_col, text_col, site_col, most_share=None)
     types = {f.name: f.dataType for f in docs.schema.fields}
 
     def column(c: str):
@@ -108,3 +111,26 @@ FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_spread_lines(docs_of(spark, sf_dir))
     return out.select("row.doc_id", "n_lines", "n_flagged", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
+
+
+#: The same without the exemption: every flagged line goes.
+OP3_ALL_SQL = f"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+s AS (SELECT line FROM w GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
+d AS (SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_flagged FROM w LEFT JOIN s USING (line) GROUP BY doc_id),
+k AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) AS kept
+  FROM l LEFT JOIN s USING (line) WHERE s.line IS NULL GROUP BY l.doc_id)
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_flagged, 0) AS n_flagged, coalesce(n_flagged, 0) AS n_removed, md5(coalesce(kept, '')) AS kept_md5
+FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op3_line_spread_all", OP3_ALL_SQL)
+def op3_line_spread_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the exemption that OP3_SQL states; the pipeline removes lines in this way."""
+    out = without_spread_lines(docs_of(spark, sf_dir), most_share=None)
+    return out.select("row.doc_id", "n_lines", "n_flagged", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))

@@ -44,3 +44,15 @@ def test_against_brute_force(spark, odd_rows, none, least):
 
 def test_empty(none):
     assert lines.drop_spread_lines(none).count() == 0 and lines.drop_spread_lines(none).columns == none.columns
+
+
+def test_flagged_lines_go_whatever_their_share(spark):
+    """Short pages that are mostly boilerplate lose it all the same, and keep their own lines."""
+    foot = ["Accept all cookies to go on reading this page", "All rights reserved by the owner of the site", "Sign up for news"]
+    rows = [(i, "\n".join([*foot, f"own {i}"]), f"site{i}") for i in range(9)] + [(20, "\n".join(foot), "site1"), (21, "own words only", "site2"), (22, None, "site3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = lines.without_spread_lines(docs, most_share=None).select("row.doc_id", "n_lines", "n_flagged", "n_removed", "kept_text").collect()
+    want = [(i, 4, 3, 3, f"own {i}") for i in range(9)] + [(20, 3, 3, 3, ""), (21, 1, 0, 0, "own words only"), (22, 0, 0, 0, None)]
+    assert sorted(map(tuple, got)) == want
+    kept = {r["doc_id"]: r["text"] for r in lines.drop_spread_lines(docs).collect()}
+    assert kept == {w[0]: w[4] for w in want}
