@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tallycard.llm.common import docs_of, query, row_key, settled
 from tallycard.llm.shingles import mix
 
-#: Bytes of a chunk: at least, at most, and the bits of the rolling hash that must be zero at a cut (one place in 32).
-LEAST, MOST, MASK_BITS = 32, 512, 5
-#: Neighbouring repeated chunks are removed when they have so many bytes together.
-LEAST_RUN = 64
+#: Bytes of a chunk: at least, at most, and the bits of the rolling hash that must be zero at a cut (one place in 16).
+LEAST, MOST, MASK_BITS = 16, 512, 4
+#: Neighbouring repeated chunks are removed when they have so many bytes together: all are, a short last chunk alone as well.
+LEAST_RUN = 1
 #: One random number per byte value.
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -78,7 +78,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cut again, drop long enough runs of repeated chunks."""
+    """Cut again, drop the repeated chunks."""
     for batch in batches:
         out = []
         for i, text, repeated in zip(batch["id"], batch["text"], batch["starts"]):
@@ -106,9 +106,8 @@ def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def deduplicate_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove repeated content-defined chunks; one row per row of ``docs`` with what was removed and what stays.
 
-    A chunk stays where it occurs first, by id (null first), then by a key of the content, then by place. Elsewhere it is a repeat,
-    and runs of neighbouring repeats of LEAST_RUN bytes or more are removed. A chunk that repeats within a text goes as
-    well. Repeated rows are one row for this purpose: both keep what the first keeps. A null or empty text has no chunks.
+    A chunk stays where it occurs first, by id (null first), then by a key of the content, then by place. Elsewhere it is a repeat
+    and is removed, whatever its size; neighbouring repeats are one span. A chunk that repeats within a text goes as well. Repeated rows are one row for this purpose: both keep what the first keeps. A null or empty text has no chunks.
     A kept text that is cut inside a character loses the broken character; the digest is of the bytes.
     """
     # ids travel as text through Python, as null numbers would lose digits on the way

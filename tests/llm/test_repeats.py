@@ -99,3 +99,22 @@ def test_chunks_fall_back_in_step():
     for b in data[:300]:
         want = ((want << 1) + int(chunks.GEAR[b])) & ((1 << 64) - 1)
     assert int(h[299]) == want
+
+
+def test_planted_passages_and_short_copies_go(spark):
+    """Passages of 51 to 60 words in two texts lose most of their bytes each, and exact copies of short texts go whole."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for k in range(150):
+        passage = say(rng.randrange(51, 61))
+        planted[2 * k + 1] = len(passage)
+        rows += [(2 * k, f"{say(80)} {passage} {say(80)}"), (2 * k + 1, f"{say(80)} {passage} {say(80)}")]
+    short = {1000 + k: t for k, t in enumerate(["x", "a short line", say(5), "y" * 15, "z" * 63])}
+    rows += [(i + d, t) for i, t in short.items() for d in (0, 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r["doc_id"]: r["n_removed"] for r in chunks.deduplicate_chunks(docs).select("doc_id", "n_removed").collect()}
+    assert all(gone[i] > 0 for i in planted)
+    assert sum(gone[i] for i in planted) > 0.6 * sum(planted.values())
+    assert all(gone[i + 500] == len(t) for i, t in short.items())
