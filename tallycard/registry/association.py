@@ -64,6 +64,12 @@ def latent_corr(spark, sf):
     return assoc.latent_corr(tables(spark, sf)).select("i", "j", r6("tau").alias("tau"))
 
 
+@query("latent_rho")
+def latent_rho(spark, sf):
+    """The latent correlation of every pair."""
+    return assoc.latent_corr(tables(spark, sf)).select("i", "j", "rho")
+
+
 _cells = ", ".join(
     f"coalesce(max(printf('%.3f', round(v, 3) + 0.0)) FILTER (j = '{c}'), '') AS {c}" for c in ITEMS)
 

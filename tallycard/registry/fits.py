@@ -69,6 +69,13 @@ def lr_fit(spark, sf):
     return fitted_totals(train, fit.p_event()).withColumn("total", F.round("total", 2) + 0.0)
 
 
+@query("lr_pred")
+def lr_pred(spark, sf):
+    train, test = pattern_sets(spark, sf)
+    fit = linear.fit_logistic(weighted_rows(train, FLAGS), FLAGS)
+    return linear.classed(test, KEEP, fit.p_event())
+
+
 def ridge_fits(spark, sf):
     s = settled(study(spark, sf).select("record_id", "is_event", *FLAGS))
     pats = settled(patterns(resample.folds(s, ["is_event"], "record_id"), FLAGS, keys=["fold"]))
@@ -249,6 +256,27 @@ def svm_poly3(spark, sf):
     return calibrated_total(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 3))
 
 
+def svm_predictions(spark, sf, fitted):
+    """Every test pattern with its counts, calibrated share and class."""
+    rows, test = _fit_rows(spark, sf)
+    return fitted(rows).predict(test, KEEP)
+
+
+@query("svm_linear_pred")
+def svm_linear_pred(spark, sf):
+    return svm_predictions(spark, sf, lambda rows: svm.fit_svm_linear(rows, FLAGS))
+
+
+@query("svm_poly2_pred")
+def svm_poly2_pred(spark, sf):
+    return svm_predictions(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 2))
+
+
+@query("svm_poly3_pred")
+def svm_poly3_pred(spark, sf):
+    return svm_predictions(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 3))
+
+
 _dist = " + ".join(f"(a.{f} <> b.{f})::INT" for f in FLAGS)
 
 

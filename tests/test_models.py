@@ -8,10 +8,15 @@ from planted import EFFECTS, FEATURES, INTERCEPT
 from pyspark.sql import functions as F
 
 from tallycard.models import batch_fit, card_search, conditional, guideline, knn, lda, linear, svm, trees
+from tallycard.models.linear import balanced_weights
 from tallycard.operators import assoc
 from tallycard.operators.encode import patterns, weighted_rows
 from tallycard.operators.evaluate import roc_auc
+from tallycard.registry import association  # noqa: F401
+from tallycard.registry import base as base_registry
+from tallycard.registry import fits as fits_registry
 from tallycard.session import settled
+from tallycard.sources.fixtures import FLAGS
 
 
 @pytest.fixture(scope="module")
@@ -157,6 +162,53 @@ def test_other_families_find_the_signal(df, pats):
         assert area(p) > 0.7
 
 
+@pytest.mark.parametrize("degree", [1, 2])
+def test_svm_margin_has_the_least_hinge_loss(pats, degree):
+    """The fitted margin against subgradient steps from it: no better weights near it, and far better than a constant margin."""
+    rows = weighted_rows(pats, FEATURES)
+    fit = svm.fit_svm_linear(rows, FEATURES) if degree == 1 else svm.fit_svm_poly(rows, FEATURES, degree)
+    got = fit.with_margin(balanced_weights(rows)).select(*FEATURES, "label", "weight", "margin").toPandas()
+    base = got[FEATURES].to_numpy(float)
+    x = np.column_stack([base, *[base[:, a] * base[:, b] for a in range(len(FEATURES)) for b in range(a, len(FEATURES))]]) if degree == 2 else base
+    y, w = np.where(got.label > 0.5, 1.0, -1.0), got.weight.to_numpy(float) / got.weight.sum()
+    # LinearSVC penalises weights of features divided by their spread
+    n = got.weight.sum()
+    mean = w @ x
+    spread = np.sqrt((w @ (x - mean) ** 2) * n / (n - 1))
+    z = x / spread
+
+    def loss(b):
+        return w @ np.maximum(0, 1 - y * (z @ b[1:] + b[0])) + 0.1 / 2 * b[1:] @ b[1:]
+
+    best = np.zeros(z.shape[1] + 1)
+    least, b = loss(best), best.copy()
+    for k in range(40_000):
+        on = (y * (z @ b[1:] + b[0]) < 1) * w * y
+        b = b - 2 / (k + 20) * np.concatenate([[-on.sum()], -(on @ z) + 0.1 * b[1:]])
+        if loss(b) < least:
+            least, best = loss(b), b.copy()
+    design = np.column_stack([np.ones(len(z)), z])
+    margin = got.margin.to_numpy(float)
+    own = np.linalg.lstsq(design, margin, rcond=None)[0]
+    assert np.allclose(design @ own, margin, atol=1e-6)  # the margin is one of the machine's form
+    assert loss(own) < least + 0.005
+    assert least < min(loss(np.eye(len(best))[0] * c) for c in np.linspace(-2, 2, 41)) - 0.05
+
+
+def test_whole_results_of_the_fits(spark, small):
+    """Shares of every test pattern and the correlation of every pair, not only sums over the training rows."""
+    queries = base_registry.QUERIES
+    for name in ("lr_pred", "svm_linear_pred", "svm_poly2_pred", "svm_poly3_pred"):
+        got = queries[name](spark, small).toPandas()
+        test = fits_registry.pattern_sets(spark, small)[1].toPandas()
+        keep = [*FLAGS, "pos", "n"]
+        assert sorted(map(tuple, got[keep].to_numpy().tolist())) == sorted(map(tuple, test[keep].to_numpy().tolist()))
+        assert got.p_event.between(0, 1).all() and ((got.p_event >= 0.5) == (got.pred_class == "Abnormal")).all()
+    rho = queries["latent_rho"](spark, small).toPandas()
+    pairs = {tuple(r) for r in queries["latent_corr"](spark, small).select("i", "j").collect()}
+    assert {tuple(r) for r in rho[["i", "j"]].to_numpy()} == pairs and rho.rho.between(-1, 1).all()
+
+
 def test_guideline_shares(df):
     shares = {r.score: r.risk for r in guideline.rule_shares(df, F.col("a") == 1).collect()}
     assert shares[1] > shares[0]
