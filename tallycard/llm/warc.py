@@ -220,16 +220,28 @@ def list_archives(spark: SparkSession, folder: str, pattern: str = "*.warc.gz")
     return found.select("path", F.col("length").alias("bytes"))
 
 
+def check_complete(records: DataFrame, manifest: DataFrame) -> None:
+    """Fail unless ``records`` has as many rows of every path as the manifest states; names up to five archives that differ."""
+    read = records.groupBy("path").agg(F.count("*").alias("n_read"))
+    both = manifest.join(read, "path", "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
+    bad = both.filter(F.col("n_read") != F.col("records")).select("path", "records", "n_read").limit(5).collect()
+    if bad:
+        raise ValueError("archives are damaged or cut short: " + "; ".join(f"{r['path']} has {r['n_read']} of {r['records']} records" for r in bad))
+
+
 @query("op9_warc")
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write ``pages`` as archives, read them back, and report each page's record."""
+    """Write ``pages`` as archives, read them back, and report each page's record; fails when any record is missing."""
     manifest = write_archives(docs_of(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     records = read_archives(manifest)
     response = F.col("payload").isNotNull()
-    return records.select(
+    out = settled(records.select(
+        "path",
         F.col("record_id").cast("long").alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
         F.when(response, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
-    )
+    ))
+    check_complete(out, manifest)
+    return out.drop("path")

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from tallycard.llm import warc
 from tallycard.session import scratch_path
 
@@ -62,3 +64,28 @@ def test_write_and_read(spark):
 def test_empty(spark):
     manifest = warc.write_archives(spark.createDataFrame([], PAGES), scratch_path(spark, "warc"))
     assert manifest.count() == 0 and warc.read_archives(manifest).count() == 0
+
+
+def test_damaged_archives_fail(spark, small, monkeypatch):
+    """A cut archive, or one with a broken member, must not give fewer pages in silence."""
+    whole = warc.op9_warc(spark, small)
+    assert whole.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert whole.count() == spark.read.parquet(f"{small}/pages.parquet").count()
+    write = warc.write_archives
+
+    def damaged(change):
+        def fn(*args, **named):
+            manifest = write(*args, **named)
+            path = manifest.first()["path"].removeprefix("file:")
+            with open(path, "rb") as f:
+                data = f.read()
+            with open(path, "wb") as f:
+                f.write(change(data))
+            return manifest
+
+        return fn
+
+    for change in (lambda d: d[:-20], lambda d: d[:30] + bytes(40) + d[70:]):
+        monkeypatch.setattr(warc, "write_archives", damaged(change))
+        with pytest.raises(ValueError, match="damaged or cut short"):
+            warc.op9_warc(spark, small)
