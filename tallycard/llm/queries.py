@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from tallycard.llm import bpe, chunks, decontaminate, lines, neardup, quality, repeats, secret_scan, toxicity, warc  # noqa: F401
+from tallycard.llm import (  # noqa: F401
+    bpe, chunks, compression, cross_tokens, decontaminate, lines, neardup, quality, repeats, resample, secret_scan, toxicity, warc,
+)
 from tallycard.llm.common import ORACLES, QUERIES  # noqa: F401
