@@ -1,15 +1,17 @@
 """Nearest neighbours among yes/no features by Hamming distance.
 
-Records are counted per pattern first. The patterns asked for go through the
-training patterns in blocks: every task adds up, for each of them and each
-distance, how many training records lie that far away, and only these sums leave it.
+Records are counted per pattern first. Patterns asked for and training patterns
+are dealt into blocks of equal numbers of ones, and Spark joins the blocks as a
+grid: every cell adds up, for each of its asked patterns and each distance, how
+many training records lie that far away, and only these sums leave it. Two
+patterns are at least as far apart as their numbers of ones, so where the k
+nearest are wanted, near cells come first and patterns that have enough drop out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tallycard.session import settled
 
-#: Patterns asked for that are sent to the tasks at once.
-BLOCK = 4096
+#: Patterns asked for, and training patterns, in a block; cells of the grid that are counted in one go, near or far.
+ASKED_BLOCK, TRAIN_BLOCK, FEW_CELLS = 4096, 16_384, 256
 
 
 def bit_code(features: list[str]) -> Column:
@@ -27,59 +29,96 @@ def bit_code(features: list[str]) -> Column:
     return F.concat(*[F.col(f).cast("int").cast("string") for f in features])
 
 
-def _bits(codes: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(codes).encode(), np.uint8).reshape(len(codes), -1) - ord("0")
+def _bits(codes: str, width: int) -> np.ndarray:
+    return (np.frombuffer(codes.encode(), np.uint8).reshape(-1, width) - ord("0")).astype(np.float32)
 
 
-def _distance_sums(asked, width: int, keys: list[str]):
-    """Per key, asked pattern and distance: training rows and events."""
+def _cell_sums(width: int, keys: list[str]):
+    """Per key, asked pattern and distance: training rows and events of one cell of the grid."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = asked.value
-        bits = _bits(codes).astype(np.float32)
-        sums: dict[tuple, np.ndarray] = {}
-        flat = np.arange(len(codes))[:, None] * (width + 1)
         for pdf in batches:
-            for key, own in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
-                total = sums.setdefault(key, np.zeros((2, len(codes) * (width + 1))))
-                for at in range(0, len(own), 1024):
-                    part = own.iloc[at: at + 1024]
-                    x = _bits(list(part["code"])).astype(np.float32)
-                    # differing places of 0/1 vectors
-                    apart = bits.sum(1)[:, None] + x.sum(1)[None, :] - 2 * bits @ x.T
-                    slots = (flat + np.rint(apart).astype(np.int64)).ravel()
-                    for k, name in enumerate(("n", "pos")):
-                        weight = np.broadcast_to(part[name].to_numpy(float), apart.shape).ravel()
-                        total[k] += np.bincount(slots, weight, minlength=total.shape[1])
-        for key, total in sums.items():
-            at = np.flatnonzero(total[0])
-            out = pd.DataFrame({"code": np.array(codes, dtype=object)[at // (width + 1)], "distance": at % (width + 1),
-                                "n": total[0, at].astype(np.int64), "pos": total[1, at].astype(np.int64)})
-            for name, value in zip(keys, key):
-                out[name] = value
-            yield out
+            for cell in pdf.to_dict("records"):
+                asked, train = _bits(cell["asked"], width), _bits(cell["train"], width)
+                which = pd.DataFrame({k: np.asarray(cell[f"k_{k}"], dtype=object) for k in keys}, index=range(len(train)))
+                owners = which.groupby(keys, sort=False, dropna=False).indices if keys else {(): np.arange(len(train))}
+                flat = np.arange(len(asked))[:, None] * (width + 1)
+                for key, own in owners.items():
+                    total = np.zeros((2, len(asked) * (width + 1)))
+                    for at in range(0, len(own), 1024):
+                        rows = own[at: at + 1024]
+                        x = train[rows]
+                        # differing places of 0/1 vectors
+                        apart = asked.sum(1)[:, None] + x.sum(1)[None, :] - 2 * asked @ x.T
+                        slots = (flat + np.rint(apart).astype(np.int64)).ravel()
+                        for k, name in enumerate(("n", "pos")):
+                            weight = np.broadcast_to(np.asarray(cell[name], float)[rows], apart.shape).ravel()
+                            total[k] += np.bincount(slots, weight, minlength=total.shape[1])
+                    at = np.flatnonzero(total[0])
+                    codes = np.array([cell["asked"][k * width:(k + 1) * width] for k in range(len(asked))], dtype=object)
+                    out = pd.DataFrame({"code": codes[at // (width + 1)], "distance": at % (width + 1),
+                                        "n": total[0, at].astype(np.int64), "pos": total[1, at].astype(np.int64)})
+                    for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
+                        out[name] = value
+                    yield out
 
     return count
 
 
-def shells(pats: DataFrame, features: list[str], keys: list[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+def _blocks(coded: DataFrame, size: int, number: str, columns: dict[str, Column]) -> DataFrame:
+    """One row per block of patterns with equally many ones: its number, the ones, and a list per column."""
+    ones = coded.withColumn("ones", F.length("code") - F.length(F.replace("code", F.lit("1"), F.lit(""))))
+    # at most a row per feature and one
+    counts = {r["ones"]: r["count"] for r in ones.groupBy("ones").count().collect()}
+    of = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, -(-n // size))]) if counts else F.lit(None).cast("map<int,int>")
+    dealt = ones.withColumn("part", F.pmod(F.xxhash64("code"), of[F.col("ones")].cast("long")))
+    rows = F.collect_list(F.struct(*[c.alias(k) for k, c in columns.items()]))
+    packed = dealt.groupBy("ones", "part").agg(rows.alias("rows"))
+    return packed.select(F.concat_ws("-", "ones", "part").alias(number), "ones", *[F.col("rows").getField(k).alias(k) for k in columns])
+
+
+def shells(pats: DataFrame, features: list[str], keys: list[str] = (), wanted: DataFrame | None = None,
+           enough: int | None = None, asked_block: int = ASKED_BLOCK, train_block: int = TRAIN_BLOCK, few_cells: int = FEW_CELLS) -> DataFrame:
     """For every wanted pattern and distance: training rows (n) and events (pos) that far away.
 
-    ``wanted`` are the rows whose patterns are asked for, by default the training
-    patterns themselves. Rows and events per wanted pattern and distance, never
-    pairs of patterns, are what is shuffled.
+    ``wanted`` are the rows whose patterns are asked for, by default the training patterns themselves. With ``enough``,
+    a pattern's shells end where that many training rows are reached, whichever one value of ``keys`` is left out; all
+    shells that are given are whole. No pattern passes the driver, and rows and events per pattern and distance, never
+    pairs of patterns, are what is shuffled besides the blocks.
     """
-    spark, keys = pats.sparkSession, list(keys)
+    keys, width = list(keys), len(features)
     train = settled(pats.select(*keys, bit_code(features).alias("code"), F.col("n").cast("long"), F.col("pos").cast("long")))
-    asked = (pats if wanted is None else wanted).select(bit_code(features).alias("code")).distinct()
+    asked = settled((pats if wanted is None else wanted).select(bit_code(features).alias("code")).distinct())
+    blocks = settled(_blocks(train, train_block, "t", {"code": F.col("code"), "n": F.col("n"), "pos": F.col("pos"), **{f"k_{k}": F.col(k) for k in keys}})
+                     .withColumn("train", F.array_join("code", "")).drop("code"))
     types = {f.name: f.dataType.simpleString() for f in train.schema.fields}
     schema = ", ".join(["code string, distance int, n long, pos long", *[f"{k} {types[k]}" for k in keys]])
-    parts = [
-        train.mapInPandas(_distance_sums(spark.sparkContext.broadcast([r["code"] for r in block]), len(features), keys), schema)
-        for block in batched(asked.orderBy("code").toLocalIterator(), BLOCK)
-    ] or [spark.createDataFrame([], schema)]
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "code", "distance").agg(
-        F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    found, limits, low, high = [], [], 0, width if enough is None else 1
+    while True:
+        mine = settled(_blocks(asked, asked_block, "a", {"code": F.col("code")}).withColumn("asked", F.array_join("code", "")).drop("code"))
+        if not found and mine.count() * blocks.count() <= few_cells:
+            high = width
+        # which blocks meet is a matter of their numbers of ones
+        gaps = F.lit(sorted({s * g for g in range(low, high + 1) for s in (1, -1)}))
+        grid = mine.select("a", F.explode(F.transform(gaps, lambda g: F.col("ones") + g)).alias("ones")).join(blocks.select("t", "ones"), "ones").select("a", "t")
+        cells = grid.join(mine.select("a", "asked"), "a").join(blocks.drop("ones"), "t").repartition("a", "t").drop("a", "t")
+        found.append(settled(cells.mapInPandas(_cell_sums(width, keys), schema).groupBy(*keys, "code", "distance").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))))
+        if high >= width:
+            limits.append(asked.withColumn("limit", F.lit(width)))
+            break
+        # all training patterns up to this far away have been met
+        seen = reduce(DataFrame.unionByName, found).filter(F.col("distance") <= high).groupBy("code", *keys).agg(F.sum("n").alias("n"))
+        least = F.sum("n") - F.max("n") if keys else F.sum("n")
+        reached = settled(asked.join(seen.groupBy("code").agg(least.alias("n")).filter(F.col("n") >= enough), "code").select("code"))
+        limits.append(reached.withColumn("limit", F.lit(high)))
+        asked = settled(asked.join(reached, "code", "left_anti"))
+        if asked.isEmpty():
+            break
+        low, high = high + 1, min(width, 2 * high + 1)
+    if len(found) == 1 and high >= width:
+        return found[0].select(*keys, "code", "distance", "n", "pos")
+    whole = reduce(DataFrame.unionByName, found).join(reduce(DataFrame.unionByName, limits), "code").filter("distance <= limit")
+    return whole.groupBy(*keys, "code", "distance").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
 def without_fold(by_fold: DataFrame, v: int) -> DataFrame:
@@ -120,5 +159,5 @@ def knn_predict(train_pats: DataFrame, test: DataFrame, features: list[str], k:
     ``test`` may be patterns or records; the shares are one row per pattern and
     are broadcast if that is few, so a frequent pattern is no hot join key.
     """
-    share = neighbour_share(shells(train_pats, features, wanted=test), F.lit(k), kernel)
+    share = neighbour_share(shells(train_pats, features, wanted=test, enough=k + 1), F.lit(k), kernel)
     return test.withColumn("code", bit_code(features)).join(settled(share), "code", "left").drop("code")

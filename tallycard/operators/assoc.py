@@ -51,7 +51,7 @@ def pair_cells(tables: DataFrame, most: int = 10_000) -> DataFrame:
     """
     sizes = tables.groupBy("i", "j").agg(F.count("*").alias("cells")).agg(F.max("cells")).first()[0]
     if sizes and sizes > most:
-        raise ValueError(f"a pair of columns has {sizes} cells, more than {most}")
+        raise ValueError(f"a pair of columns has {sizes} cells, more than {most}; rank_assoc.tau_pairs takes numbers")
     cell = F.struct(F.col("vi"), F.col("vj"), F.col("n").cast("double").alias("n"))
     return tables.groupBy("i", "j").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
@@ -145,6 +145,34 @@ def latent_from_cells(cells: list[tuple[int, int, float]]) -> tuple[float, float
     return (lo + hi) / 2, _tau_of((lo + hi) / 2, *cuts)
 
 
+def _tau_of_number(rho: float, cuts: np.ndarray, points: int = 2000) -> float:
+    """Population tau-a of a normal and another one cut at ``cuts``, summed over quantiles of the first."""
+    x = np.array([NormalDist().inv_cdf((k + 0.5) / points) for k in range(points)])
+    inner = _phi((cuts[None, :] - rho * x[:, None]) / max(sqrt(1 - rho * rho), 1e-9))
+    p = np.diff(np.concatenate([np.zeros((points, 1)), inner, np.ones((points, 1))], axis=1), axis=1)
+    before = np.cumsum(p, axis=0) - p  # levels at smaller values of the first
+    below = np.cumsum(before, axis=1) - before
+    above = before.sum(axis=1, keepdims=True) - below - before
+    return float(2 * np.sum(p * (below - above))) / points ** 2
+
+
+def latent_rho_of_tau(tau: float, shares_i, shares_j) -> tuple[float, float]:
+    """Correlation of two normals with this tau-a, and the tau-a it implies; shares of levels, or None for a number."""
+    cut = lambda shares: np.array([NormalDist().inv_cdf(min(max(s, 1e-9), 1 - 1e-9)) for s in np.cumsum(shares)[:-1]])
+    sides = [None if s is None else cut(s) for s in (shares_i, shares_j)]
+    if tau is None or np.isnan(tau) or any(s is not None and not len(s) for s in sides):
+        return float("nan"), float("nan")
+    if sides[0] is None and sides[1] is None:
+        return float(np.sin(np.pi * tau / 2)), float(tau)
+    of = (lambda r: _tau_of(r, *sides)) if sides[0] is not None and sides[1] is not None else (
+        lambda r: _tau_of_number(r, sides[0] if sides[1] is None else sides[1]))
+    lo, hi = -1.0, 1.0
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if of(mid) < tau else (lo, mid)
+    return (lo + hi) / 2, of((lo + hi) / 2)
+
+
 def latent_corr(tables: DataFrame) -> DataFrame:
     """Latent correlation ``rho`` of every pair and the tau-a it implies; the solver sees one small table at a time."""
 

@@ -71,7 +71,7 @@ def ridge_cv(pats: DataFrame, features: list[str], penalties: list[float], v: in
 def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels: list[str], v: int) -> DataFrame:
     """Metrics of every number of neighbours and kernel on every fold, one pass of shells."""
     pats = settled(pats)
-    near = settled(without_fold(shells(pats, features, keys=["fold"]), v))
+    near = settled(without_fold(shells(pats, features, keys=["fold"], enough=max(neighbors) + 1), v))
     coded = pats.withColumn("code", bit_code(features))
     parts = []
     for kernel in kernels:

@@ -295,7 +295,7 @@ SELECT {', '.join(f + '::INT AS ' + f for f in FLAGS)}, tn::BIGINT AS n, tpos::B
 FROM w GROUP BY {', '.join(FLAGS)}, tn, tpos""")
 def knn_hamming(spark, sf):
     train, test = pattern_sets(spark, sf)
-    near = settled(knn.shells(train, FLAGS, wanted=test))
+    near = settled(knn.shells(train, FLAGS, wanted=test, enough=361))
     out = test.withColumn("code", knn.bit_code(FLAGS))
     for kernel in settings.KERNELS:
         share = knn.neighbour_share(near, F.lit(360), kernel).withColumnRenamed("p_event", kernel)
