@@ -137,3 +137,26 @@ def losses(pats: DataFrame, fits: dict[str, LinearFit]) -> dict[str, float]:
 
     found = summed(pats, part)
     return {name: found.get((k, 0), float("nan")) for k, name in enumerate(names)}
+
+
+def matrix_losses(pats: DataFrame, features: list[str], weights: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+    """Total log loss of every row of ``weights``: an intercept and a coefficient per feature.
+
+    For thousands of candidates: a matrix product per slice of patterns, one number per task and candidate shuffled.
+    """
+    found = []
+    for start in range(0, len(weights), at_once):
+        shared = pats.sparkSession.sparkContext.broadcast(weights[start:start + at_once])
+
+        def part(pdf, shared=shared):
+            total = np.zeros(len(shared.value))
+            x, pos, n = _matrix(pdf, tuple(features)), pdf["pos"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=float)
+            wide = max(1, 2_000_000 // max(len(shared.value), 1))
+            for k in range(0, len(x), wide):
+                eta = x[k:k + wide] @ shared.value.T
+                total += n[k:k + wide] @ np.logaddexp(0, eta) - pos[k:k + wide] @ eta
+            return {0: total}
+
+        sums = summed(pats, part)
+        found += [sums.get((0, k), 0.0) for k in range(len(shared.value))]
+    return np.array(found)

@@ -85,9 +85,9 @@ def assoc_wide(spark, sf):
     return assoc.matrix_report(assoc.full_matrix(rounded, "phi"), ITEMS, labels)
 
 
-MIXED = ["hx_bulk", "smoking", "n_lines", "max_quantity", "age_calculated", "birth_day"]
+MIXED = ["hx_high_tax", "smoking", "n_lines", "max_quantity", "age_calculated", "birth_day"]
 MIXED_SQL = COHORT_SQL + """,
-mixed AS (SELECT hx_bulk::INT::DOUBLE AS hx_bulk, CASE smoking_history_cigarette WHEN 'None' THEN 1 WHEN 'Passive Smoke as a Child' THEN 2
+mixed AS (SELECT hx_high_tax::INT::DOUBLE AS hx_high_tax, CASE smoking_history_cigarette WHEN 'None' THEN 1 WHEN 'Passive Smoke as a Child' THEN 2
   WHEN 'Passive Smoke as am Adult' THEN 3 WHEN 'Past' THEN 4 WHEN 'Current' THEN 5 END::DOUBLE AS smoking, n_lines::DOUBLE AS n_lines,
   max_quantity::DOUBLE AS max_quantity, age_calculated::DOUBLE AS age_calculated, (date_of_birth - DATE '1970-01-01')::DOUBLE AS birth_day FROM cohort),
 full_rows AS (SELECT * FROM mixed WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in MIXED) + """),
@@ -106,7 +106,7 @@ tau AS (SELECT i, j, n, s / (n * (n - 1) / 2) AS tau_a, s / sqrt((n * (n - 1) /
 
 def mixed(spark, sf):
     return cohort(spark, sf).select(
-        F.col("hx_bulk").cast("int").alias("hx_bulk"), level_number(F.col("smoking_history_cigarette"), settings.SMOKING_LEVELS).alias("smoking"),
+        F.col("hx_high_tax").cast("int").alias("hx_high_tax"), level_number(F.col("smoking_history_cigarette"), settings.SMOKING_LEVELS).alias("smoking"),
         "n_lines", "max_quantity", "age_calculated", F.unix_date("date_of_birth").alias("birth_day"))
 
 

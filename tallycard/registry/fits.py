@@ -330,16 +330,25 @@ def card_losses(spark, sf):
         "loss", F.round("loss", 4))
 
 
-@query("card_search", f"WITH {TT_SQL}, train AS (SELECT * FROM tt WHERE split = 'train') " + " UNION ALL ".join(
-    f"""SELECT '{f}' AS item, round(-sum(CASE WHEN pos > 0 THEN pos * ln(pos / n) ELSE 0 END + CASE WHEN n > pos THEN (n - pos) * ln((n - pos) / n) ELSE 0 END), 3) AS loss
-    FROM (SELECT count(*)::DOUBLE AS n, sum(is_event::INT)::DOUBLE AS pos FROM train GROUP BY {f})""" for f in FLAGS))
+SMALL_MULTIPLIERS = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
+SMALL_POOL = 6
+
+
+@query("card_search", f"""
+WITH {TT_SQL}, train AS (SELECT {', '.join(f + '::INT AS ' + f for f in FLAGS)}, count(*)::DOUBLE AS n, sum(is_event::INT)::DOUBLE AS pos FROM tt WHERE split = 'train' GROUP BY ALL),
+v AS (SELECT unnest(range(-2, 3)) AS v), cards AS (SELECT {', '.join(f'p{k}.v AS c{k}' for k in range(len(FLAGS)))} FROM {', '.join(f'v p{k}' for k in range(len(FLAGS)))}),
+sums AS (SELECT {', '.join(f'c{k}' for k in range(len(FLAGS)))}, {' + '.join(f'c{k} * {f}' for k, f in enumerate(FLAGS))} AS score, sum(n) AS n, sum(pos) AS pos FROM cards, train GROUP BY ALL),
+shifts AS (SELECT unnest(range(-30, 11)) AS b0), stretch AS (SELECT unnest({SMALL_MULTIPLIERS}::DOUBLE[]) AS m),
+loss AS (SELECT {', '.join(f'c{k}' for k in range(len(FLAGS)))}, b0, m, sum(n * (greatest((b0 + score) / m, 0) + ln(1 + exp(-abs((b0 + score) / m)))) - pos * (b0 + score) / m) AS loss
+  FROM sums, shifts, stretch GROUP BY ALL),
+per AS (SELECT {', '.join(f'c{k}' for k in range(len(FLAGS)))}, min(loss) AS loss FROM loss GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (ORDER BY loss) AS number, min(loss) OVER () AS least FROM per)
+SELECT number, round(loss, 3) AS loss FROM best WHERE number <= {SMALL_POOL} AND loss <= 1.05::DOUBLE * least""")
 def search(spark, sf):
-    """First stage of the search: the loss of every one-item fit, which has a closed form."""
+    """The whole search on five items and up to two points each: its pool is that of all cards there are."""
     train, _ = pattern_sets(spark, sf)
-    train = settled(train)
-    fits = card_search.grown_sets(train, FLAGS, [1], beam=len(FLAGS))[1]
-    loss = batch_fit.losses(train, {next(iter(f.coefs)): f for f in fits})
-    return spark.createDataFrame(list(loss.items()), "item string, loss double").withColumn("loss", F.round("loss", 3))
+    found = card_search.card_search(train, FLAGS, terms=len(FLAGS), bound=2, pool=SMALL_POOL, beam=12, multipliers=SMALL_MULTIPLIERS)
+    return spark.createDataFrame([(c.number, c.loss) for c in found], "number long, loss double").withColumn("loss", F.round("loss", 3))
 
 
 @query("card_search_pool")

@@ -282,3 +282,35 @@ def test_association_against_rows(spark):
     eigen = assoc.matrix_eigen(assoc.full_matrix(assoc.latent_corr(tables), "rho")).toPandas()
     values = eigen.groupby("component").eigenvalue.first()
     assert values.sum() == pytest.approx(3) and values.is_monotonic_decreasing
+
+
+def test_sets_exchange_features(spark):
+    """Two features that only help together are found by exchange, where growing keeps one set."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    a, b = rng.integers(0, 2, n), rng.integers(0, 2, n)
+    e = rng.random(n) < 1 / (1 + np.exp(-(-1.0 + 1.6 * a - 1.6 * b)))
+    c = np.where(rng.random(n) < 0.12, 1 - (a & (1 - b)), a & (1 - b))  # a noisy copy of what a and b say together
+    p = pd.DataFrame({"a": a, "b": b, "c": c, "d": rng.integers(0, 2, n), "is_event": e})
+    pats = settled(patterns(spark.createDataFrame(p), list("abcd")))
+    plain = {s: batch_fit.fit_many(pats, [batch_fit.FitSpec("s", s)])["s"] for s in itertools.combinations("abcd", 2)}
+    loss = batch_fit.losses(pats, {"|".join(k): f for k, f in plain.items()})
+    found = card_search.grown_sets(pats, list("abcd"), [2], beam=1)[2][0]
+    assert "|".join(sorted(found.coefs)) == min(loss, key=loss.get)
+
+
+def test_rounding_by_coordinate_beats_plain_rounding(pats):
+    fit = batch_fit.fit_many(pats, [batch_fit.FitSpec("s", tuple(FEATURES))])["s"]
+    w = np.array([fit.intercept, *fit.coefs.values()])
+    for m in (0.7, 1.3, 2.1):
+        plain = np.rint(w * m)
+        (b0, points, _), = card_search.round_by_coordinate(pats, FEATURES, [(w * m, m, 9)])
+        losses = batch_fit.matrix_losses(pats, FEATURES, np.array([plain / m, np.array([b0, *points]) / m]))
+        assert losses[1] <= losses[0] + 1e-9
+
+
+def test_search_of_no_records_and_of_a_constant_feature(spark):
+    none = spark.createDataFrame([], "a int, b int, pos long, n long")
+    assert all(len(c.points) <= 1 for c in card_search.card_search(none, ["a", "b"], 1, 3))
+    flat = spark.createDataFrame([(1, 0, 3, 10), (1, 1, 6, 10)], "a int, b int, pos long, n long")
+    assert card_search.card_search(flat, ["a", "b"], 2, 3)[0].points.get("b", 0) > 0
