@@ -18,9 +18,9 @@ from tallycard.llm.common import docs_of, query, settled
 
 #: Bytes of text that go through the Arrow tables at a time, and id pairs of documents that share one table of counts.
 #: Both bound memory only, never a result. A text is never split over blocks.
-CHUNK_BYTES, BLOCK_PAIRS = 2_000_000, 1_000_000
+CHUNK_BYTES, BLOCK_PAIRS = 1_500_000, 500_000
 #: Units of text that a worker remembers; then it starts anew.
-MEMO_UNITS = 300_000
+MEMO_UNITS = 150_000
 #: Neither tokenizer has a token over such a place: a space after something else, with text behind it.
 CUT = re.compile(r"(?<=[^\s▁])(?= .)", re.S)
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -128,12 +128,15 @@ def align_units(tokens: Tokens, units: list[str], unit_doc: np.ndarray, form: st
         groups.append(np.cumsum(flag) - flag)
         ends.append(np.flatnonzero(flag) + 1)
     group_doc = a["doc"].to_numpy()[ends[0] - 1]
-    # links: tokens of one group are counted per id before ids meet
-    per = [pa.table({"group": pa.array(g), name: side[name]}).group_by(["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
+    # links: one token of each in a group is a pair as it is; elsewhere tokens are counted per id before ids meet
+    single = (np.diff(ends[0], prepend=0) == 1) & (np.diff(ends[1], prepend=0) == 1)
+    alone = pa.table({"doc": pa.array(group_doc[single], pa.int32()), "a": a["a"].take(pa.array(ends[0][single] - 1)), "b": b["b"].take(pa.array(ends[1][single] - 1)),
+                      "links": pa.array(np.ones(int(single.sum()), np.int64))})
+    per = [pa.table({"group": pa.array(g), name: side[name]}).filter(pa.array(~single[g])).group_by(["group", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", name, f"n_{name}"])
            for g, side, name in ((groups[0], a, "a"), (groups[1], b, "b"))]
     met = per[0].join(per[1], keys="group", join_type="inner", use_threads=False)
     met = pa.table({"doc": pa.array(group_doc, pa.int32()).take(met["group"]), "a": met["a"], "b": met["b"], "links": pc.multiply(met["n_a"], met["n_b"])})
-    pairs = met.group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
+    pairs = pa.concat_tables([alone, met]).group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
 
     docs, first = np.unique(group_doc, return_index=True)
     edges = np.append(first, len(group_doc))
@@ -165,6 +168,7 @@ class _Block:
         self.wrong: set[int] = set()
         self.pairs: list[pa.Table] = []
         self.rows = 0
+        self.split = False  # is a text in several chunks?
 
     def open(self, doc_id) -> int:
         self.ids.append(doc_id)
@@ -193,8 +197,8 @@ class _Block:
             lists = [pa.array([[]] * n, pa.list_(pa.int32())), pa.array([[]] * n, pa.list_(pa.int64()))]
             seen = None
         else:
-            # a text longer than a chunk has its pairs in several tables
-            table = table.group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
+            if self.split:
+                table = table.group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])
             seen = table.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "docs"])
             seen = seen.append_column("slot", pa.array(np.arange(len(seen)), pa.int32()))
             placed = table.join(seen.select(["a", "b", "slot"]), keys=["a", "b"], join_type="inner", use_threads=False).combine_chunks()
@@ -249,27 +253,38 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, number = _tokens(shared), TaskContext.get().partitionId() << 32
         block, units, owner, size, types = _Block(form), [], [], 0, None
+        def flush() -> None:
+            nonlocal units, owner, size
+            if units:
+                block.add(*align_units(tokens, units, np.array(owner, np.int32), form))
+            units, owner, size = [], [], 0
+
         for batch in batches:
             own_type = batch.schema.field("id").type
             types = [own_type if t is None else t for _, t in columns.values()]
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 doc, text = block.open(doc_id), text.as_py()
-                if text:
-                    for unit in CUT.split(" " + text):
+                cut = CUT.split(" " + text) if text else []
+                if text and len(text) > chunk_bytes:
+                    for unit in cut:
                         units.append(unit)
                         owner.append(doc)
                         size += len(unit)
                         if size >= chunk_bytes:
-                            block.add(*align_units(tokens, units, np.array(owner, np.int32), form))
-                            units, owner, size = [], [], 0
+                            block.split = True
+                            flush()
+                elif cut:
+                    units += cut
+                    owner += [doc] * len(cut)
+                    size += len(text)
+                if size >= chunk_bytes:
+                    flush()
                 if block.rows >= block_pairs or len(block.ids) >= block_pairs:
-                    if units:
-                        block.add(*align_units(tokens, units, np.array(owner, np.int32), form))
+                    flush()
                     yield from block.close(number, own_type, list(columns), types)
-                    block, units, owner, size, number = _Block(form), [], [], 0, number + 1
+                    block, number = _Block(form), number + 1
         if block.ids:
-            if units:
-                block.add(*align_units(tokens, units, np.array(owner, np.int32), form))
+            flush()
             yield from block.close(number, own_type, list(columns), types)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
