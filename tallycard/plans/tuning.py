@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +12,8 @@ from pyspark.sql import types as T
 from tallycard import settings
 from tallycard.models.batch_fit import FitSpec, fit_many
 from tallycard.models.card_search import search_cards
+from tallycard.models.forests import Family, forest_shares, grow_forests
 from tallycard.models.knn import bit_code, neighbour_share, shells, without_fold
-from tallycard.models.trees import fit_forest, predicted
 from tallycard.operators import resample
 from tallycard.operators.cards import score_records
 from tallycard.operators.encode import Encoder, patterns
@@ -83,25 +81,20 @@ def knn_cv(pats: DataFrame, features: list[str], neighbors: list[int], kernels:
     return metric_table(pred, ["neighbors", "weight_func", "fold"], discrete=True, counted=True)
 
 
-def forest_cv(rows: DataFrame, features: list[str], trees: list[int], mtry: list[int], v: int,
-              parallelism: int = 4) -> DataFrame:
-    """Metrics of forests per number of trees, predictors per split and fold.
+def forest_cv(rows: DataFrame, features: list[str], trees: list[int], mtry: list[int], v: int, least: int = 1) -> DataFrame:
+    """Metrics of forests per number of trees, predictors per split and fold, all grown together.
 
-    Forests need single records (record_id, fold, label, is_event, features).
-    ``parallelism`` fits are submitted at a time.
+    ``rows`` are single records (record_id, fold, is_event, features).
     """
     rows = settled(rows)
-
-    def one(setting: tuple[int, int, int]) -> DataFrame:
-        k, t, m = setting
-        model = fit_forest(rows.filter(F.col("fold") != k), features, t, m)
-        pred = predicted(model, rows.filter(F.col("fold") == k), features, ["fold", "is_event"])
-        return pred.withColumns({"trees": F.lit(t), "mtry": F.lit(m)})
-
-    settings_ = [(k, t, m) for k in range(1, v + 1) for t in trees for m in mtry]
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), settings_))
-    return metric_table(reduce(DataFrame.unionByName, parts), ["trees", "mtry", "fold"], discrete=True)
+    families = [Family(k * len(mtry) + i, m, k) for k in range(1, v + 1) for i, m in enumerate(mtry)]
+    grown = grow_forests(rows, features, families, max(trees), least=least)
+    shares = forest_shares(grown.leaves, trees)
+    facts = rows.sparkSession.createDataFrame([(f.number, f.mtry, f.leave_out) for f in families], "family int, mtry int, fold int")
+    held = rows.groupBy("fold", bit_code(features).alias("code")).agg(F.count("*").alias("n"), F.sum(F.col("is_event").cast("long")).alias("pos"))
+    pred = shares.join(F.broadcast(facts), "family").join(held, ["fold", "code"]).withColumn(
+        "pred_class", F.when(F.col("p_event") >= 0.5, "Abnormal").otherwise("Normal"))
+    return metric_table(pred, ["trees", "mtry", "fold"], discrete=True, counted=True)
 
 
 def card_cv(pats: DataFrame, features: list[str], terms: list[int], bounds: list[int], v: int, pool: int = 2,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallycard import settings
 from tallycard.functions.values import class_label
-from tallycard.models import batch_fit, card_search, conditional, guideline, knn, lda, linear, svm, trees
+from tallycard.models import batch_fit, card_search, conditional, forests, guideline, knn, lda, linear, svm, trees
 from tallycard.operators import cards as card_ops
 from tallycard.operators import clean, resample
 from tallycard.operators.encode import patterns, weighted_rows
@@ -224,11 +224,56 @@ def rf_exact(spark, sf):
     return shares(trees.predicted(model, patterns(train, FLAGS), FLAGS, KEEP))
 
 
-@query("rf_fit")
+def forest_sql(n_trees: int, mtry: int) -> str:
+    """The whole growing of one forest, level by level: bootstrap, sums, best split, next level."""
+    p = len(FLAGS)
+    sums = ", ".join(f"sum(n) FILTER (substr(code, {k + 1}, 1) = '1') AS n{k}, sum(pos) FILTER (substr(code, {k + 1}, 1) = '1') AS pos{k}" for k in range(p))
+    parts = [f"""rec AS (SELECT record_id, is_event, is_event::INT AS event, split, {' || '.join(f + '::INT::VARCHAR' for f in FLAGS)} AS code FROM tt),
+trees AS (SELECT unnest(range(1, {n_trees} + 1)) AS tree),
+hashed AS (SELECT *, substr(md5('1|' || tree || '|' || record_id), 1, 8) AS h FROM rec, trees WHERE split = 'train'),
+drawn AS (SELECT tree, code, event, {' + '.join(f"(h >= '{t}')::INT" for t in forests.STEPS)} AS w FROM hashed),
+a0 AS (SELECT tree, code, sum(w)::BIGINT AS n, sum(w * event)::BIGINT AS pos, '' AS path FROM (
+  SELECT tree, code, event, w FROM drawn UNION ALL SELECT tree, code, 0, 0 FROM (SELECT DISTINCT code FROM rec WHERE split = 'test'), trees) GROUP BY tree, code)"""]
+    for level in range(p + 1):
+        sides = " UNION ALL ".join(
+            f"SELECT tree, path, n, pos, {k} AS idx, coalesce(n{k}, 0) AS n1, coalesce(pos{k}, 0) AS pos1, md5('1|1|' || tree || '|' || path || '|{f}') AS draw FROM t{level}" for k, f in enumerate(FLAGS))
+        parts.append(f"""t{level} AS (SELECT tree, path, sum(n) AS n, sum(pos) AS pos, {sums} FROM a{level} GROUP BY tree, path),
+c{level} AS (SELECT *, row_number() OVER (PARTITION BY tree, path ORDER BY draw) AS r FROM ({sides})),
+b{level} AS (SELECT tree, path, idx, n1, pos1 FROM (SELECT *, row_number() OVER (PARTITION BY tree, path ORDER BY
+    pos1::DOUBLE * pos1 / n1 + (pos - pos1)::DOUBLE * (pos - pos1) / (n - n1) DESC, idx) AS k FROM c{level}
+  WHERE r <= {mtry} AND n >= 2 AND n1 > 0 AND n1 < n AND pos1 * (n - n1) <> (pos - pos1) * n1) WHERE k = 1),
+s{level} AS (SELECT tree, path, t{level}.n::BIGINT AS n, t{level}.pos::BIGINT AS pos, idx, b{level}.n1::BIGINT AS n_high, b{level}.pos1::BIGINT AS pos_high FROM t{level} LEFT JOIN b{level} USING (tree, path)),
+a{level + 1} AS (SELECT tree, code, n, pos, path || idx || CASE WHEN substr(code, idx + 1, 1) = '1' THEN '>' ELSE '<' END AS path FROM a{level} JOIN b{level} USING (tree, path)),
+e{level} AS (SELECT tree, code, s.pos::DOUBLE / nullif(s.n, 0) AS share FROM a{level} a JOIN s{level} s USING (tree, path) WHERE s.idx IS NULL)""")
+    every = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}{level}" for level in range(p + 1))
+    return ",\n".join(parts) + f",\nnodes AS ({every('s')}),\nleaves AS ({every('e')})"
+
+
+def one_forest(spark, sf, n_trees, mtry):
+    s = settled(forest_rows(spark, sf))
+    test = s.filter("split = 'test'")
+    return forests.grow_forests(s.filter("split = 'train'"), FLAGS, [forests.Family(1, mtry)], n_trees, asked=test), test
+
+
+@query("forest_splits", f"""
+WITH {TT_SQL}, {forest_sql(3, 2)}
+SELECT tree::INT AS tree, path, n, pos, list_extract({FLAGS}, idx + 1) AS feature, n_high, pos_high FROM nodes""")
+def forest_splits(spark, sf):
+    """Every node of a small forest; each split is the best of the features its node looks at."""
+    grown, _ = one_forest(spark, sf, 3, 2)
+    return grown.nodes.select("tree", "path", "n", "pos", "feature", "n_high", "pos_high")
+
+
+@query("rf_fit", f"""
+WITH {TT_SQL}, {forest_sql(120, 4)}, shares AS (SELECT code, sum(share) / count(share) AS p FROM leaves GROUP BY code)
+SELECT record_id, is_event, round(p, 6) + 0.0 AS p_event, CASE WHEN p >= 0.5 THEN 'Abnormal' ELSE 'Normal' END AS pred_class
+FROM rec JOIN shares USING (code) WHERE split = 'test'""")
 def rf_fit(spark, sf):
-    s = forest_rows(spark, sf)
-    model = trees.fit_forest(s.filter("split = 'train'"), FLAGS, trees=120, mtry=4)
-    return trees.predicted(model, s.filter("split = 'test'"), FLAGS, ["record_id", "is_event"])
+    """A forest's shares and classes for the test records."""
+    grown, test = one_forest(spark, sf, 120, 4)
+    shares = settled(forests.forest_shares(grown.leaves, [120]).select("code", "p_event"))
+    pred = test.withColumn("code", knn.bit_code(FLAGS)).join(shares, "code")
+    return linear.classed(pred, ["record_id", "is_event"], F.col("p_event")).withColumn("p_event", r6("p_event"))
 
 
 CALIBRATED_SQL = f"WITH {TT_SQL} SELECT count(*) AS n, sum(is_event::INT)::DOUBLE AS events FROM tt WHERE split = 'train'"
