@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallycard import settings
 from tallycard.functions.values import class_label, if_else
+from tallycard.operators.asof import asof_match, nearest
 from tallycard.operators.cards import score_records
 from tallycard.operators.evaluate import (
     auc, confusion_counts, metric_table, nearest_either_side, pr_auc, pr_curve, roc_auc, roc_curve,
@@ -147,6 +148,22 @@ def nearest_points(spark, sf):
     return near.select("model", "score", "side", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
+@query("asof_scores", f"""
+WITH {DOCS_SQL}, t AS (SELECT model, record_id, score FROM preds WHERE NOT is_event),
+e AS (SELECT model, score AS hit, min(record_id) AS id FROM preds WHERE is_event GROUP BY ALL),
+b AS (SELECT t.*, e.hit AS below, e.id AS below_id FROM t ASOF LEFT JOIN e ON t.model = e.model AND t.score >= e.hit),
+a AS (SELECT b.*, e.hit AS above, e.id AS above_id FROM b ASOF LEFT JOIN e ON b.model = e.model AND b.score <= e.hit)
+SELECT *, CASE WHEN below IS NULL OR above - score < score - below THEN above ELSE below END AS nearest FROM a""")
+def asof_scores(spark, sf):
+    """For every record without event the scores of the nearest records with one, on either side."""
+    preds = doc_scores(spark, sf)
+    with_event = preds.filter("is_event").select("model", "score", "record_id")
+    found = asof_match(preds.filter("not is_event").select("model", "record_id", "score"), with_event, ["model"], "score", ["record_id"], ["record_id"])
+    return nearest(found, "score").select(
+        "model", "record_id", "score", F.col("below.score").alias("below"), F.col("below.record_id").alias("below_id"),
+        F.col("above.score").alias("above"), F.col("above.record_id").alias("above_id"), F.col("nearest.score").alias("nearest"))
+
+
 @query("gain_vs_guideline", f"""
 WITH {ROC_SQL}, g AS (SELECT sensitivity AS g_sens, specificity AS g_spec FROM roc WHERE card = 'C0' AND score = 1),
 d AS (SELECT card, score, specificity - g_spec AS ds, sensitivity - g_sens AS dt, sign(specificity - g_spec)::INT AS side FROM roc, g WHERE card <> 'C0')
