@@ -2,7 +2,8 @@
 
 Each task sums the gradient and curvature of every fit over its patterns; the
 sums are added up by Spark, and only those (fits x features^2 numbers) reach
-the driver. The cost does not depend on the number of records.
+the driver. The cost does not depend on the number of records. With a
+continuous feature the rows are the records themselves, each with n = 1.
 """
 
 from __future__ import annotations
@@ -21,12 +22,19 @@ from tallycard.models.linear import LinearFit
 
 @dataclass(frozen=True)
 class FitSpec:
-    """One fit: its features, ridge strength, and the fold left out (None: use all rows)."""
+    """One fit: its features, ridge strength, and the fold left out (None: use all rows).
+
+    ``only``: a boolean column; other rows are not used. ``events``: the column of events. ``complete``: rows that miss
+    a feature of this fit are not used, whatever other fits need.
+    """
 
     name: str
     features: tuple[str, ...]
     penalty: float = 0.0
     leave_out: int | None = None
+    only: str | None = None
+    events: str = "pos"
+    complete: bool = False
 
 
 def _matrix(pdf: pd.DataFrame, features: tuple[str, ...]) -> np.ndarray:
@@ -65,14 +73,18 @@ def fit_many(pats: DataFrame, specs: list[FitSpec], steps: int = 60, tolerance:
     separates the classes has no finite optimum.
     """
     def used(pdf: pd.DataFrame, spec: FitSpec) -> pd.DataFrame:
-        return pdf if spec.leave_out is None else pdf[pdf["fold"] != spec.leave_out]
+        if spec.leave_out is not None:
+            pdf = pdf[pdf["fold"] != spec.leave_out]
+        if spec.only is not None:
+            pdf = pdf[pdf[spec.only].fillna(False).astype(bool)]
+        return pdf.dropna(subset=list(spec.features)) if spec.complete else pdf
 
     def moments(pdf):
         out = {}
         for k, s in enumerate(specs):
             d = used(pdf, s)
             x, n = _matrix(d, s.features)[:, 1:], d["n"].to_numpy(dtype=float)
-            out[k] = np.concatenate([[n.sum(), d["pos"].sum()], n @ x, n @ (x * x)])
+            out[k] = np.concatenate([[n.sum(), d[s.events].sum()], n @ x, n @ (x * x)])
         return out
 
     dims = [len(s.features) for s in specs]
@@ -97,7 +109,7 @@ def fit_many(pats: DataFrame, specs: list[FitSpec], steps: int = 60, tolerance:
                 d = used(pdf, specs[k])
                 x, n = _matrix(d, specs[k].features), d["n"].to_numpy(dtype=float)
                 p = 1 / (1 + np.exp(-np.clip(x @ now[k], -35, 35)))
-                gradient = x.T @ (d["pos"].to_numpy(dtype=float) - n * p)
+                gradient = x.T @ (d[specs[k].events].to_numpy(dtype=float) - n * p)
                 out[k] = np.concatenate([gradient, ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()])
             return out
 

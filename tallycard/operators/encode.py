@@ -8,8 +8,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A column with more levels is no category, unless a caller says so.
+MOST_LEVELS = 1000
 
-def levels_present(df: DataFrame, column: str, order: list[str] | None = None, most: int | None = None) -> list[str]:
+
+def levels_present(df: DataFrame, column: str, order: list[str] | None = None, most: int | None = MOST_LEVELS) -> list[str]:
     """Levels that occur, in the given order or sorted.
 
     Each level becomes a column, so they reach the driver. ``most`` guards
@@ -57,7 +60,7 @@ class Encoder:
     carry: list[str] = field(default_factory=list)
     full: bool = False
     drop_constant: bool = True
-    most_levels: int | None = None
+    most_levels: int | None = MOST_LEVELS
     level_order: dict[str, list[str]] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
     kept: list[str] = field(default_factory=list)
@@ -75,11 +78,12 @@ class Encoder:
     def features(self) -> list[str]:
         names: list[str] = []
         for c in self.kept:
-            names += list(self._coded_names(c)) if c in self.levels else [c]
+            names += self.coded(c)
         return names
 
-    def _coded_names(self, c: str) -> list[str]:
-        return [f"{c}_{lv}" for lv in (self.levels[c] if self.full else self.levels[c][1:])]
+    def coded(self, c: str) -> list[str]:
+        """Features that a kept column becomes."""
+        return [f"{c}_{lv}" for lv in (self.levels[c] if self.full else self.levels[c][1:])] if c in self.levels else [c]
 
     def transform(self, df: DataFrame) -> DataFrame:
         types = dict(df.dtypes)

@@ -13,7 +13,7 @@ from tallycard.plans.preprocess import StudyTables
 from tallycard.plans.selection import CELL, cell_table
 from tallycard.plans.tuning import METRICS_SCHEMA, resume, resume_many
 
-#: Stored tables of the third round; metrics come last, see ``resume_many``.
+#: Stored tables of the third round.
 FINAL_SCHEMAS = {
     name: f"{ddl}, {CELL}" for name, ddl in {
         "models": "card string, family string, penalty double, terms int, bound int, number int, intercept double, "

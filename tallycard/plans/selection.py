@@ -110,7 +110,7 @@ def run_cell(tables: StudyTables, ids: DataFrame, spec: list[Selector], test: Co
 
 
 CELL = "predictors string, response string"
-#: The stored tables of the round; predictions come last, see ``resume_many``.
+#: The stored tables of the round.
 ROUND_SCHEMAS = {
     name: f"{ddl}, {CELL}" for name, ddl in {
         "guideline": "tp bigint, tn bigint, fp bigint, fn bigint, sensitivity double, specificity double, precision double, recall double",

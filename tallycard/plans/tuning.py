@@ -19,7 +19,8 @@ from tallycard.operators.cards import score_records
 from tallycard.operators.encode import Encoder, patterns
 from tallycard.operators.evaluate import metric_table
 from tallycard.session import settled
-from tallycard.sources.tables import pending_cells, read_or_empty, write_cell
+from tallycard.sources.cells import manifest, publish, published
+from tallycard.sources.tables import pending_cells
 
 
 def _setting(model: str, **values) -> Column:
@@ -162,25 +163,21 @@ def run_cell(train: DataFrame, columns: list[str], v: int = settings.N_FOLDS, pe
 
 def resume_many(spark: SparkSession, path: str, cells: list[dict[str, str]], schemas: dict[str, T.StructType | str],
                 run_cell: Callable[[dict[str, str]], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Run the cells that have no stored results yet and return the whole tables, one folder of ``path`` each.
+    """Run the cells that are not published yet and return the whole tables, one folder of ``path`` each.
 
-    A cell is written as its own partition of every table, so repeating one
-    replaces it and a broken run continues where it stopped: a cell counts as
-    finished once it is in the last table.
+    A cell's tables are published together, so a broken run continues with the cell it broke in, and no reader sees a
+    part of one.
     """
     names = list(cells[0])
     grid = spark.createDataFrame([tuple(c[n] for n in names) for c in cells], ", ".join(f"{n} string" for n in names))
-    done = read_or_empty(spark, f"{path}/{list(schemas)[-1]}", schemas[list(schemas)[-1]])
-    for row in pending_cells(grid, done, names).collect():  # one row per experiment
+    for row in pending_cells(grid, manifest(spark, path, names), names).collect():  # one row per experiment
         cell = row.asDict()
         found = run_cell(cell)
-        for table in schemas:
-            write_cell(found[table].withColumns({n: F.lit(v) for n, v in cell.items()}), f"{path}/{table}", names)
-    return {table: read_or_empty(spark, f"{path}/{table}", schema) for table, schema in schemas.items()}
+        publish({table: found[table] for table in schemas}, path, cell)
+    return {table: published(spark, path, table, schema, names) for table, schema in schemas.items()}
 
 
 def resume(spark: SparkSession, path: str, cells: list[dict[str, str]], schema: T.StructType,
-           run_cell: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
+           run_cell: Callable[[dict[str, str]], DataFrame], name: str = "results") -> DataFrame:
     """``resume_many`` for cells with one table."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return resume_many(spark, folder, cells, {name: schema}, lambda cell: {name: run_cell(cell)})[name]
+    return resume_many(spark, path, cells, {name: schema}, lambda cell: {name: run_cell(cell)})[name]

@@ -16,7 +16,7 @@ from tallycard.operators import clean, resample
 from tallycard.operators.encode import patterns, weighted_rows
 from tallycard.plans.tuning import ridge_cv
 from tallycard.registry.base import query, r6
-from tallycard.registry.summaries import FOLD_SQL
+from tallycard.registry.summaries import AGE_SQL, FOLD_SQL
 from tallycard.session import settled
 from tallycard.sources.fixtures import CARDS, COHORT_SQL, FLAGS, STUDY_SQL, cohort, study
 
@@ -443,11 +443,48 @@ SELECT predictors, (SELECT sum(abnormal::INT)::DOUBLE FROM t) AS abnormal, (SELE
 def conditional_fit(spark, sf):
     """Both stages of every specification reproduce the events of the rows they were fitted on."""
     t = settled(conditional_table(spark, sf).filter("split = 'train'"))
-    first = conditional.two_stage(t, t, FLAGS, ["record_id"])
-    second = conditional.two_stage(t, t.filter("abnormal"), FLAGS, ["record_id"])
-    a = first.groupBy("predictors").agg(F.round(F.sum("p_abnormal"), 1).alias("abnormal"))
-    z = second.groupBy("predictors").agg(F.round(F.sum("p_zz_given_abnormal"), 1).alias("zz"))
-    return a.join(z, "predictors")
+    pred = settled(conditional.bound(conditional.fit_stages(t, FLAGS), t, ["abnormal"]))
+    one = lambda name: F.struct(F.lit(name).alias("predictors"), F.col(f"p_zz_abnormal | {name}").alias("p"))
+    rows = pred.select("abnormal", "p_abnormal", F.inline(F.array(*[one(name) for name in conditional.STAGE_TWO])))
+    return rows.groupBy("predictors").agg(F.round(F.sum("p_abnormal"), 1).alias("abnormal"), F.round(F.sum(F.when(F.col("abnormal"), F.col("p"))), 1).alias("zz"))
+
+
+COND_ITEMS = ["", *FLAGS, "age_guess"]
+COND_SQL = f"""{COHORT_SQL}, {AGE_SQL}, ref AS (
+  SELECT *, 2009 - year(date_of_birth) - CASE WHEN CAST(date_of_birth + to_months(CAST(12 * (2009 - year(date_of_birth)) AS INT)) AS DATE)
+     > DATE '2009-01-01' THEN 1 ELSE 0 END AS k FROM aged),
+guess AS (SELECT record_id, coalesce(age_calculated, age_years, k + (DATE '2009-01-01' - CAST(date_of_birth + to_months(CAST(12 * k AS INT)) AS DATE))
+   / (CAST(date_of_birth + to_months(CAST(12 * (k + 1) AS INT)) AS DATE) - CAST(date_of_birth + to_months(CAST(12 * k AS INT)) AS DATE))::DOUBLE) AS age_guess FROM ref),
+c AS (SELECT cohort.*, age_guess, genotype IN ('SZ', 'ZZ') AS abnormal FROM cohort JOIN guess USING (record_id)
+   WHERE genotype IS NOT NULL AND smoking_history_cigarette <> '(Missing)' AND any_tobacco_exposure <> '(Missing)' AND hx_returned IS NOT NULL AND age_guess IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY abnormal ORDER BY md5('{settings.SEED}|' || record_id), record_id) AS pos, count(*) OVER (PARTITION BY abnormal) AS n FROM c),
+t AS (SELECT * FROM p WHERE pos <= floor(n * (2 / 3.0::DOUBLE)))"""
+
+
+@query("conditional_equations", f"WITH {COND_SQL} " + " UNION ALL ".join(
+    [f"SELECT 'abnormal' AS fit, '{f}' AS item, round(sum(abnormal::INT{' * ' + f + '::DOUBLE' if f else ''}), 1)::DOUBLE + 0.0 AS total FROM t" for f in ["", *FLAGS]]
+    + [f"SELECT '{name}', '{f}', round(sum((genotype = 'ZZ')::INT{' * ' + f + '::DOUBLE' if f else ''}), 1)::DOUBLE + 0.0 FROM t WHERE abnormal"
+       for name, extra in conditional.STAGE_TWO.items() for f in COND_ITEMS if f != "age_guess" or f in extra]))
+def conditional_equations(spark, sf):
+    """At the optimum of each fit, age included, the fitted events of every item add up to the observed ones."""
+    t = settled(conditional_table(spark, sf).filter("split = 'train'"))
+    pred = settled(conditional.bound(conditional.fit_stages(t, FLAGS), t, ["record_id", "abnormal", "age_guess"]))
+    rows = pred.join(t.select("record_id", *FLAGS), "record_id")
+    cell = lambda fit, item, p: F.struct(F.lit(fit).alias("fit"), F.lit(item).alias("item"), (p * F.col(item).cast("double") if item else p).alias("x"))
+    cells = [cell("abnormal", f, F.col("p_abnormal")) for f in ["", *FLAGS]] + [
+        cell(name, f, F.when(F.col("abnormal"), F.col(f"p_zz_abnormal | {name}")))
+        for name, extra in conditional.STAGE_TWO.items() for f in COND_ITEMS if f != "age_guess" or f in extra]
+    return rows.select(F.inline(F.array(*[F.struct(c["fit"].alias("fit"), c["item"].alias("item"), c["x"].cast("double").alias("x")) for c in cells]))).groupBy("fit", "item").agg(
+        (F.round(F.sum("x"), 1) + 0.0).alias("total"))
+
+
+@query("conditional_bound")
+def conditional_bound(spark, sf):
+    """Stage one, the baseline and four specifications side by side for a sample of the test records of every genotype."""
+    t = settled(conditional_table(spark, sf))
+    sampled = resample.sample_each(t.filter("split = 'test'"), ["genotype"], "record_id", 4)
+    wide = conditional.bound(conditional.fit_stages(t.filter("split = 'train'"), FLAGS), sampled, ["record_id", "genotype", "abnormal"])
+    return wide.select("record_id", "genotype", "abnormal", *[F.round(c, 8).alias(c) for c in wide.columns[3:]])
 
 
 @query("conditional_pred")

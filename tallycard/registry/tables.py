@@ -12,8 +12,8 @@ from tallycard.operators.encode import patterns
 from tallycard.operators.report import item_prevalence, joined_naturally
 from tallycard.operators.cards import score_records, score_range, risk_of
 from tallycard.registry.base import query, r6
-from tallycard.session import settled
-from tallycard.sources import tables
+from tallycard.session import scratch_path, settled
+from tallycard.sources import loading, tables
 from tallycard.sources.fixtures import (
     CARDS, COHORT_SQL, FLAGS, SCORED_SQL, STUDY_SQL, cohort, order_side, study, table,
 )
@@ -55,18 +55,39 @@ def prototype_table(spark):
     return spark.createDataFrame(rows, "subject string, " + ", ".join(f"{f} int" for f in FLAGS))
 
 
-@query("load_cohort", """
-SELECT o_orderkey AS record_id, o_orderstatus AS status, o_totalprice AS total,
-       CAST(o_orderdate AS DATE) AS ordered
-FROM orders""")
+#: Lines of the raw file that are spoiled: a field too many, a price or a date that is none.
+FAULTS = "o_orderkey % 61 = 0 AS extra, o_orderkey % 53 = 0 AS price, o_orderkey % 59 = 0 AS date"
+
+
+def raw_cohort(spark, sf):
+    """The orders as a raw CSV file, written and loaded again."""
+    key = F.col("o_orderkey")
+    spoiled = lambda n, bad, good: F.when(key % n == 0, bad).otherwise(good)
+    o = table(spark, sf, "orders").select(
+        key.alias("record_id"), F.col("o_orderstatus").alias("status"), spoiled(53, "on request", F.col("o_totalprice").cast("string")).alias("total"),
+        spoiled(59, "31/31/1999", F.date_format(F.col("o_orderdate").cast("date"), "M/d/yyyy")).alias("ordered"))
+    line = F.concat(F.concat_ws(",", *o.columns), F.when(F.col("record_id") % 61 == 0, ",more").otherwise(""))
+    path = scratch_path(spark, "raw")
+    # a header in every file, as a reader of many files expects
+    o.select(line.alias(",".join(o.columns))).write.options(header=True, quote="", escape="", sep="\x01").csv(path)
+    return loading.load_csv(spark, path, share=0.9)
+
+
+@query("load_cohort", f"""
+SELECT o_orderkey AS record_id, o_orderstatus AS status, o_totalprice AS total, CAST(o_orderdate AS DATE) AS ordered
+FROM (SELECT *, {FAULTS} FROM orders) WHERE NOT (extra OR price OR date)""")
 def load_cohort(spark, sf):
-    o = table(spark, sf, "orders")
-    line = F.to_csv(
-        F.struct("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date")),
-        {"dateFormat": "MM/dd/yyyy"})
-    return tables.typed_lines(
-        o.select(line.alias("line")), "line",
-        "record_id bigint, status string, total double, ordered date")
+    return raw_cohort(spark, sf).rows
+
+
+@query("load_rejected", f"""
+WITH f AS (SELECT {FAULTS} FROM orders)
+SELECT '' AS column, 'fields' AS reason, count(*) AS n FROM f WHERE extra HAVING count(*) > 0
+UNION ALL SELECT 'total', 'double', count(*) FROM f WHERE price AND NOT extra HAVING count(*) > 0
+UNION ALL SELECT 'ordered', 'date', count(*) FROM f WHERE date AND NOT extra HAVING count(*) > 0""")
+def load_rejected(spark, sf):
+    """Faults of the raw file by column and reason."""
+    return raw_cohort(spark, sf).rejected.groupBy("column", "reason").agg(F.count("*").alias("n"))
 
 
 @query("export_rounded", f"""

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallycard import session
-from tallycard.plans.tuning import resume, tuning_grid
+from tallycard.plans.tuning import resume, resume_many, tuning_grid
+from tallycard.sources import cells as cells_
+from tallycard.sources import loading
 from tallycard.sources import tables
 
 SCHEMA = T.StructType([
@@ -44,8 +46,8 @@ def test_a_grid_resumes_and_repeats_without_duplicates(spark, tmp_path):
     done = resume(spark, path, cells, SCHEMA, run)
     assert done.count() == 8 and len(ran) == 5 and len(set(ran)) == 4
     again = spark.createDataFrame([(0.9, "Dx", "ZZ")], "estimate double, predictors string, response string")
-    tables.write_cell(again, path, ["predictors", "response"])
-    full = tables.read_or_empty(spark, path, SCHEMA)
+    cells_.publish({"results": again.select("estimate")}, path, {"predictors": "Dx", "response": "ZZ"})
+    full = cells_.published(spark, path, "results", SCHEMA, ["predictors", "response"])
     assert full.count() == 7
     complete = tables.complete_cells(full, ["predictors", "response"])
     assert complete.count() == 6
@@ -72,3 +74,55 @@ def test_settled_tables_are_columnar_and_sized(spark):
 def test_scratch_is_under_the_named_folder(spark):
     path = session.scratch_path(spark, "t")
     assert path.startswith(session.shared_dir(spark)) and path != session.scratch_path(spark, "t")
+
+
+def test_a_cell_is_in_all_tables_or_in_none(spark, tmp_path, monkeypatch):
+    path, names = str(tmp_path / "round"), ["predictors", "response"]
+    cells = [{"predictors": "Dx", "response": r} for r in ("ZZ", "SZ")]
+    schemas = {"first": "x int, predictors string, response string", "second": "y string, predictors string, response string"}
+    ran = []
+
+    def run(cell):
+        ran.append(cell["response"])
+        broken = F.raise_error("lost") if len(ran) == 2 else F.lit("y")
+        return {"first": spark.range(3).select(F.col("id").cast("int").alias("x")), "second": spark.range(2).select(broken.cast("string").alias("y"))}
+
+    with pytest.raises(Exception, match="lost"):  # between the two tables of the second cell
+        resume_many(spark, path, cells, schemas, run)
+    stored = tables.read_or_empty(spark, f"{path}/first", "x int, predictors string, response string, run string")
+    assert stored.count() == 6  # three rows lie there unpublished
+    seen = {t: cells_.published(spark, path, t, s, names) for t, s in schemas.items()}
+    assert (seen["first"].count(), seen["second"].count()) == (3, 2)
+    out = resume_many(spark, path, cells, schemas, run)
+    assert (out["first"].count(), out["second"].count()) == (6, 4) and ran == [ran[0], ran[1], ran[1]]
+    assert out["second"].columns == ["y", "predictors", "response"]
+
+
+def test_tables_without_rows_are_published(spark, tmp_path):
+    path = str(tmp_path / "round")
+    cells_.publish({"a": spark.range(0).select(F.col("id").cast("int").alias("x"))}, path, {"cell": "c"})
+    assert cells_.manifest(spark, path, ["cell"]).first()["rows"] == {"a": 0}
+    assert cells_.published(spark, path, "a", "x int, cell string", ["cell"]).count() == 0
+
+
+def test_load_with_rejected_rows(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("id,score,flag,born,note\n1,1.5,TRUE,3/4/1960,a\n2,,FALSE,12/31/1999,\"b, c\"\n3,x1,TRUE,3/4/1960,d\n4,2,maybe,31/12/1999,e\n"
+                    "5,3,TRUE\n6,4,NA,1/1/2000,f\n7,5,TRUE,1/2/2000,g,h\n")
+    loaded = loading.load_csv(spark, str(path), share=0.6)
+    assert dict(loaded.rows.dtypes) == {"id": "bigint", "score": "double", "flag": "boolean", "born": "date", "note": "string"}
+    assert {r["id"]: (r["score"], r["flag"], str(r["born"]), r["note"]) for r in loaded.rows.collect()} == {
+        1: (1.5, True, "1960-03-04", "a"), 2: (None, False, "1999-12-31", "b, c"), 6: (4.0, None, "2000-01-01", "f")}
+    found = sorted((r["column"], r["reason"], r["value"]) for r in loaded.rejected.collect())
+    assert found == [("", "fields", "5,3,TRUE"), ("", "fields", "7,5,TRUE,1/2/2000,g,h"), ("born", "date", "31/12/1999"), ("flag", "boolean", "maybe"), ("score", "double", "x1")]
+
+
+def test_load_with_given_types_and_no_rows(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("id,score\n")
+    loaded = loading.load_csv(spark, str(path), types={"id": "bigint", "score": "double"})
+    assert loaded.rows.count() == 0 and loaded.rejected.count() == 0 and dict(loaded.rows.dtypes) == {"id": "bigint", "score": "double"}
+    path.write_text("id,score\n1,2\n1.5,3\n")
+    loaded = loading.load_csv(spark, str(path), types={"id": "bigint", "score": "double"})
+    assert [tuple(r) for r in loaded.rows.collect()] == [(1, 2.0)]
+    assert [(r["column"], r["value"]) for r in loaded.rejected.collect()] == [("id", "1.5")]
