@@ -8,7 +8,6 @@ only the rows inside one range are ordered together.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 from math import isfinite
 
@@ -31,17 +30,29 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, test, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def range_edges(df: DataFrame, order: str, parts: int) -> list[float]:
-    """At most ``parts - 1`` cut values near the quantiles of ``order``."""
-    probs = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, max(10000, 20 * parts)).alias("e")).first()["e"]
-    return sorted({e for e in found or [] if isfinite(e)})
+#: Quantiles that are asked for before the number of ranges is known.
+FINE = 1000
+
+
+def range_edges(df: DataFrame, order: str, parts: int | None) -> list[float]:
+    """At most ``parts - 1`` cut values near the quantiles of ``order``, by default for ranges of ``RANGE_ROWS`` rows.
+
+    Rows are counted in the same pass, with a fine list of quantiles that is thinned afterwards.
+    """
+    at = lambda many: F.percentile_approx(F.col(order).cast("double"), [i / many for i in range(1, many)], max(10000, 20 * many)).alias("e")
+    if parts is None or parts <= FINE:
+        found = df.agg(F.count("*").alias("n"), at(FINE)).first()
+        if parts is None:  # enough ranges for the rows, and for the session's tasks
+            parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found["n"] // RANGE_ROWS))
+        fine = found["e"] or []
+        edges = [fine[i * FINE // parts - 1] for i in range(1, parts) if i * FINE >= parts] if fine else []
+    if parts > FINE:
+        edges = df.agg(at(parts)).first()["e"] or []
+    return sorted({e for e in edges if isfinite(e)})
 
 
 def with_slice(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
     """Add the number of the value range each row falls into."""
-    if parts is None:  # enough ranges for the rows, and for the session's tasks
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
     edges = range_edges(df, order, parts)
     if not edges:
         return df.withColumn(SLICE, F.lit(0))
@@ -150,12 +161,14 @@ def exact_quantiles(
 # ---- positions by hash ----------------------------------------------------
 
 
+#: Hash digits that name a range: 65,536 of them, so that a range of 10^10 rows is some 150,000.
+DIGITS = 4
+
+
 def _with_hash(df: DataFrame, key: str, seed: object, digits: int | None) -> DataFrame:
-    """Adds the hash and its first digits; without a number of digits, as many as leave a thousand rows or so to a prefix."""
-    if digits is None:
-        digits = max(2, math.ceil(math.log(max(df.count(), 1) / 1000, 16)))
+    """Adds the hash and its first digits."""
     hashed = df.withColumn("_hash", hash_key(seed, key))
-    return hashed.withColumn(SLICE, F.substring("_hash", 1, digits))
+    return hashed.withColumn(SLICE, F.substring("_hash", 1, DIGITS if digits is None else digits))
 
 
 def _slice_counts(hashed: DataFrame, strata: list[str]) -> DataFrame:
@@ -174,7 +187,7 @@ def hash_positions(
 ) -> DataFrame:
     """1-based position of each row inside its stratum, in the order of its hash.
 
-    A stratum is spread over 16^digits windows; the number of digits follows from the number of rows.
+    A stratum is spread over 16^digits windows.
     """
     hashed = _with_hash(df, key, seed, digits)
     inside = Window.partitionBy(*strata, SLICE).orderBy("_hash", key)
