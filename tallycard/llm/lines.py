@@ -9,8 +9,6 @@ from tallycard.llm.common import docs_of, query, row_key, settled
 
 #: A line on so many distinct sites is boilerplate.
 LEAST_SITES = 8
-#: What OP3_SQL states: a text of which flagged lines make up more than this share is left whole. None removes them whatever their share.
-MOST_SHARE = 0.5
 LG_K = 12
 
 
@@ -40,7 +38,7 @@ def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                         least_sites: int = LEAST_SITES, most_share: float | None = MOST_SHARE) -> DataFrame:
+                         least_sites: int = LEAST_SITES, most_share: float | None = None) -> DataFrame:
     """``row`` (the whole row as a struct), ``n_lines``, ``n_flagged``, ``n_removed`` and ``kept_text`` of every row of ``docs``.
 
     Flagged lines go. With a ``most_share``, a text in which they have more of the characters of its lines is left whole.
@@ -76,7 +74,7 @@ def without_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", size_col: str = "n_chars") -> DataFrame:
     """``docs`` without the flagged lines, whatever their share, and, where the column is there, with the new lengths; no row goes."""
-    out = without_spread_lines(docs, id_col, text_col, site_col, most_share=None)
+    out = without_spread_lines(docs, id_col, text_col, site_col)
     types = {f.name: f.dataType for f in docs.schema.fields}
 
     def column(c: str):
@@ -94,15 +92,11 @@ WITH l AS (
   FROM documents),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 s AS (SELECT line FROM w GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
-d AS (
-  SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_flagged, coalesce(sum(length(w.line)) FILTER (s.line IS NOT NULL), 0) AS fc, sum(length(w.line)) AS c
-  FROM w LEFT JOIN s USING (line) GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_flagged FROM w LEFT JOIN s USING (line) GROUP BY doc_id),
 k AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) AS kept
   FROM l LEFT JOIN s USING (line) WHERE s.line IS NULL GROUP BY l.doc_id)
-SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_flagged, 0) AS n_flagged,
-  CASE WHEN fc <= {MOST_SHARE} * c THEN n_flagged ELSE 0 END AS n_removed,
-  md5(CASE WHEN n_flagged > 0 AND fc <= {MOST_SHARE} * c THEN coalesce(kept, '') ELSE coalesce(text, '') END) AS kept_md5
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_flagged, 0) AS n_flagged, coalesce(n_flagged, 0) AS n_removed, md5(coalesce(kept, '')) AS kept_md5
 FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
@@ -113,24 +107,7 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_flagged", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
 
 
-#: The same without the exemption: every flagged line goes.
-OP3_ALL_SQL = f"""
-WITH l AS (
-  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
-  FROM documents),
-w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-s AS (SELECT line FROM w GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
-d AS (SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_flagged FROM w LEFT JOIN s USING (line) GROUP BY doc_id),
-k AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.place) AS kept
-  FROM l LEFT JOIN s USING (line) WHERE s.line IS NULL GROUP BY l.doc_id)
-SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_flagged, 0) AS n_flagged, coalesce(n_flagged, 0) AS n_removed, md5(coalesce(kept, '')) AS kept_md5
-FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
-"""
-
-
-@query("op3_line_spread_all", OP3_ALL_SQL)
+@query("op3_line_spread_all", OP3_SQL)
 def op3_line_spread_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the exemption that OP3_SQL states; the pipeline removes lines in this way."""
-    out = without_spread_lines(docs_of(spark, sf_dir), most_share=None)
-    return out.select("row.doc_id", "n_lines", "n_flagged", "n_removed", F.md5(F.coalesce("kept_text", F.lit(""))).alias("kept_md5"))
+    """An earlier name of the same query."""
+    return op3_line_spread(spark, sf_dir)

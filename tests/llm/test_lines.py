@@ -26,8 +26,8 @@ def brute(rows, least, share):
     return out
 
 
-@pytest.mark.parametrize("least", [1, 3, 8, 30])
-def test_against_brute_force(spark, odd_rows, none, least):
+@pytest.mark.parametrize("least,share", [(1, None), (3, 0.5), (8, None), (30, None)])
+def test_against_brute_force(spark, odd_rows, none, least, share):
     rng = random.Random(least)
     rows = [(r[0], r[1], r[3]) for r in odd_rows]
     for i in range(200, 700):
@@ -35,9 +35,9 @@ def test_against_brute_force(spark, odd_rows, none, least):
         text = "\n".join(rng.choice([f"common {rng.randrange(12)}", f"rare {rng.random()}", "", "  ", f"near {rng.randrange(60)}"]) for _ in range(n))
         rows.append((i, text, f"site{rng.randrange(45)}" if rng.random() < 0.9 else None))
     docs = spark.createDataFrame([(*r, "a", 3, "b") for r in rows], "doc_id bigint, text string, source string, n_lines string, hits int, lines string").repartition(4)
-    out = lines.without_spread_lines(docs, least_sites=least)
+    out = lines.without_spread_lines(docs, least_sites=least, most_share=share)
     got = out.select("row.doc_id", "n_lines", "n_flagged", "n_removed", "kept_text").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, least, lines.MOST_SHARE), key=repr)
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, least, share if share is not None else 1), key=repr)
     cleaned = lines.drop_spread_lines(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
 
