@@ -213,3 +213,14 @@ def contributions(subjects: DataFrame, points: DataFrame, items: list[str], ids:
     valued = joined.withColumn("value", F.col("entry") * F.col("points"))
     total = F.sum("value").over(Window.partitionBy(*keys, *ids)).cast("int")
     return valued.withColumn("total", total)
+
+
+def tally_table(subjects: DataFrame, points: DataFrame, items: list[str], ids: list[str], keys: list[str]) -> DataFrame:
+    """A row per card and subject with a text per item: "--" where the card has no such item, nothing where the subject
+    has not got it, else what it adds. Then the ``total``. ``points`` holds the items each card uses.
+    """
+    valued = contributions(subjects, points, items, ids, keys)
+    tally = F.when(F.col("entry") == 0, "").otherwise(F.col("value").cast("int").cast("string"))
+    wide = valued.withColumn("tally", tally).groupBy(*keys, *ids).pivot("item", items).agg(F.first("tally"))
+    totals = valued.groupBy(*keys, *ids).agg(F.sum("value").cast("int").alias("total"))
+    return wide.na.fill("--", items).join(totals, [*keys, *ids]).select(*keys, *ids, *items, "total")

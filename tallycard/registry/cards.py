@@ -310,6 +310,25 @@ def prototype_contributions(spark, sf):
     return ops.contributions(prototype_table(spark), fitted_points(spark, sf), FLAGS, ["subject"], ["bound"])
 
 
+def _tally_sql(card: str) -> str:
+    points = CARDS[card][2]
+    cell = lambda f: f"CASE WHEN {f} = 0 THEN '' ELSE '{points[f]}' END" if points.get(f) else "'--'"
+    total = " + ".join(f"{v} * {f}" for f, v in points.items())
+    return f"SELECT '{card}' AS card, subject, {', '.join(f'{cell(f)} AS {f}' for f in FLAGS)}, ({total})::INT AS total FROM prototypes"
+
+
+@query("prototype_tally", f"""
+WITH {CUTOFF_SQL}, {PROTOTYPE_SQL}, t AS ({_tally_sql("C1")} UNION ALL {_tally_sql("C2")})
+SELECT t.*, CASE WHEN t.total >= c.score_cutoff THEN 'Y' ELSE 'N' END AS screen FROM t JOIN cutoffs c ON t.card = c.card""")
+def prototype_tally(spark, sf):
+    """The display of the prototype subjects: a cell per item, the total, and the screen."""
+    used = [(card, f, v) for card in ("C1", "C2") for f, v in CARDS[card][2].items() if v]
+    points = spark.createDataFrame(used, "card string, item string, points int")
+    shown = ops.tally_table(prototype_table(spark), points, FLAGS, ["subject"], ["card"])
+    cut = cutoffs(narrow_study(spark, sf)).select("card", "score_cutoff")
+    return shown.join(F.broadcast(cut), "card").withColumn("screen", F.when(F.col("total") >= F.col("score_cutoff"), "Y").otherwise("N")).drop("score_cutoff")
+
+
 @query("score_histogram", f"""
 WITH {SCORED_SQL} SELECT card, score::BIGINT AS bin, count(*) AS n FROM scored GROUP BY ALL""")
 def score_histogram(spark, sf):
