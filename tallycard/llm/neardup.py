@@ -18,9 +18,6 @@ BANDS, ROWS = 40, 5
 LEAST_AGREEMENT = 0.62
 #: Members of a bucket that are compared in one task; larger buckets are cut in blocks that meet pairwise.
 BLOCK = 2000
-#: Partners that a class proposes in a bucket in the first round; each further round, after the groups found so far have
-#: been joined, allows four times as many where there are more.
-FIRST_PARTNERS = 3
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -136,57 +133,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return likely.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b").mapInPandas(_linked(percent), "a long, b long")
 
 
-def _propose(rows: pd.DataFrame, most: int) -> list[tuple]:
-    """Likely pairs between groups for whole buckets in ``rows``: (0, a, b), and (1, bucket, 0) where a class has more than ``most``."""
+def _likely(rows: pd.DataFrame, pairs_at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x, y and agreement of likely pairs between groups, for whole blocks in ``rows``.
+
+    A pair that shares several buckets counts in the first of them only: as its groups differ, all of them are open.
+    """
     sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-    bucket, cls, comp, side = (rows[c].to_numpy() for c in ("bucket", "cls", "comp", "side"))
+    bands = np.stack(rows["bands"].to_list())
+    bucket, comp, side = (rows[c].to_numpy() for c in ("bucket", "comp", "side"))
     block = rows["i"].to_numpy().astype(np.int64) << 32 | rows["j"].to_numpy()
     first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]))
     sizes = np.diff(np.append(first, len(rows)))
-    out: list[tuple] = []
-    # small buckets all at once: every row with every later one of its bucket
-    of_row = np.repeat(np.arange(len(first)), sizes)
-    last = (first + sizes)[of_row]
-    later = np.where(sizes[of_row] <= most, last - np.arange(len(rows)) - 1, 0)
-    for at in range(0, len(rows), 4096):
-        count = later[at: at + 4096]
+    # every row with every later one of its block
+    later = np.repeat(first + sizes, sizes) - np.arange(len(rows)) - 1
+    upto, at = np.cumsum(later), 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + pairs_at_once)))
+        count = later[at:end]
         x = np.repeat(np.arange(at, at + len(count)), count)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        at = end
         other = (comp[x] != comp[y]) & ((side[x] == 0) | (side[x] != side[y]))
         x, y = x[other], y[other]
-        for k in range(0, len(x), 100_000):
-            u, v = x[k: k + 100_000], y[k: k + 100_000]
-            ok = (sig[u] == sig[v]).mean(axis=1) >= LEAST_AGREEMENT
-            out += [(0, min(p, q), max(p, q)) for p, q in zip(cls[u[ok]].tolist(), cls[v[ok]].tolist())]
-    for g in np.flatnonzero(sizes > most):
-        own = slice(first[g], first[g] + sizes[g])
-        s, c, m, d = sig[own], cls[own], comp[own], side[own]
-        for n in range(len(c)):
-            other = np.flatnonzero((m != m[n]) & ((d[n] == 0) | (d != d[n])))
-            if len(other):
-                agree = (s[other] == s[n]).mean(axis=1)
-                ok = agree >= LEAST_AGREEMENT
-                if ok.sum() > most:
-                    out.append((1, int(bucket[first[g]]), 0))
-                best = other[ok][np.argsort(-agree[ok], kind="stable")[:most]]
-                out += [(0, int(min(c[n], q)), int(max(c[n], q))) for q in c[best]]
-    return sorted(set(out))
-
-
-def _proposals(most: int):
-    """``_propose`` over a sorted partition; a bucket that goes on in the next batch waits for it."""
+        agree = (sig[x] == sig[y]).mean(axis=1)
+        x, y, agree = (v[agree >= LEAST_AGREEMENT] for v in (x, y, agree))
+        common = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max)
+        here = common.min(axis=1, initial=np.iinfo(np.int64).max) == bucket[x]
+        yield x[here], y[here], agree[here]
+
+
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole blocks of a sorted partition; one that goes on in the next batch waits for it."""
+    waiting = None
+    for batch in batches:
+        rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        tail = rows[["bucket", "i", "j"]].iloc[-1]
+        cut = int(((rows["bucket"] == tail["bucket"]) & (rows["i"] == tail["i"]) & (rows["j"] == tail["j"])).to_numpy().argmax())
+        waiting = rows.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield rows.iloc[:cut]
+    if waiting is not None and len(waiting):
+        yield waiting
+
+
+def _meeting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that have a likely partner of another group in their block."""
+    for rows in _whole_blocks(batches):
+        own = np.zeros(len(rows), bool)
+        for x, y, _ in _likely(rows):
+            own[x] = own[y] = True
+        yield rows.loc[own, ["bucket", "i", "j", "cls", "comp", "side"]]
+
+
+def _spanning(percent: int):
+    """Checks likely pairs on full sets, the likeliest first, unless their groups are joined by then; gives the links that join groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting = None
-        for batch in batches:
-            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-            tail = rows[["bucket", "i", "j"]].iloc[-1]
-            cut = int(((rows["bucket"] == tail["bucket"]) & (rows["i"] == tail["i"]) & (rows["j"] == tail["j"])).to_numpy().argmax())
-            waiting = rows.iloc[cut:]
-            if cut:
-                yield pd.DataFrame(_propose(rows.iloc[:cut], most), columns=["kind", "a", "b"], dtype="int64")
-        if waiting is not None and len(waiting):
-            yield pd.DataFrame(_propose(waiting, most), columns=["kind", "a", "b"], dtype="int64")
+        for rows in _whole_blocks(batches):
+            found = [np.concatenate(v) for v in zip(*_likely(rows))]
+            if not found:
+                continue
+            x, y, agree = found
+            order = np.argsort(-agree, kind="stable")
+            cls, comp, parent, links = rows["cls"].to_numpy(), rows["comp"].to_numpy(), {}, []
+            elements = [np.frombuffer(e, np.uint64) for e in rows["elements"]]
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    parent[c] = parent.get(parent[c], parent[c])
+                    c = parent[c]
+                return c
+
+            for p, q in zip(x[order].tolist(), y[order].tolist()):
+                a, b = root(comp[p]), root(comp[q])
+                small, large = sorted((len(elements[p]), len(elements[q])))
+                if a == b or 100 * small < percent * large:
+                    continue
+                both = len(np.intersect1d(elements[p], elements[q], assume_unique=True))
+                if 100 * both >= percent * (small + large - both):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((min(cls[p], cls[q]), max(cls[p], cls[q])))
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -204,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * common shingles >= ``percent`` * all shingles of both. Equal sets are one class from the
     start, and only classes are compared, so copies never meet as pairs. Classes that share a band are candidates. Each
     class is first checked against one leader of its buckets, twice with different leaders; buckets that then hold one
-    connected group are done. In the others every class proposes its likeliest untested partners of other groups, more in
-    each round where it has more, until no likely pair between groups is untested: no link that could change a group is left out.
-    Links count after a check on the full sets.
+    connected group are done. In the others all likely pairs between groups are checked on the full sets inside the task
+    that holds their bucket, the likeliest first, unless other links have joined their groups by then. What leaves a task
+    are links that join groups, fewer than its classes, and no link that could change a group is left out.
 
     ``component_id`` is the least id that can be reached, the row's own included; ``kept`` marks the rows that have it.
     Rows without words are linked with nothing. A null id is never the least; a group of null ids has a null
@@ -221,24 +248,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     worded = signed.filter("cls is not null")
     in_bands = worded.select("cls", F.explode("bands").alias("bucket"))
     shared = settled(in_bands.groupBy("bucket").agg(F.min("cls").alias("leader"), F.max("cls").alias("hi")).filter("leader != hi").select("bucket", "leader"))
-    members = settled(in_bands.join(shared, "bucket").distinct())
+    # tables that grow with the corpus are joined by sorting at every size; a small one would else be broadcast
+    members = settled(in_bands.join(shared.hint("merge"), "bucket").distinct())
 
     # the full sets, of candidate classes only, each made from one of its texts
     wanted = members.select("cls").distinct()
-    one = worded.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("key", "id")).alias("of")).select("cls", "of.key", "of.id")
+    one = worded.select("cls", "key", "id").join(wanted.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("key", "id")).alias("of")).select("cls", "of.key", "of.id")
     one = settled(one)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"cls": batch["cls"], "elements": [shingle_set(t, k).tobytes() for t in batch["text"]]})
 
-    texts = rows.join(one.select("cls", F.col("key").alias("key1"), F.col("id").cast("string").alias("id1")), (F.col("key") == F.col("key1")) & F.col("id").eqNullSafe(F.col("id1")))
+    texts = rows.join(one.select("cls", F.col("key").alias("key1"), F.col("id").cast("string").alias("id1")).hint("merge"), (F.col("key") == F.col("key1")) & F.col("id").eqNullSafe(F.col("id1")))
     filled = texts.select("cls", "text").mapInPandas(fill, "cls long, elements binary")
-    sigs = worded.join(one.select("cls", "key", F.struct("id").alias("w")).withColumnRenamed("cls", "c2").withColumnRenamed("key", "k2"), (F.col("cls") == F.col("c2")) & (F.col("key") == F.col("k2"))).select("cls", "sig")
+    sigs = worded.join(one.select("cls", "key", F.struct("id").alias("w")).withColumnRenamed("cls", "c2").withColumnRenamed("key", "k2").hint("merge"), (F.col("cls") == F.col("c2")) & (F.col("key") == F.col("k2"))).select("cls", "sig", "bands")
     sets = settled(filled.dropDuplicates(["cls"]).join(sigs.dropDuplicates(["cls"]), "cls"))
 
     empty = spark.createDataFrame([], "a long, b long")
-    tested, links = settled(empty), settled(empty)
+    links = settled(empty)
     labels = spark.createDataFrame([], "node long, comp long")
     open_rows = None
     # one leader per class and round
@@ -251,31 +279,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = met.groupBy("cls").agg(F.min(F.struct("o", "leader")).alias("x")).select(F.col("x.leader").alias("a"), F.col("cls").alias("b"))
         new = settled(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         links = settled(links.unionByName(_verified(new, sets, percent)))
-        tested = settled(tested.unionByName(new).distinct())
         labels = components(links)
         open_rows = _open_buckets(members, labels)
         if not open_rows.take(1):
             break
-    most = FIRST_PARTNERS
-    while open_rows.take(1):
-        with_sig = open_rows.join(sets.select("cls", "sig"), "cls")
+    if open_rows.take(1):
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("cls", F.lit("block")), blocks).cast("int")
-        cut = with_sig.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "sig",
+        cut = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+            "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp",
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-        in_order = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = settled(in_order.mapInPandas(_proposals(most), "kind long, a long, b long").distinct())
-        new = settled(found.filter("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        added = settled(_verified(new, sets, percent))
-        tested = settled(tested.unionByName(new))
-        if added.take(1):
-            links = settled(links.unionByName(added))
-            labels = components(links)
-        # all likely pairs of the other buckets are tested by now
-        more = found.filter("kind = 1").select(F.col("a").alias("bucket")).distinct()
-        open_rows = _open_buckets(members.join(more, "bucket", "left_semi"), labels)
-        most *= 4
+        in_order = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        # full sets go only where a likely partner is
+        meet = settled(in_order(cut.join(sets.select("cls", "sig", "bands"), "cls")).mapInPandas(_meeting, "bucket long, i int, j int, cls long, comp long, side int"))
+        added = settled(in_order(meet.join(sets, "cls")).mapInPandas(_spanning(percent), "a long, b long"))
+        labels = components(links.unionByName(added))
 
     ids = worded.select("id", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("id", F.coalesce("comp", "cls").alias("comp"))
     least = settled(ids.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "component_id"))
