@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallycard import settings
 from tallycard.functions.values import class_label
 from tallycard.models import batch_fit, card_search, conditional, forests, guideline, knn, lda, linear, svm, trees
+from tallycard.models import svm_gap as svm_certificate
 from tallycard.operators import cards as card_ops
 from tallycard.operators import clean, resample
 from tallycard.operators.encode import patterns, weighted_rows
@@ -301,6 +302,22 @@ def svm_poly3(spark, sf):
     return calibrated_total(spark, sf, lambda rows: svm.fit_svm_poly(rows, FLAGS, 3))
 
 
+#: A machine counts as the best one when no other can be better by more than this.
+CLOSE = 0.002
+
+
+@query("svm_gap", f"WITH {TT_SQL} SELECT unnest([1, 2, 3]) AS degree, count(*) AS n, sum(is_event::INT)::BIGINT AS events, true AS bounded, true AS best FROM tt WHERE split = 'train'")
+def svm_gap(spark, sf):
+    """For each degree: is the multipliers' bound below the fitted machine, and does it prove the polished one the best?"""
+    train, _ = pattern_sets(spark, sf)
+    rows = settled(weighted_rows(train, FLAGS))
+    fits = {1: svm.fit_svm_linear(rows, FLAGS), 2: svm.fit_svm_poly(rows, FLAGS, 2), 3: svm.fit_svm_poly(rows, FLAGS, 3)}
+    gaps = {d: svm_certificate.svm_gap(rows, fit) for d, fit in fits.items()}
+    facts = spark.createDataFrame([(d, g.dual <= g.primal + 1e-9, g.polished - g.dual <= CLOSE) for d, g in gaps.items()], "degree int, bounded boolean, best boolean")
+    counts = train.agg(F.sum("n").alias("n"), F.sum("pos").alias("events"))
+    return facts.withColumns({"n": counts.select("n").scalar(), "events": counts.select("events").scalar()})
+
+
 def svm_predictions(spark, sf, fitted):
     """Every test pattern with its counts, calibrated share and class."""
     rows, test = _fit_rows(spark, sf)
