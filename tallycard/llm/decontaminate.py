@@ -238,20 +238,25 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     # the passages that can resemble an item at all, as sparse rows
     table = settled(rows.mapInPandas(passages, "id string, key long, start int, terms array<int>, weights array<float>"))
 
-    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros_like(omega)
+    # passages are short, so the sketch (A^T A) omega goes by pairs of terms: sums per pair over all passages, then a line per term
+    pairs = table.select("terms", "weights").mapInPandas(_term_pairs(size), "a int, b int, x double").groupBy("a", "b").agg(F.sum("x").alias("x"))
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
         for part in batches:
-            o, t, v = _flat(part)
-            _scatter(o, t, v, _product(o, t, v, omega), total)
-        found = np.flatnonzero(total.any(axis=1))
-        if len(found):
-            yield pd.DataFrame({"term": found, "part": [total[k].tolist() for k in found]})
-
-    parts = table.select("terms", "weights").mapInPandas(sketches, "term long, part array<float>")
-    summed = parts.select("term", F.posexplode("part").alias("k", "x")).groupBy("term", "k").agg(F.sum("x").alias("x"))
-    summed = summed.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("line"))
+            part = part.sort_values("a", kind="stable")
+            names, first = np.unique(part["a"].to_numpy(), return_index=True)
+            for at in range(0, len(names), 1024):
+                lo, hi = first[at], first[at + 1024] if at + 1024 < len(first) else len(part)
+                some = part.iloc[lo:hi]
+                found = np.add.reduceat(omega[some["b"].to_numpy()] * some["x"].to_numpy(np.float64)[:, None], first[at: at + 1024] - lo, axis=0)
+                for name, line in zip(names[at: at + 1024].tolist(), found):
+                    total[name] = total[name] + line if name in total else line
+        if total:
+            yield pd.DataFrame({"term": list(total), "line": [v.tolist() for v in total.values()]})
+
     sketch = np.zeros(omega.shape, np.float64)
-    for r in summed.select("term", F.transform("line", lambda x: x["x"].cast("float")).alias("line")).collect():  # terms x rank numbers
+    for r in pairs.repartition("a").mapInPandas(lines, "term int, line array<double>").collect():  # terms x rank numbers
         sketch[r["term"]] = r["line"]
     own = np.zeros_like(omega)
     _scatter(offsets, ids, vals, _product(offsets, ids, vals, omega), own)
@@ -260,16 +265,17 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     basis = latent_basis(sketch + heavy * own, omega.astype(np.float64), rank)
     wanted = _product(offsets, ids, vals, basis)
     wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)
-    space = spark.sparkContext.broadcast((basis, wanted, np.array(which)))
+    # a row's product with the items, by term
+    space = spark.sparkContext.broadcast((basis, (basis @ wanted.T).astype(np.float32), np.array(which)))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, wanted, which = space.value
+        basis, by_term, which = space.value
         for part in batches:
             for at in range(0, len(part), 4096):
                 some = part.iloc[at: at + 4096]
-                found = _product(*_flat(some), basis)
-                found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-                cosines = found @ wanted.T
+                flat = _flat(some)
+                cosines = _product(*flat, by_term)
+                cosines /= np.maximum(np.linalg.norm(_product(*flat, basis), axis=1, keepdims=True), 1e-9)
                 p, k = np.nonzero(cosines >= LEAST_COSINE)
                 if len(p):
                     yield pd.DataFrame({"id": some["id"].to_numpy()[p], "key": some["key"].to_numpy()[p], "start": some["start"].to_numpy()[p],
@@ -304,6 +310,36 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     return texts.mapInPandas(check, PAIRS)
 
 
+def _term_pairs(size: int, at_once: int = 2_000_000):
+    """Sums of products of two terms' weights over passages, both orders, one row per pair and task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, sums, waiting = np.empty(0, np.int64), np.empty(0, np.float64), []
+
+        def merged():
+            every = np.concatenate([keys, *[k for k, _ in waiting]])
+            values = np.concatenate([sums, *[v for _, v in waiting]])
+            found, where = np.unique(every, return_inverse=True)
+            return found, np.bincount(where, weights=values, minlength=len(found))
+
+        for part in batches:
+            offsets, ids, vals = _flat(part)
+            lengths = np.diff(np.append(offsets, len(ids)))
+            # every term of a passage with every term of it
+            times = np.repeat(lengths, lengths)
+            left = np.repeat(np.arange(len(ids)), times)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(np.repeat(offsets, lengths), times)
+            waiting.append((ids[left] * size + ids[right], vals[left].astype(np.float64) * vals[right]))
+            if sum(len(k) for k, _ in waiting) >= at_once:
+                keys, sums = merged()
+                waiting = []
+        keys, sums = merged() if waiting else (keys, sums)
+        if len(keys):
+            yield pd.DataFrame({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "x": sums})
+
+    return run
+
+
 def _flat(part: pd.DataFrame):
     """Row offsets, terms and weights of sparse rows."""
     if not len(part):
