@@ -82,7 +82,20 @@ def _side(lists: pa.ListArray, unit_doc: pa.Array, width: pa.Array, name: str) -
     base = np.zeros(int(docs[-1]) + 1 if len(docs) else 0, np.int64)
     base[docs] = start
     end = pc.subtract(total, pa.array(base).take(doc))
-    return pa.table({"doc": doc, "end": end, name: ids, f"pos_{name}": pa.array(np.arange(len(ids)))})
+    return pa.table({"doc": doc, "end": end, name: ids, f"pos_{name}": pa.array(np.arange(len(ids))), "at": total})
+
+
+def _shared_ends(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the tokens of each side that end where one of the other side ends, in the same document."""
+    at_a, at_b = a["at"].to_numpy(), b["at"].to_numpy()
+    # both sides spell the same bytes, so their running byte counts are one coordinate; where every token has bytes,
+    # these rise strictly and an end of a document is no end of another
+    if len(at_a) and len(at_b) and at_a[0] > 0 and at_b[0] > 0 and (np.diff(at_a) > 0).all() and (np.diff(at_b) > 0).all():
+        k = np.minimum(np.searchsorted(at_b, at_a), len(at_b) - 1)
+        hit = at_b[k] == at_a
+        return np.flatnonzero(hit), k[hit]
+    shared = a.select(["doc", "end", "pos_a"]).join(b.select(["doc", "end", "pos_b"]), keys=["doc", "end"], join_type="inner", use_threads=False)
+    return shared["pos_a"].to_numpy(), shared["pos_b"].to_numpy()
 
 
 def _spelled(lists: pa.ListArray, spelling: pa.Array, units: pa.Array) -> np.ndarray:
@@ -119,12 +132,10 @@ def align_units(tokens: Tokens, units: list[str], unit_doc: np.ndarray, form: st
     widths = [pc.binary_length(s).cast(pa.int64()) for s in spellings]
     of_unit = pa.array(unit_doc, pa.int32())
     a, b = _side(lists[0], of_unit, widths[0], "a"), _side(lists[1], of_unit, widths[1], "b")
-    # places where a token of each ends: a hash join on document and end
-    shared = a.select(["doc", "end", "pos_a"]).join(b.select(["doc", "end", "pos_b"]), keys=["doc", "end"], join_type="inner", use_threads=False)
     groups, ends = [], []
-    for side, name in ((a, "pos_a"), (b, "pos_b")):
+    for side, pos in zip((a, b), _shared_ends(a, b)):
         flag = np.zeros(len(side), np.int64)
-        flag[shared[name].to_numpy()] = 1
+        flag[pos] = 1
         groups.append(np.cumsum(flag) - flag)
         ends.append(np.flatnonzero(flag) + 1)
     group_doc = a["doc"].to_numpy()[ends[0] - 1]

@@ -213,3 +213,21 @@ def test_alignment_gives_groups(spark, odd, none):
         return hashlib.sha256(text.encode()).hexdigest() if groups else ""
 
     assert sorted(map(repr, [(d, n, h) for d, n, h in digests])) == sorted(map(repr, [(d, n, digest(g)) for d, n, g in lists]))
+
+
+def test_shared_ends_by_merge_as_by_join():
+    """Ends that both tokenizers share are found by running byte counts, as a join on document and end finds them."""
+    import numpy as np
+    import pyarrow as pa
+
+    def side(lists, widths, name):
+        return cross_tokens._side(pa.array(lists, pa.list_(pa.int32())), pa.array([0, 0, 1], pa.int32()), pa.array(widths, pa.int64()), name)
+
+    # "ab cd" and "ef": a|b| cd|ef against ab| c|d|e|f
+    a = side([[0, 1], [2], [3]], [1, 1, 3, 2], "a")
+    b = side([[0], [1, 2], [3, 4]], [2, 2, 1, 1, 1], "b")
+    assert [x.tolist() for x in cross_tokens._shared_ends(a, b)] == [[1, 2, 3], [0, 2, 4]]
+    # a token without bytes ends where the one before it does: both meet the other side's end there
+    b = side([[0, 5], [1, 2], [3, 4]], [2, 2, 1, 1, 1, 0], "b")
+    got = sorted(zip(*[x.tolist() for x in cross_tokens._shared_ends(a, b)]))
+    assert got == [(1, 0), (1, 1), (2, 3), (3, 5)] and np.all(a["at"].to_numpy() == [1, 2, 5, 7])
