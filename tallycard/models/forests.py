@@ -46,8 +46,8 @@ class Forests:
 def draws(seed: object, *parts: Column) -> Column:
     """How often a record is in a tree's bootstrap."""
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 8)
-    # the hash is read once for all steps
-    return F.element_at(F.transform(F.array(digits), lambda d: F.size(F.filter(F.lit(STEPS), lambda step: d >= step))), 1)
+    # plain comparisons, which Spark compiles; the hash is computed once for all steps, as a common subexpression
+    return reduce(Column.__add__, [(digits >= step).cast("int") for step in STEPS])
 
 
 def drawn_patterns(rows: DataFrame, features: list[str], key: str, trees: int, seed: object, bootstrap: bool = True) -> DataFrame:

@@ -68,6 +68,14 @@ def test_draws_are_poisson(spark):
     assert mean == pytest.approx(1, abs=0.02) and square == pytest.approx(2, abs=0.08)
 
 
+def test_draws_are_compiled_and_match_the_sql_steps(spark):
+    """The draw is the SQL's sum of (h >= step)::INT, without lambdas that Spark would run interpreted row by row."""
+    df = spark.range(3000).select("id", forests.draws(3, F.col("id")).alias("w"))
+    assert "lambdafunction" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    want = {i: sum(hashlib.md5(f"3|{i}".encode()).hexdigest()[:8] >= step for step in forests.STEPS) for i in range(3000)}
+    assert {r["id"]: r["w"] for r in df.collect()} == want
+
+
 def test_depth_and_least_rows(spark, table):
     df = spark.createDataFrame(table.drop(columns="fold"))
     shallow = forests.grow_forests(df, NAMES, [forests.Family(1, 4)], 2, depth=1, asked=df).nodes.collect()
