@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def contains(words: list[bytes], part: list[bytes]) -> bool:
     return bool(n) and any(words[i] == part[0] and words[i:i + n] == part for i in range(len(words) - n + 1))
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs, as ``np.unique`` gives them, by a plain sort (much faster here)."""
+    ordered = np.sort(keys)
+    first = _runs(ordered)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
 class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         return -1
@@ -106,7 +119,7 @@ class Items:
         parts = -(-sizes // STRIDE)
         number = (np.cumsum(parts) - parts)[doc] + stretch
         known = term >= 0
-        pairs = np.unique(number[known] * len(self.weights) + term[known])
+        pairs, _ = _distinct(number[known] * len(self.weights) + term[known])
         return np.bincount(pairs % len(self.weights), minlength=len(self.weights)), int(parts.sum())
 
     def sparse(self, documents: list[list[bytes]]):
@@ -125,7 +138,7 @@ class Items:
         earlier = stretch - 1
         both = (earlier >= 0) & (earlier != own)
         number = np.concatenate([base[doc] + own, (base[doc] + earlier)[both]])
-        keys, count = np.unique(number * len(self.weights) + np.concatenate([term, term[both]]), return_counts=True)
+        keys, count = _distinct(number * len(self.weights) + np.concatenate([term, term[both]]))
         passage, ids = keys // len(self.weights), keys % len(self.weights)
         first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.empty(0, np.int64)
         lengths = np.diff(np.append(first, len(passage)))
@@ -156,7 +169,11 @@ class Items:
 
 def _product(offsets, ids, vals, matrix) -> np.ndarray:
     """Sparse rows times a dense matrix."""
-    return np.add.reduceat(matrix[ids] * vals[:, None], offsets, axis=0) if len(offsets) else np.zeros((0, matrix.shape[1]), np.float32)
+    if not len(offsets):
+        return np.zeros((0, matrix.shape[1]), np.float32)
+    lines = matrix[ids]
+    lines *= vals[:, None]
+    return np.add.reduceat(lines, offsets, axis=0)
 
 
 def _scatter(offsets, ids, vals, rows: np.ndarray, total: np.ndarray) -> None:
@@ -226,26 +243,29 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     omega = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
     weighed = spark.sparkContext.broadcast(items)
 
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for doc_ids, keys, held in _batches(batches):
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, keys, held in _batches(batch.to_pandas() for batch in batches):
             d, start, o, t, v = weighed.value.sparse(held)
             if len(d):
-                end = np.append(o, len(t))
-                yield pd.DataFrame({
-                    "id": [doc_ids[k] for k in d], "key": np.array(keys, np.int64)[d], "start": start.astype(np.int32),
-                    "terms": [t[a:b].astype(np.int32) for a, b in zip(end[:-1], end[1:])], "weights": [v[a:b] for a, b in zip(end[:-1], end[1:])]})
+                # the sparse rows go out as Arrow lists over the flat terms and weights, not as an array object per row
+                end = pa.array(np.append(o, len(t)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([doc_ids[k] for k in d], pa.string()), pa.array(np.array(keys, np.int64)[d]), pa.array(start.astype(np.int32)),
+                    pa.ListArray.from_arrays(end, pa.array(t.astype(np.int32))), pa.ListArray.from_arrays(end, pa.array(v.astype(np.float32)))],
+                    ["id", "key", "start", "terms", "weights"])
 
     # the passages that can resemble an item at all, as sparse rows
-    table = settled(rows.mapInPandas(passages, "id string, key long, start int, terms array<int>, weights array<float>"))
+    table = settled(rows.mapInArrow(passages, "id string, key long, start int, terms array<int>, weights array<float>"))
 
     # passages are short, so the sketch (A^T A) omega goes by pairs of terms: sums per pair over all passages, then a line per term
-    pairs = table.select("terms", "weights").mapInPandas(_term_pairs(size), "a int, b int, x double").groupBy("a", "b").agg(F.sum("x").alias("x"))
+    pairs = table.select("terms", "weights").mapInArrow(_term_pairs(size), "a int, b int, x double").groupBy("a", "b").agg(F.sum("x").alias("x"))
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for part in batches:
             part = part.sort_values("a", kind="stable")
-            names, first = np.unique(part["a"].to_numpy(), return_index=True)
+            first = _runs(part["a"].to_numpy())
+            names = part["a"].to_numpy()[first]
             for at in range(0, len(names), 1024):
                 lo, hi = first[at], first[at + 1024] if at + 1024 < len(first) else len(part)
                 some = part.iloc[lo:hi]
@@ -265,23 +285,25 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
     basis = latent_basis(sketch + heavy * own, omega.astype(np.float64), rank)
     wanted = _product(offsets, ids, vals, basis)
     wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)
-    # a row's product with the items, by term
-    space = spark.sparkContext.broadcast((basis, (basis @ wanted.T).astype(np.float32), np.array(which)))
+    # a row's place in the latent space, then its product with the items there
+    space = spark.sparkContext.broadcast((basis, wanted.T.astype(np.float64), np.array(which)))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, by_term, which = space.value
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, items_t, which = space.value
         for part in batches:
-            for at in range(0, len(part), 4096):
-                some = part.iloc[at: at + 4096]
-                flat = _flat(some)
-                cosines = _product(*flat, by_term)
-                cosines /= np.maximum(np.linalg.norm(_product(*flat, basis), axis=1, keepdims=True), 1e-9)
+            for at in range(0, part.num_rows, 4096):
+                some = part.slice(at, 4096)
+                placed = _product(*_flat(some), basis).astype(np.float64)
+                cosines = placed @ items_t
+                cosines /= np.maximum(np.linalg.norm(placed, axis=1, keepdims=True), 1e-9)
                 p, k = np.nonzero(cosines >= LEAST_COSINE)
                 if len(p):
-                    yield pd.DataFrame({"id": some["id"].to_numpy()[p], "key": some["key"].to_numpy()[p], "start": some["start"].to_numpy()[p],
-                                        "item": which[k].astype(np.int32), "cosine": cosines[p, k].astype(float)})
+                    at_p = pa.array(p)
+                    yield pa.RecordBatch.from_arrays([some.column("id").take(at_p), some.column("key").take(at_p), some.column("start").take(at_p),
+                                                      pa.array(which[k].astype(np.int32)), pa.array(cosines[p, k].astype(float))],
+                                                     ["id", "key", "start", "item", "cosine"])
 
-    candidates = settled(table.mapInPandas(near, "id string, key long, start int, item int, cosine double"))
+    candidates = settled(table.mapInArrow(near, "id string, key long, start int, item int, cosine double"))
     # at most the passages of one text times the items of the block
     grouped = candidates.groupBy("id", "key").agg(F.collect_set(F.struct("item", "start", "cosine")).alias("found")).toDF("id2", "key2", "found")
     texts = rows.join(settled(grouped), (F.col("key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "key", "text", "found")
@@ -313,14 +335,16 @@ def _search_block(rows: DataFrame, block: list[tuple], rank: int) -> DataFrame:
 def _term_pairs(size: int, at_once: int = 2_000_000):
     """Sums of products of two terms' weights over passages, both orders, one row per pair and task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums, waiting = np.empty(0, np.int64), np.empty(0, np.float64), []
 
         def merged():
             every = np.concatenate([keys, *[k for k, _ in waiting]])
             values = np.concatenate([sums, *[v for _, v in waiting]])
-            found, where = np.unique(every, return_inverse=True)
-            return found, np.bincount(where, weights=values, minlength=len(found))
+            order = np.argsort(every, kind="stable")
+            first = _runs(every[order])
+            # sums in the order the values came, as a count by weights gives them
+            return every[order][first], np.add.reduceat(values[order], first) if len(first) else values[:0]
 
         for part in batches:
             offsets, ids, vals = _flat(part)
@@ -335,17 +359,18 @@ def _term_pairs(size: int, at_once: int = 2_000_000):
                 waiting = []
         keys, sums = merged() if waiting else (keys, sums)
         if len(keys):
-            yield pd.DataFrame({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "x": sums})
+            yield pa.RecordBatch.from_arrays([pa.array((keys // size).astype(np.int32)), pa.array((keys % size).astype(np.int32)), pa.array(sums)], ["a", "b", "x"])
 
     return run
 
 
-def _flat(part: pd.DataFrame):
-    """Row offsets, terms and weights of sparse rows."""
-    if not len(part):
+def _flat(part: pa.RecordBatch):
+    """Row offsets, terms and weights of sparse rows, read from the Arrow lists as they are."""
+    if not part.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    lengths = part["terms"].map(len).to_numpy()
-    return np.cumsum(lengths) - lengths, np.concatenate(list(part["terms"])).astype(np.int64), np.concatenate(list(part["weights"])).astype(np.float32)
+    terms, weights = part.column("terms"), part.column("weights")
+    ends = terms.offsets.to_numpy().astype(np.int64)
+    return ends[:-1] - ends[0], terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy().astype(np.float32)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
